@@ -49,3 +49,16 @@ def small_rows(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; this table must stay small")
     return rows
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows (never more than twice as many), the same ones at any partitioning.
+
+    A row belongs to the sample when its hashed key lies under a threshold, so nothing is
+    sorted and only the sample leaves the executors.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    buckets = 1 << 30
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(buckets)) < int(buckets * rows / total)).limit(2 * rows)

@@ -1,0 +1,4 @@
+"""The registered queries of the core; SQL stands beside them where SQL can say the same."""
+
+QUERIES = {}
+ORACLE_SQL = {}
