@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.handchecked import CHUNKS
 from loomtext.llm.lexicon import ALL_FUNCTION_WORDS
+from loomtext.plans.lineage import hash_sample
 
 #: Chunks brought to the driver, chosen by hash, as training material.
 TRAIN_CHUNKS = 6000
@@ -214,7 +215,7 @@ def training_set(texts: list[str], mixtures: int = MIXTURES) -> tuple[np.ndarray
 
 def train_classifier(chunks: DataFrame, id_col: str = "chunk_id", train_chunks: int = TRAIN_CHUNKS) -> BoostedTrees | None:
     """Trees calibrated on the hand-checked chunks; None when the sample holds only one class."""
-    rows = chunks.filter("text is not null").select(id_col, "text").orderBy(F.xxhash64(id_col), id_col).limit(train_chunks).collect()
+    rows = sorted(hash_sample(chunks.select(id_col, "text"), id_col, train_chunks).filter("text is not null").collect(), key=lambda r: str(r[0]))
     texts = list({r[0]: r.text for r in rows}.values())
     x, y = training_set([t for t in texts if t.strip()])
     if len(y) == 0 or y.min() == y.max():
