@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def loss_spikes(df: DataFrame, by: list[str], step: str, value: str, window: int = 50, history: int = 20, threshold: float = 3.0) -> DataFrame:
@@ -49,7 +50,7 @@ def reset_windows(df: DataFrame, by: list[str], order: list[str], value: str, bu
 
     Sequential inside a group, so groups must be bounded; the caller names what bounds them.
     """
-    schema = df.schema.add("window_no", "integer")
+    schema = StructType([*df.schema.fields, StructField("window_no", IntegerType())])
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
