@@ -42,9 +42,9 @@ def token_sizes(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFram
 
 def source_supply(sizes: DataFrame, spec: DataFrame) -> DataFrame:
     """Per source of the registry: its tokens, the tokens of all documents, and what it may reach."""
-    names = spec.select("source_id", F.lower(F.trim("source_id")).alias("_k"), F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
-    # one aggregate over all documents gives the sources and, summed again, the whole
-    by_source = sizes.groupBy(F.col("source_id").alias("_s")).agg(F.sum("n_tokens").alias("tokens"))
+    names = spec.filter("source_id is not null").select("source_id", F.lower(F.trim("source_id")).alias("_k"), F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).dropDuplicates(["_k"])
+    # one aggregate over all documents gives the sources and, summed again, the whole: kept, so that no text is tokenized twice
+    by_source = materialize(sizes.groupBy(F.col("source_id").alias("_s")).agg(F.sum("n_tokens").alias("tokens")), "supply")
     whole = by_source.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
     got = names.join(by_source, F.col("_k") == F.col("_s"), "left").withColumn("all_tokens", whole)
     return got.select(
@@ -120,7 +120,7 @@ def mix_shares(docs: DataFrame, spec: DataFrame, seed: int = 17, tokenizer_dir:
     sizes = materialize(token_sizes(docs, tokenizer_dir), "mix-sizes")
     got = mix_sources(docs, spec, seed, tokenizer_dir, sizes).groupBy(F.col("source_id").alias("_s")).agg(F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("mix_tokens"))
     whole = got.agg(F.sum("mix_tokens")).scalar()
-    names = spec.select("source_id", F.lower(F.trim("source_id")).alias("_k"), "target_weight", "max_repeats")
+    names = spec.filter("source_id is not null").select("source_id", F.lower(F.trim("source_id")).alias("_k"), "target_weight", "max_repeats").dropDuplicates(["_k"])
     j = names.join(got, F.col("_k") == F.col("_s"), "left").withColumn("_all", whole)
     return j.select(
         "source_id", "target_weight", "max_repeats", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"),
