@@ -55,6 +55,12 @@ def example_lengths(batch: DataFrame) -> DataFrame:
     return sized.groupBy("example_id").agg(F.max(F.struct("enc_len", "label_len", "mode")).alias("m")).select("example_id", "m.mode", "m.enc_len", "m.label_len")
 
 
+def capacities(spec: DataFrame) -> DataFrame:
+    """One row per mode: the smaller where a mode is given twice; rows without positive capacities are left out."""
+    valid = spec.filter("mode is not null and encoder_capacity > 0 and label_capacity > 0")
+    return valid.groupBy("mode").agg(F.min("encoder_capacity").alias("encoder_capacity"), F.min("label_capacity").alias("label_capacity"))
+
+
 def split_pieces(lengths: DataFrame, spec: DataFrame) -> DataFrame:
     """Pieces to pack: (example_id, mode, piece_no, n_pieces, e, l).
 
@@ -62,7 +68,7 @@ def split_pieces(lengths: DataFrame, spec: DataFrame) -> DataFrame:
     capacities allow. Examples whose mode has no specification come out with n_pieces 0
     and are not packed.
     """
-    caps = spec.select(F.col("mode").alias("_m"), F.col("encoder_capacity").alias("_ce"), F.col("label_capacity").alias("_cl"))
+    caps = capacities(spec).select(F.col("mode").alias("_m"), F.col("encoder_capacity").alias("_ce"), F.col("label_capacity").alias("_cl"))
     known = lengths.join(F.broadcast(caps), F.col("mode") == F.col("_m"), "left")
     need = F.greatest(F.ceil(F.col("enc_len") / F.col("_ce")), F.ceil(F.col("label_len") / F.col("_cl")), F.lit(1)).cast("int")
     known = known.withColumn("n_pieces", F.when(F.col("_ce").isNull() | F.col("_cl").isNull(), 0).otherwise(need))
@@ -182,7 +188,7 @@ def _plan(ce: int, cl: int, hist: dict[tuple[int, int], int]) -> list[tuple[int,
 def plan_containers(pieces: DataFrame, spec: DataFrame) -> DataFrame:
     """Runs of the packing plan, by mode; one bounded task per mode (see the module's text)."""
     hist = pieces.filter("n_pieces > 0").groupBy("mode", "e", "l").agg(F.count(F.lit(1)).alias("n"))
-    caps = spec.select("mode", "encoder_capacity", "label_capacity")
+    caps = capacities(spec)
 
     def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ce, cl = int(pdf.encoder_capacity.iloc[0]), int(pdf.label_capacity.iloc[0])
@@ -225,7 +231,7 @@ def pack(batch: DataFrame, spec: DataFrame) -> DataFrame:
 
 def container_fill(packed: DataFrame, spec: DataFrame) -> DataFrame:
     """Per mode: pieces, containers, the least number any packing needs, and the shares filled."""
-    caps = spec.select("mode", F.col("encoder_capacity").cast("long").alias("ce"), F.col("label_capacity").cast("long").alias("cl"))
+    caps = capacities(spec).select("mode", F.col("encoder_capacity").cast("long").alias("ce"), F.col("label_capacity").cast("long").alias("cl"))
     by_mode = packed.filter("container_id is not null").groupBy("mode").agg(
         F.count(F.lit(1)).alias("pieces"), (F.max("container_id") + 1).alias("containers"), F.sum("e").alias("_e"), F.sum("l").alias("_l")
     )

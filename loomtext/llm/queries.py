@@ -68,8 +68,9 @@ def p2_statistics(spark, sf):
     """
 )
 def p3_found(spark, sf):
-    """Examples that the packing had to split."""
-    return packing.pack(table(spark, sf, "padded_batch"), table(spark, sf, "pack_spec")).filter("n_pieces > 1").select("example_id").distinct()
+    """Examples whose pieces the packing put into containers as more than one."""
+    packed = packing.pack(table(spark, sf, "padded_batch"), table(spark, sf, "pack_spec"))
+    return packed.filter("n_pieces > 1 and container_id is not null").select("example_id").distinct()
 
 
 @query()
