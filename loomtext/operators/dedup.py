@@ -7,10 +7,16 @@ unique: a key that holds a third of all rows never meets in one task.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.plans.lineage import materialize
 
 
 def mark_first(df: DataFrame, keys: list[str], pos: str, flag: str) -> DataFrame:
@@ -68,20 +74,32 @@ def filter_size(total_bytes: Column) -> Column:
 PRIME = (1 << 31) - 1
 BANDS, ROWS = 8, 8
 #: Affine maps modulo PRIME; multiplier and offset of permutation k.
+WORD = re.compile(r"[a-z0-9']+")
 PERMS = [(48271 * (k + 1) % PRIME, 69621 * (k + 7) % PRIME) for k in range(BANDS * ROWS)]
+_MULTIPLIERS, _OFFSETS = (np.array(x, np.int64)[:, None] for x in zip(*PERMS))
+
+
+def _bands(text: str | None, shingle: int, least: int) -> list[str] | None:
+    words = WORD.findall(text.lower()) if text else []
+    grams = {" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
+    if len(grams) < least:
+        return None
+    hashes = np.array([int(hashlib.sha256(g.encode()).hexdigest()[:7], 16) for g in grams], np.int64)
+    low = ((hashes[None, :] * _MULTIPLIERS + _OFFSETS) % PRIME).min(axis=1).reshape(BANDS, ROWS)
+    return [hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()[:16] for row in low.tolist()]
 
 
 def band_hashes(c: Column, shingle: int = 5, least: int = 20) -> Column:
     """One digest per band of the text's shingles of five words; null with fewer than ``least`` different ones.
 
-    Everything happens inside the row: no explode over permutations.
+    In Arrow batches: the permutations are one array operation per text, about ten times as
+    fast as the same in higher-order functions, and nothing is exploded.
     """
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9']+"), F.lit(0))
-    hashes = lambda grams: F.transform(grams, lambda g: F.conv(F.substring(F.sha2(g, 256), 1, 7), 16, 10).cast("long"))
-    low = lambda hs, a, b: F.array_min(F.transform(hs, lambda h: F.pmod(h * F.lit(a) + F.lit(b), F.lit(PRIME))))
-    band = lambda hs, n: F.substring(F.sha2(F.concat_ws(",", *[low(hs, *PERMS[n * ROWS + r]).cast("string") for r in range(ROWS)]), 256), 1, 16)
-    bands = lambda grams: T.let(hashes(grams), lambda hs: F.array(*[band(hs, n) for n in range(BANDS)]))
-    return T.let(F.array_distinct(T.ngrams(words, shingle)), lambda grams: F.when(F.size(grams) >= least, bands(grams)))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_bands(t, shingle, least) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(c)
 
 
 def minhash_bands(df: DataFrame, pos: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,6 +110,7 @@ def minhash_bands(df: DataFrame, pos: str = "doc_id", text: str = "text") -> Dat
 
 def near_duplicates(bands: DataFrame) -> DataFrame:
     """(pos, is_near_duplicate): not the first of its bucket in at least one band; no closure, no verification."""
+    bands = materialize(bands, "bands")
     firsts = bands.groupBy("band_no", "band_hash").agg(F.min("pos").alias("pos"))
     # a text is first in so many of its bands; one band less than all marks it
     leads = firsts.groupBy("pos").agg(F.count(F.lit(1)).alias("_leads"))

@@ -62,3 +62,13 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
         return df
     buckets = 1 << 30
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(buckets)) < int(buckets * rows / total)).limit(2 * rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt out over the cores; any larger scan as it is.
+
+    For work that costs far more than moving its rows. ``df`` must be a plain scan: the number of
+    parts of anything behind a shuffle is only known by running it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.functions.lexicon import BOILERPLATE_LINES, BOILERPLATE_PHRASES, STOPWORDS
 from loomtext.operators import audit, clean, dedup, quality
-from loomtext.queries.registry import query, table
+from loomtext.queries.registry import heavy, query, table
 
 # ------------------------------------------------------------------ the same definitions in SQL
 SP = r"[ \t\r\n\f\x0b]"
@@ -109,7 +109,7 @@ def strip_html(spark, sf):
 @query()
 def clean_chunks(spark, sf):
     """Cleaned chunks of every document."""
-    return clean.clean_records(table(spark, sf, "documents"), "doc_id", "text")
+    return clean.clean_records(heavy(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id, sha256(text) AS exact_key, sha256(" + FOLD_SQL + f") AS folded_key FROM {DOCS}")
@@ -122,23 +122,23 @@ def english_ratios(spark, sf):
     """Letter and function-word ratios and the English predicate; null counts as empty."""
     t = F.coalesce("text", F.lit(""))
     latin, stop = T.latin_ratio(t), T.stopword_ratio(t)
-    return table(spark, sf, "documents").select("doc_id", F.round(latin, 6).alias("latin"), F.round(stop, 6).alias("stopword"), ((latin >= 0.7) & (stop >= 0.06)).alias("english"))
+    return heavy(spark, sf, "documents").select("doc_id", F.round(latin, 6).alias("latin"), F.round(stop, 6).alias("stopword"), ((latin >= 0.7) & (stop >= 0.06)).alias("english"))
 
 
 @query(f"SELECT doc_id, {assess_sql(quality.Thresholds())} AS reason FROM {FILLED}")
 def assess_reason(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", quality.assess(F.col("text")).alias("reason"))
+    return heavy(spark, sf, "documents").select("doc_id", quality.assess(F.col("text")).alias("reason"))
 
 
 @query(f"SELECT lower(trim(source)) AS source, {assess_sql(quality.Thresholds())} AS reason, count(*) AS n FROM {FILLED} GROUP BY ALL")
 def quality_tally(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("source", F.lower(F.trim("source")))
+    docs = heavy(spark, sf, "documents").withColumn("source", F.lower(F.trim("source")))
     return quality.tally(docs, quality.assess(F.col("text")))
 
 
 @query(f"SELECT doc_id, {CLASS_SQL} AS kind, {STRICT_SQL} AS reason FROM {FILLED}")
 def strict_assess(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", quality.source_class(F.col("source")).alias("kind"), quality.strict_assess(F.col("text"), F.col("source")).alias("reason"))
+    return heavy(spark, sf, "documents").select("doc_id", quality.source_class(F.col("source")).alias("kind"), quality.strict_assess(F.col("text"), F.col("source")).alias("reason"))
 
 
 @query(f"SELECT doc_id, {HITS_SQL}::INT AS hits, {HIT_SQL} AS hit FROM {FILLED}")
@@ -149,7 +149,7 @@ def boilerplate_phrases(spark, sf):
 
 @query(f"WITH {SPAM_CTE} SELECT doc_id, hit FROM spam")
 def ngram_spam(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.ngram_spam(F.coalesce("text", F.lit(""))).alias("hit"))
+    return heavy(spark, sf, "documents").select("doc_id", T.ngram_spam(F.coalesce("text", F.lit(""))).alias("hit"))
 
 
 @query(f"SELECT doc_id, round({SHARE_SQL}, 6) AS share FROM {FILLED}")
@@ -177,7 +177,7 @@ _PUNCT = quality.SPAM_PUNCT.replace("'", "''")
 )
 def structural_rules(spark, sf):
     rules = quality.structural_rules(F.col("text"), F.col("source"))
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in rules.items()])
+    return heavy(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in rules.items()])
 
 
 _DUP_CTE = f"""dup AS (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 OR row_number() OVER (PARTITION BY fold ORDER BY doc_id) > 1 AS dup
@@ -195,24 +195,24 @@ REASONS_CTE = f"{AUDIT_CTE}, reasons AS (SELECT doc_id, source, bits, unnest(lis
 
 @query(f"{AUDIT_CTE} SELECT doc_id, bits FROM bits")
 def reason_bits(spark, sf):
-    return audit.pass1(table(spark, sf, "documents")).select("doc_id", "bits")
+    return audit.pass1(heavy(spark, sf, "documents")).select("doc_id", "bits")
 
 
 @query(f"{AUDIT_CTE} SELECT source, count(*) AS lines, count(*) FILTER (bits = 0) AS kept, count(*) FILTER (bits <> 0) AS moved FROM bits GROUP BY source")
 def audit_route(spark, sf):
     """Kept and moved documents per source: the flagship."""
-    return audit.route_counts(audit.pass1(table(spark, sf, "documents")))
+    return audit.route_counts(audit.pass1(heavy(spark, sf, "documents")))
 
 
 @query(f"{REASONS_CTE} SELECT source, reason, count(*) AS n, grouping(source)::INT * 2 + grouping(reason)::INT AS level FROM reasons GROUP BY GROUPING SETS ((source, reason), (source), (reason), ())")
 def audit_report_sets(spark, sf):
-    return audit.report(audit.pass1(table(spark, sf, "documents")))
+    return audit.report(audit.pass1(heavy(spark, sf, "documents")))
 
 
 @query(f"{REASONS_CTE} SELECT reason, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS rn FROM reasons) WHERE rn <= 5")
 def audit_samples(spark, sf):
     """The first five documents of every reason."""
-    return audit.samples(audit.pass1(table(spark, sf, "documents")), 5).select("reason", "doc_id")
+    return audit.samples(audit.pass1(heavy(spark, sf, "documents")), 5).select("reason", "doc_id")
 
 
 @query("SELECT doc_id AS pos, CASE WHEN rn > 1 THEN 'exact' WHEN rn2 > 1 THEN 'near' ELSE 'keep' END AS verdict FROM (SELECT *, CASE WHEN rn = 1 THEN row_number() OVER (PARTITION BY fold, rn = 1 ORDER BY doc_id) END AS rn2 FROM (SELECT doc_id, text, " + FOLD_SQL + f" AS fold, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {DOCS} WHERE text IS NOT NULL))")
@@ -262,15 +262,15 @@ BANDS_CTE = f"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']
 
 @query(f"WITH {BANDS_CTE} SELECT pos, band_no, band_hash FROM bands")
 def minhash_bands(spark, sf):
-    return dedup.minhash_bands(table(spark, sf, "documents"))
+    return dedup.minhash_bands(heavy(spark, sf, "documents"))
 
 
 @query(f"WITH {BANDS_CTE} SELECT pos, bool_or(rn > 1) AS is_near_duplicate FROM (SELECT pos, row_number() OVER (PARTITION BY band_no, band_hash ORDER BY pos) AS rn FROM bands) GROUP BY pos")
 def near_duplicates(spark, sf):
-    return dedup.near_duplicates(dedup.minhash_bands(table(spark, sf, "documents")))
+    return dedup.near_duplicates(dedup.minhash_bands(heavy(spark, sf, "documents")))
 
 
 @query()
 def pass2_bits(spark, sf):
     """Structural, tokenizer and near-duplicate reasons of every document."""
-    return audit.pass2(table(spark, sf, "documents")).select("doc_id", "bits", "reasons")
+    return audit.pass2(heavy(spark, sf, "documents")).select("doc_id", "bits", "reasons")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import audit, clean, dedup, pii, quality
 from loomtext.queries.cleaning import strip_sql
-from loomtext.queries.registry import query, table
+from loomtext.queries.registry import heavy, query, table
 from loomtext.sources import records
 
 SRC = "lower(trim(source))"
@@ -117,7 +117,7 @@ def shards_per_source(spark, sf):
 @query()
 def pipeline_counters(spark, sf):
     """Records in, chunks made, and what each stage dropped, per source."""
-    docs = table(spark, sf, "documents").withColumn("source", F.lower(F.trim("source")))
+    docs = heavy(spark, sf, "documents").withColumn("source", F.lower(F.trim("source")))
     chunks = clean.clean_records(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumn("pos", F.col("doc_id") * 1000 + F.col("chunk_no"))
     verdict = dedup.two_stage(chunks.select("pos", "text"), "pos")
     marked = chunks.join(verdict, "pos").select("source", "doc_id", (quality.assess(F.col("text")) == "keep").alias("good"), "verdict")
@@ -142,7 +142,7 @@ def email_hits(spark, sf):
 @query()
 def mask_documents(spark, sf):
     """Texts with addresses, handles and phone numbers replaced by invented ones, and the counters."""
-    return pii.mask_documents(table(spark, sf, "budget_writer").select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", "text")
+    return pii.mask_documents(heavy(spark, sf, "budget_writer").select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", "text")
 
 
 @query()

@@ -8,7 +8,7 @@ from loomtext.functions import text as T
 from loomtext.operators import examples as X
 from loomtext.operators import rewrite, windows
 from loomtext.queries.cleaning import count_sql, ratio_sql
-from loomtext.queries.registry import query, table
+from loomtext.queries.registry import heavy, query, table
 from loomtext.queries.sampling import draw_sql
 from loomtext.queries.telemetry import LEN_E, LEN_L
 
@@ -178,7 +178,7 @@ def prose_lines(spark, sf):
 @query()
 def rewrite_pairs(spark, sf):
     """Corrupted texts with the originals, seeded by document."""
-    return rewrite.corrupted_pairs(table(spark, sf, "documents"), "doc_id", "text")
+    return rewrite.corrupted_pairs(heavy(spark, sf, "documents"), "doc_id", "text")
 
 
 @query()

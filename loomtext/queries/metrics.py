@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import dedup, metrics
 from loomtext.queries.cleaning import strip_sql
-from loomtext.queries.registry import query, table
+from loomtext.queries.registry import heavy, query, table
 
 PAIRS = "p AS (SELECT a.doc_id, a.text AS src, b.text AS out, lower(trim(a.source)) AS style FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)"
 W = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z]+)?')"
 
 
 def pairs(spark, sf):
-    docs = table(spark, sf, "documents").filter("text is not null")
+    docs = heavy(spark, sf, "documents").filter("text is not null")
     left = docs.select("doc_id", F.col("text").alias("src"), F.lower(F.trim("source")).alias("style"))
     return left.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("out")), "doc_id")
 

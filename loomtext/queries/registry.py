@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.plans.lineage import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -22,3 +24,8 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that costs far more than reading it."""
+    return spread(table(spark, sf, name))
