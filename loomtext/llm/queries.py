@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 from loomtext.llm import leakage, mixing, neardup, packing, pii, quality, spam, token_budget
+from loomtext.plans.lineage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,31 +31,36 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that costs far more than reading it."""
+    return spread(table(spark, sf, name))
+
+
 @query()
 def p1_found(spark, sf):
     """Every occurrence of personal information in budget_writer."""
-    found = pii.find_personal(table(spark, sf, "budget_writer"), table(spark, sf, "given_names"))
+    found = pii.find_personal(heavy(spark, sf, "budget_writer"), table(spark, sf, "given_names"))
     return found.select("chunk_id", "kind", "start_pos").distinct()
 
 
 @query()
 def p1_masked(spark, sf):
     """Texts of budget_writer with typed placeholders, one row per chunk."""
-    chunks = table(spark, sf, "budget_writer")
+    chunks = heavy(spark, sf, "budget_writer")
     return pii.mask_personal(chunks, table(spark, sf, "given_names")).dropDuplicates(["chunk_id"])
 
 
 @query()
 def p2_found(spark, sf):
     """Chunks of quality-switched sources that are mostly lists, tables or junk."""
-    chunks = quality.quality_switched(table(spark, sf, "budget_writer"), table(spark, sf, "source_spec"))
+    chunks = quality.quality_switched(heavy(spark, sf, "budget_writer"), table(spark, sf, "source_spec"))
     return quality.text_quality(chunks).filter("is_junk").select("chunk_id").distinct()
 
 
 @query()
 def p2_statistics(spark, sf):
     """The statistics of every chunk of budget_writer, one row per chunk."""
-    chunks = table(spark, sf, "budget_writer")
+    chunks = heavy(spark, sf, "budget_writer")
     model = quality.train_classifier(quality.quality_switched(chunks, table(spark, sf, "source_spec")))
     return quality.text_quality(chunks, model=model).dropDuplicates(["chunk_id"])
 
@@ -133,26 +140,26 @@ def p4_slices(spark, sf):
 @query()
 def p5_found(spark, sf):
     """Pairs of chunks that share at least half of their three-word runs."""
-    pairs, members = neardup.near_duplicates(table(spark, sf, "budget_writer"), **CHUNK_PAIRS)
+    pairs, members = neardup.near_duplicates(heavy(spark, sf, "budget_writer"), **CHUNK_PAIRS)
     return neardup.expand_pairs(pairs, members).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 @query()
 def p5_groups(spark, sf):
     """One row per chunk: representative, group and number of links (five-word runs, similarity 0.8)."""
-    return neardup.duplicate_groups(table(spark, sf, "budget_writer")).withColumnRenamed("id", "chunk_id")
+    return neardup.duplicate_groups(heavy(spark, sf, "budget_writer")).withColumnRenamed("id", "chunk_id")
 
 
 @query()
 def p6_found(spark, sf):
     """Documents and the evaluation items they leak."""
-    return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
+    return leakage.find_leaks(heavy(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 @query()
 def p6_leaked_items(spark, sf):
     """Per leaked item: the documents that hold it and the most of it that one of them holds."""
-    leaks = leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    leaks = leakage.find_leaks(heavy(spark, sf, "documents"), table(spark, sf, "eval_items"))
     by_item = leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("n_words").alias("most_words"), F.round(F.max("item_share"), 6).alias("most_share"))
     return by_item.join(F.broadcast(table(spark, sf, "eval_items").select("item_id", "suite", "split")), "item_id", "left")
 
@@ -160,7 +167,7 @@ def p6_leaked_items(spark, sf):
 @query()
 def p7_found(spark, sf):
     """Sources that cannot reach their weight."""
-    sizes = mixing.token_sizes(table(spark, sf, "documents"))
+    sizes = mixing.token_sizes(heavy(spark, sf, "documents"))
     supply = mixing.source_supply(sizes, table(spark, sf, "source_spec"))
     return supply.filter("most_tokens < wanted_tokens").select("source_id").distinct()
 
@@ -168,22 +175,22 @@ def p7_found(spark, sf):
 @query()
 def p7_mix(spark, sf):
     """The mix itself, in its global random order."""
-    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "source_spec"))
+    return mixing.mix_sources(heavy(spark, sf, "documents"), table(spark, sf, "source_spec"))
 
 
 @query()
 def p7_shares(spark, sf):
     """Shares wanted and reached per source."""
-    return mixing.mix_shares(table(spark, sf, "documents"), table(spark, sf, "source_spec"))
+    return mixing.mix_shares(heavy(spark, sf, "documents"), table(spark, sf, "source_spec"))
 
 
 @query()
 def p8_found(spark, sf):
     """Documents made of repeated keywords, links or product tags."""
-    return spam.spam_pages(table(spark, sf, "documents")).filter("is_spam").select("doc_id").distinct()
+    return spam.spam_pages(heavy(spark, sf, "documents")).filter("is_spam").select("doc_id").distinct()
 
 
 @query()
 def p8_pages(spark, sf):
     """Shares of spam and of abnormal pieces of every document."""
-    return spam.spam_pages(table(spark, sf, "documents"))
+    return spam.spam_pages(heavy(spark, sf, "documents"))
