@@ -9,35 +9,72 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+#: Rows of one key that are processed together; longer logs are cut into blocks of this many.
+BLOCK = 100_000
+
+
+def blocks(df: DataFrame, by: list[str], order: str, halo: int, size: int | None = None, parts: int = 128) -> DataFrame:
+    """Adds _rank (from 0 inside the key), _block and _halo: logs cut into blocks that each repeat the ``halo`` rows before them.
+
+    A key may hold a third of all rows: ranks come from counts of ranges of ``order`` (whole
+    numbers, unique inside a key) and their prefix sums, so no task sees a whole key. Windows over
+    (by, _block) that look back at most ``halo`` rows are exact for the rows with _halo false.
+    """
+    size = BLOCK if size is None else size
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    width = max(1, -(-(int(high) - int(low) + 1) // parts))
+    cut = df.withColumn("_part", F.floor((F.col(order) - F.lit(int(low))) / width).cast("int"))
+    counts = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "_part"]]
+    joined = cut.alias("l").join(before.alias("r"), same).select("l.*", "r._before")
+    ranked = joined.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1).drop("_part", "_before")
+    own = F.floor(F.col("_rank") / size)
+    # a row is also the halo of the next block when it stands among the last of its own
+    both = F.when(F.pmod(F.col("_rank"), F.lit(size)) >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    return ranked.withColumn("_own", own).withColumn("_block", F.explode(both)).withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
+
+
+def _done(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("_halo")).drop("_rank", "_block", "_halo")
+
+
 def loss_spikes(df: DataFrame, by: list[str], step: str, value: str, window: int = 50, history: int = 20, threshold: float = 3.0) -> DataFrame:
     """Adds ratio (value over the median of up to ``window`` earlier values, null before ``history`` of them), spike and
     rising (a spike that does not continue one)."""
-    past = Window.partitionBy(*by).orderBy(step).rowsBetween(-window, -1)
-    order = Window.partitionBy(*by).orderBy(step)
+    cut = blocks(df, by, step, window + 1)
+    past = Window.partitionBy(*by, "_block").orderBy("_rank").rowsBetween(-window, -1)
+    order = Window.partitionBy(*by, "_block").orderBy("_rank")
     finite = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value))
     ratio = F.when(F.count(finite).over(past) >= history, finite / F.nullif(F.percentile(finite, F.lit(0.5)).over(past), F.lit(0.0)))
-    out = df.withColumn("ratio", ratio).withColumn("spike", F.coalesce(F.col("ratio") >= threshold, F.lit(False)))
-    return out.withColumn("rising", F.col("spike") & ~F.coalesce(F.lag("spike").over(order), F.lit(False)))
+    out = cut.withColumn("ratio", ratio).withColumn("spike", F.coalesce(F.col("ratio") >= threshold, F.lit(False)))
+    return _done(out.withColumn("rising", F.col("spike") & ~F.coalesce(F.lag("spike").over(order), F.lit(False))))
 
 
 def throughput(df: DataFrame, by: list[str], step: str, seconds: Column) -> DataFrame:
     """Adds seconds since the previous record and since the first of the session, and records per second so far."""
-    order = Window.partitionBy(*by).orderBy(step)
-    out = df.withColumn("_s", seconds).withColumn("delta_s", F.col("_s") - F.lag("_s").over(order)).withColumn("session_s", F.col("_s") - F.first("_s").over(order))
-    done = F.row_number().over(order) - 1
-    return out.withColumn("done", done).withColumn("rate", F.when(F.col("session_s") > 0, F.col("done") / F.col("session_s"))).drop("_s")
+    timed = df.withColumn("_s", seconds)
+    starts = timed.groupBy(*by).agg(F.min_by("_s", step).alias("_first"))
+    order = Window.partitionBy(*by, "_block").orderBy("_rank")
+    cut = blocks(timed, by, step, 1).withColumn("delta_s", F.col("_s") - F.lag("_s").over(order)).withColumn("done", F.col("_rank"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    out = _done(cut).alias("l").join(starts.alias("r"), same).select("l.*", "r._first").withColumn("session_s", F.col("_s") - F.col("_first"))
+    return out.withColumn("rate", F.when(F.col("session_s") > 0, F.col("done") / F.col("session_s"))).drop("_s", "_first")
 
 
 def hash_chain(df: DataFrame, by: list[str], seq: str, payload: Column) -> DataFrame:
     """Adds hash (of the record) and prev_hash (of the record before; 64 zeros for the first)."""
-    hashed = df.withColumn("hash", F.sha2(payload, 256))
-    return hashed.withColumn("prev_hash", F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by).orderBy(seq)))
+    cut = blocks(df.withColumn("hash", F.sha2(payload, 256)), by, seq, 1)
+    return _done(cut.withColumn("prev_hash", F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "_block").orderBy("_rank"))))
 
 
 def verify_chain(df: DataFrame, by: list[str], seq: str) -> DataFrame:
     """Adds broken: whether prev_hash differs from the hash of the row before."""
-    expected = F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by).orderBy(seq))
-    return df.withColumn("broken", ~F.col("prev_hash").eqNullSafe(expected))
+    expected = F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "_block").orderBy("_rank"))
+    return _done(blocks(df, by, seq, 1).withColumn("broken", ~F.col("prev_hash").eqNullSafe(expected)))
 
 
 def missing_links(log: DataFrame, present: DataFrame, key: str) -> DataFrame:
@@ -84,8 +121,9 @@ def learning_rates(step: Column, warmup: int, total: int, decay: int, floor: flo
 
 
 def newest(df: DataFrame, keep: int, order: str, protect: Column) -> DataFrame:
-    """Rows to delete: beyond the newest ``keep`` of those that are not protected."""
-    return df.filter(~protect).withColumn("_rn", F.row_number().over(Window.partitionBy().orderBy(F.desc(order)))).filter(F.col("_rn") > keep).drop("_rn")
+    """Rows to delete: beyond the newest ``keep`` of those that are not protected. ``order`` is unique."""
+    open_ = df.filter(~protect)
+    return open_.join(open_.orderBy(F.desc(order)).limit(keep).select(order), order, "left_anti")
 
 
 def scalars(df: DataFrame, step: str, columns: list[str]) -> DataFrame:

@@ -114,12 +114,13 @@ def capacity_batches(spark, sf):
     return X.capacity_batches(t, "example_id", "mode", "e", "l", 4096, 2048)
 
 
-@query(f"WITH {TOK}, s AS (SELECT example_id, floor({draw_sql(chr(39) + '17:0:' + chr(39) + ' || example_id')} / 1152921504606846976.0::DOUBLE * 8)::INT AS win, len(t) AS n FROM tok) SELECT example_id, win AS epoch_window, ((row_number() OVER (PARTITION BY win ORDER BY n, example_id) - 1) // 8)::INT AS step FROM s")
+@query(f"WITH {TOK}, s AS (SELECT example_id, floor({draw_sql(chr(39) + '17:0:' + chr(39) + ' || example_id')} / 1152921504606846976.0::DOUBLE * ceil(count(*) OVER () / 64.0))::INT AS win, len(t) AS n FROM tok) SELECT example_id, win AS epoch_window, ((row_number() OVER (PARTITION BY win ORDER BY n, example_id) - 1) // 8)::INT AS step FROM s")
 def epoch_plan(spark, sf):
-    """An epoch shuffled by draw into windows, each ordered by length and cut into steps of eight."""
+    """An epoch shuffled by draw into windows of about 64 rows, each ordered by length and cut into steps of eight."""
     from pyspark.sql import Window
 
-    win = F.floor(T.uniform(F.lit("17:0"), F.col("example_id")) * 8).cast("int")
+    n = -(-table(spark, sf, "padded_batch").select("example_id").distinct().count() // 64)
+    win = F.floor(T.uniform(F.lit("17:0"), F.col("example_id")) * n).cast("int")
     t = tokens(spark, sf).select("example_id", win.alias("epoch_window"), F.size("t").alias("n"))
     order = Window.partitionBy("epoch_window").orderBy("n", "example_id")
     return t.select("example_id", "epoch_window", F.floor((F.row_number().over(order) - 1) / 8).cast("int").alias("step"))

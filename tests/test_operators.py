@@ -106,6 +106,30 @@ def test_windows(spark):
     assert [r.window_no for r in reset.orderBy("s").collect()] == [0, 0, 1, 1, 2, 2]
 
 
+@pytest.mark.parametrize("size", [60, 97, 100_000])
+def test_blocks_do_not_change_windows(spark, monkeypatch, size):
+    """A key that holds most of the rows, with null keys and gaps, cut small and not at all."""
+    rng = random.Random(2)
+    rows = [(1 if k % 10 else None if k % 20 else 2, k * 3, rng.random() * (9 if rng.random() < 0.05 else 1)) for k in range(700)]
+    df = spark.createDataFrame(rows, "u int, s long, v double")
+    monkeypatch.setattr(windows, "BLOCK", size)
+    got = {(r.u, r.s): (r.ratio, r.spike, r.rising) for r in windows.loss_spikes(df, ["u"], "s", "v").collect()}
+    from statistics import median
+
+    for u in (1, 2, None):
+        mine = [(s, v) for x, s, v in sorted(rows, key=lambda r: r[1]) if x == u]
+        last = False
+        for k, (s, v) in enumerate(mine):
+            past = [x for _, x in mine[max(0, k - 50) : k]]
+            ratio = v / median(past) if len(past) >= 20 else None
+            spike = ratio is not None and ratio >= 3
+            assert got[u, s][1:] == (spike, spike and not last) and (ratio is None) == (got[u, s][0] is None)
+            last = spike
+    assert len(got) == 700
+    chained = windows.hash_chain(df, ["u"], "s", F.col("s").cast("string"))
+    assert chained.count() == 700 and not windows.verify_chain(chained, ["u"], "s").filter("broken").count()
+
+
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(1, v) for v in [5, 1, 4, 2, 3, 3]], "g int, v int")
     got = {r.percent: r.v for r in windows.nearest_rank(df, ["g"], "v", [0.0, 50.0, 90.0, 100.0]).collect()}
