@@ -18,7 +18,7 @@ For a pair class j, let C be the classes that still fit beside it.
 
 In each case any feasible container of j can be exchanged for the fixed one without
 needing another container. The reduction is repeated until nothing changes; the rest is
-packed by best fit in decreasing order of size.
+packed by best fit, container by container.
 """
 
 from __future__ import annotations
@@ -144,40 +144,39 @@ def _plan(ce: int, cl: int, hist: dict[tuple[int, int], int]) -> list[tuple[int,
                 containers += n
                 changed = True
 
-    # best fit decreasing over what is left; open[re][rl] holds runs (container_from, n) with that much room
-    room = np.zeros((ce + 1, cl + 1), bool)
-    open_runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    waste = np.arange(ce + 1)[:, None] / ce + np.arange(cl + 1)[None, :] / cl
-
-    def keep(re: int, rl: int, at: int, n: int) -> None:
-        open_runs.setdefault((re, rl), []).append((at, n))
-        room[re, rl] = True
-
-    for e, l in order():
-        while left[e, l] > 0:
-            sub = room[e:, l:]
-            if sub.any():
-                k = int(np.argmin(np.where(sub, waste[: ce + 1 - e, : cl + 1 - l], np.inf)))
-                re, rl = e + k // sub.shape[1], l + k % sub.shape[1]
-                at, n = open_runs[re, rl].pop()
-                take = min(n, int(left[e, l]))
-                if take < n:
-                    open_runs[re, rl].append((at + take, n - take))
-                elif not open_runs[re, rl]:
-                    del open_runs[re, rl]
-                    room[re, rl] = False
-                put(e, l, take, at)
-                keep(re - e, rl - l, at, take)
-            else:
-                # new containers, each filled with as many of this pair as fit
-                each = min(ce // e if e else cl // l, cl // l if l else ce // e)
-                full, rest = divmod(int(left[e, l]), each)
-                for count, times in ((full, each), (1 if rest else 0, rest)):
-                    for _ in range(times if count else 0):
-                        put(e, l, count, containers)
-                    if count:
-                        keep(ce - e * times, cl - l * times, containers, count)
-                        containers += count
+    # best fit of what is left: a container opens with the largest pair and takes, again and again, the
+    # pair that fits its room best: the largest product with the room, weighted by how scarce each side is
+    pairs = np.argwhere(left > 0)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -(pairs / [ce, cl]).sum(axis=1), -(pairs / [ce, cl]).max(axis=1)))]
+    count = left[pairs[:, 0], pairs[:, 1]]
+    while len(pairs):
+        size = pairs / [ce, cl]
+        demand = (size * count[:, None]).sum(axis=0) + 1e-12
+        weight = demand / demand.sum()
+        at = 0
+        # the arrays are cut down when half of the pairs are used up
+        while (live := int((count > 0).sum())) and 2 * live > len(pairs):
+            while not count[at]:
+                at += 1
+            free = count.copy()
+            free[at] -= 1
+            members = [at]
+            room = np.array([ce, cl]) - pairs[at]
+            fits = (pairs[:, 0] <= room[0]) & (pairs[:, 1] <= room[1]) & (free > 0)
+            while fits.any():
+                near = np.where(fits, size @ (weight * (room / [ce, cl]) ** 2), -1.0)
+                k = int(np.argmax(near))
+                members.append(k)
+                free[k] -= 1
+                room = room - pairs[k]
+                fits &= (pairs[:, 0] <= room[0]) & (pairs[:, 1] <= room[1])
+                fits[k] &= free[k] > 0
+            n = min(int(count[k]) // members.count(k) for k in set(members))
+            for k in members:
+                put(int(pairs[k, 0]), int(pairs[k, 1]), n, containers)
+                count[k] -= n
+            containers += n
+        pairs, count = pairs[count > 0], count[count > 0]
     left[0, 0] = empties
     while left[0, 0] > 0:
         # an empty example needs no room: spread them over the containers there are
