@@ -116,13 +116,20 @@ def mix_sources(docs: DataFrame, spec: DataFrame, seed: int = 17, tokenizer_dir:
 
 
 def mix_shares(docs: DataFrame, spec: DataFrame, seed: int = 17, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """Per source: weight wanted, tokens and copies in the mix, and the share reached."""
+    """Per source: weight wanted, tokens and copies in the mix, the share of the mix, and that of the total.
+
+    ``share_of_total`` is measured against the tokens of all documents, the total that weights refer to:
+    where a source cannot reach its weight the mix is smaller than that, and the shares of the
+    others in the mix are larger.
+    """
     sizes = materialize(token_sizes(docs, tokenizer_dir), "mix-sizes")
     got = mix_sources(docs, spec, seed, tokenizer_dir, sizes).groupBy(F.col("source_id").alias("_s")).agg(F.count(F.lit(1)).alias("copies"), F.sum("n_tokens").alias("mix_tokens"))
     whole = got.agg(F.sum("mix_tokens")).scalar()
+    every = sizes.agg(F.sum("n_tokens")).scalar()
     names = spec.filter("source_id is not null").select("source_id", F.lower(F.trim("source_id")).alias("_k"), "target_weight", "max_repeats").dropDuplicates(["_k"])
-    j = names.join(got, F.col("_k") == F.col("_s"), "left").withColumn("_all", whole)
+    j = names.join(got, F.col("_k") == F.col("_s"), "left").withColumn("_all", whole).withColumn("_every", every)
     return j.select(
         "source_id", "target_weight", "max_repeats", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"),
         F.round(F.coalesce(F.try_divide(F.coalesce("mix_tokens", F.lit(0)), F.col("_all")), F.lit(0.0)), 6).alias("share"),
+        F.round(F.coalesce(F.try_divide(F.coalesce("mix_tokens", F.lit(0)), F.col("_every")), F.lit(0.0)), 6).alias("share_of_total"),
     )
