@@ -137,7 +137,15 @@ def p4_slices(spark, sf):
     return token_budget.slice_estimates(token_budget.estimate_documents(table(spark, sf, "documents"), table(spark, sf, "token_counts")))
 
 
-@query()
+@query(
+    r"""
+    WITH t AS (SELECT chunk_id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') AS w FROM budget_writer WHERE text IS NOT NULL GROUP BY chunk_id),
+    g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM t WHERE len(w) >= 30),
+    n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id),
+    c AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+    SELECT a AS chunk_id_a, b AS chunk_id_b FROM c JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 2 * c >= x.n + y.n - c
+    """
+)
 def p5_found(spark, sf):
     """Pairs of chunks that share at least half of their three-word runs."""
     pairs, members = neardup.near_duplicates(heavy(spark, sf, "budget_writer"), **CHUNK_PAIRS)
@@ -150,7 +158,15 @@ def p5_groups(spark, sf):
     return neardup.duplicate_groups(heavy(spark, sf, "budget_writer")).withColumnRenamed("id", "chunk_id")
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k+14], ' '))) AS g FROM d WHERE len(w) >= 15),
+    ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k+14], ' '))) AS g FROM i WHERE len(w) >= 15)
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+    """
+)
 def p6_found(spark, sf):
     """Documents and the evaluation items they leak."""
     return leakage.find_leaks(heavy(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
