@@ -13,13 +13,13 @@ def largest_remainder(df: DataFrame, total: int, weight: str, order: str, out: s
     ties by ``order``; never more than min(total, sum of weights). Zero weights get 0. Fractions are compared as whole
     numbers, so no rounding decides a tie."""
     whole = Window.partitionBy()
-    sized = df.withColumn("_w", F.coalesce(F.col(weight), F.lit(0)).cast("decimal(38,0)")).withColumn("_sum", F.sum("_w").over(whole))
-    sized = sized.withColumn("_total", F.least(F.lit(total).cast("decimal(38,0)"), F.col("_sum")))
-    product = (F.col("_total") * F.col("_w")).cast("decimal(38,0)")
-    cut = F.when(F.col("_sum") > 0, F.expr("cast(cast(_total * _w as decimal(38,0)) div _sum as bigint)")).otherwise(F.lit(0))
-    sized = sized.withColumn("_floor", cut).withColumn("_rest", F.when(F.col("_sum") > 0, product % F.col("_sum")).otherwise(F.lit(0)))
-    ranked = sized.withColumn("_rank", F.row_number().over(whole.orderBy(F.desc("_rest"), order))).withColumn("_left", F.col("_total").cast("bigint") - F.sum("_floor").over(whole))
-    return ranked.withColumn(out, (F.col("_floor") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_w", "_sum", "_total", "_floor", "_rest", "_rank", "_left")
+    sized = df.withColumn("__w", F.coalesce(F.col(weight), F.lit(0)).cast("decimal(38,0)")).withColumn("__sum", F.sum("__w").over(whole))
+    sized = sized.withColumn("__total", F.least(F.lit(total).cast("decimal(38,0)"), F.col("__sum")))
+    product = (F.col("__total") * F.col("__w")).cast("decimal(38,0)")
+    cut = F.when(F.col("__sum") > 0, F.expr("cast(cast(__total * __w as decimal(38,0)) div __sum as bigint)")).otherwise(F.lit(0))
+    sized = sized.withColumn("__floor", cut).withColumn("__rest", F.when(F.col("__sum") > 0, product % F.col("__sum")).otherwise(F.lit(0)))
+    ranked = sized.withColumn("__rank", F.row_number().over(whole.orderBy(F.desc("__rest"), order))).withColumn("__left", F.col("__total").cast("bigint") - F.sum("__floor").over(whole))
+    return ranked.withColumn(out, (F.col("__floor") + F.when(F.col("__rank") <= F.col("__left"), 1).otherwise(0)).cast("long")).drop("__w", "__sum", "__total", "__floor", "__rest", "__rank", "__left")
 
 
 def allocate(budget: int, weights: dict[str, float], capacities: dict[str, int]) -> dict[str, int]:
@@ -64,8 +64,8 @@ def blend_weights(blend: DataFrame, stats: DataFrame) -> DataFrame:
 
     blend(source, share), stats(source, lines, bytes). Sources without statistics are left out.
     """
-    per = blend.join(stats, "source").filter("lines > 0 and bytes > 0 and share > 0").withColumn("_w", F.col("share") / (F.col("bytes") / F.col("lines")))
-    return per.select("source", (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("weight"))
+    per = blend.join(stats, "source").filter("lines > 0 and bytes > 0 and share > 0").withColumn("__w", F.col("share") / (F.col("bytes") / F.col("lines")))
+    return per.select("source", (F.col("__w") / F.sum("__w").over(Window.partitionBy())).alias("weight"))
 
 
 def prefix_sums(df: DataFrame, pos: str, value: str, out: str, parts: int = 64) -> DataFrame:
@@ -79,11 +79,11 @@ def prefix_sums(df: DataFrame, pos: str, value: str, out: str, parts: int = 64)
         return df.withColumn(out, F.lit(0).cast("long"))
     width = max(1, -(-(high - low + 1) // parts))
     part = F.floor((F.col(pos) - F.lit(low)) / width).cast("int")
-    ranged = df.withColumn("_part", part)
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
-    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_part", "_before")
+    ranged = df.withColumn("__part", part)
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__s"))
+    before = sums.select("__part", F.coalesce(F.sum("__s").over(Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(before), "__part").withColumn(out, (F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("__part", "__before")
 
 
 def budget_cut(df: DataFrame, pos: str, size: Column, budget: int, shard: int) -> DataFrame:
@@ -103,15 +103,15 @@ def select_quota(df: DataFrame, groups: list[str], quota: Column, *seed: Column)
     """
     from loomtext.functions.text import draw
 
-    drawn = df.withColumn("_draw", draw(*seed)).withColumn("_quota", quota)
-    bucketed = drawn.withColumn("_bucket", F.shiftright("_draw", 48).cast("int"))
-    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
-    keys = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups] + [F.col("l._bucket") == F.col("r._bucket")]
-    joined = bucketed.alias("l").join(before.alias("r"), keys).select("l.*", "r._before")
-    ranked = joined.withColumn("_rn", F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("_draw")))
-    return ranked.withColumn("selected", F.col("_before") + F.col("_rn") <= F.col("_quota")).drop("_draw", "_bucket", "_before", "_rn", "_quota")
+    drawn = df.withColumn("__draw", draw(*seed)).withColumn("__quota", quota)
+    bucketed = drawn.withColumn("__bucket", F.shiftright("__draw", 48).cast("int"))
+    counts = bucketed.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*groups, "__bucket", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
+    keys = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups] + [F.col("l.__bucket") == F.col("r.__bucket")]
+    joined = bucketed.alias("l").join(before.alias("r"), keys).select("l.*", "r.__before")
+    ranked = joined.withColumn("__rn", F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy("__draw")))
+    return ranked.withColumn("selected", F.col("__before") + F.col("__rn") <= F.col("__quota")).drop("__draw", "__bucket", "__before", "__rn", "__quota")
 
 
 def cumulative_draw(df: DataFrame, weights: DataFrame, u: Column, key: str = "source", weight: str = "weight") -> DataFrame:
@@ -126,5 +126,5 @@ def cumulative_draw(df: DataFrame, weights: DataFrame, u: Column, key: str = "so
     for _, w in rows:
         bounds.append((bounds[-1] if bounds else 0.0) + w / total)
     names = F.array(*[F.lit(k) for k, _ in rows])
-    at = F.size(F.filter(F.array(*map(F.lit, bounds[:-1])), lambda b: b <= F.col("_u"))) + 1
-    return df.withColumn("_u", u).withColumn("drawn", F.element_at(names, at)).drop("_u")
+    at = F.size(F.filter(F.array(*map(F.lit, bounds[:-1])), lambda b: b <= F.col("__u"))) + 1
+    return df.withColumn("__u", u).withColumn("drawn", F.element_at(names, at)).drop("__u")

@@ -22,8 +22,8 @@ from loomtext.plans.lineage import materialize
 def mark_first(df: DataFrame, keys: list[str], pos: str, flag: str) -> DataFrame:
     """Adds ``flag``: whether the row is the first of its key. Null keys are keys like any other; rows with a null
     position are never first."""
-    firsts = df.filter(F.col(pos).isNotNull()).groupBy(*keys).agg(F.min(pos).alias("_first")).select("_first", F.lit(True).alias("_is"))
-    return df.join(firsts, F.col(pos) == F.col("_first"), "left").withColumn(flag, F.coalesce("_is", F.lit(False))).drop("_first", "_is")
+    firsts = df.filter(F.col(pos).isNotNull()).groupBy(*keys).agg(F.min(pos).alias("__first")).select("__first", F.lit(True).alias("__is"))
+    return df.join(firsts, F.col(pos) == F.col("__first"), "left").withColumn(flag, F.coalesce("__is", F.lit(False))).drop("__first", "__is")
 
 
 def two_stage(df: DataFrame, pos: str = "doc_id", text: str = "text") -> DataFrame:

@@ -124,14 +124,17 @@ def seeded(seed: int, index: int) -> random.Random:
 def sampled_examples(df: DataFrame, pos: str, tokens: str, mode: Column, seed: int = 17, low: int = 8, high: int = 512) -> DataFrame:
     """(pos, mode, skip, encoder, target, n_spans): admission by length, then the objective of the mode.
 
-    Lengths out of range are skipped with a reason. Every row has its own generator.
+    Lengths out of range and unknown modes are skipped with a reason; rows without a position are left out. Every row has its own generator.
     """
     schema = f"{pos} long, mode string, skip string, encoder array<int>, target array<int>, n_spans int"
 
     def build(p: int, t: list[int], m: str) -> tuple:
         n = len(t) if t is not None else 0
+        m = m if isinstance(m, str) else None
         if n < low or n > high:
             return p, m, "too_short" if n < low else "too_long", None, None, 0
+        if m not in MODES:
+            return p, m, "unknown_mode", None, None, 0
         t, rng = [int(x) for x in t], seeded(seed, p)
         if m == "S":
             k = max(1, min(int(n * rng.uniform(0.25, 0.75)), n - 1))
@@ -148,7 +151,7 @@ def sampled_examples(df: DataFrame, pos: str, tokens: str, mode: Column, seed: i
         for pdf in batches:
             yield pd.DataFrame([build(int(p), t, m) for p, t, m in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], pdf.iloc[:, 2])], columns=[pos, "mode", "skip", "encoder", "target", "n_spans"])
 
-    return df.select(pos, tokens, mode.alias("_mode")).mapInPandas(run, schema)
+    return df.filter(F.col(pos).isNotNull()).select(pos, tokens, mode.alias("_mode")).mapInPandas(run, schema)
 
 
 def pad_to(arr: Column, width: Column, value: int) -> Column:

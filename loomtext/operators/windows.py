@@ -25,29 +25,29 @@ def blocks(df: DataFrame, by: list[str], order: str, halo: int, size: int | None
     if low is None:
         low = high = 0
     width = max(1, -(-(int(high) - int(low) + 1) // parts))
-    cut = df.withColumn("_part", F.floor((F.col(order) - F.lit(int(low))) / width).cast("int"))
-    counts = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "_part"]]
-    joined = cut.alias("l").join(before.alias("r"), same).select("l.*", "r._before")
-    ranked = joined.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1).drop("_part", "_before")
-    own = F.floor(F.col("_rank") / size)
+    cut = df.withColumn("__part", F.floor((F.col(order) - F.lit(int(low))) / width).cast("int"))
+    counts = cut.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "__part"]]
+    joined = cut.alias("l").join(before.alias("r"), same).select("l.*", "r.__before")
+    ranked = joined.withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1).drop("__part", "__before")
+    own = F.floor(F.col("__rank") / size)
     # a row is also the halo of the next block when it stands among the last of its own
-    both = F.when(F.pmod(F.col("_rank"), F.lit(size)) >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
-    return ranked.withColumn("_own", own).withColumn("_block", F.explode(both)).withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
+    both = F.when(F.pmod(F.col("__rank"), F.lit(size)) >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    return ranked.withColumn("__own", own).withColumn("__block", F.explode(both)).withColumn("__halo", F.col("__block") != F.col("__own")).drop("__own")
 
 
 def _done(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("_halo")).drop("_rank", "_block", "_halo")
+    return df.filter(~F.col("__halo")).drop("__rank", "__block", "__halo")
 
 
 def loss_spikes(df: DataFrame, by: list[str], step: str, value: str, window: int = 50, history: int = 20, threshold: float = 3.0) -> DataFrame:
     """Adds ratio (value over the median of up to ``window`` earlier values, null before ``history`` of them), spike and
     rising (a spike that does not continue one)."""
     cut = blocks(df, by, step, window + 1)
-    past = Window.partitionBy(*by, "_block").orderBy("_rank").rowsBetween(-window, -1)
-    order = Window.partitionBy(*by, "_block").orderBy("_rank")
+    past = Window.partitionBy(*by, "__block").orderBy("__rank").rowsBetween(-window, -1)
+    order = Window.partitionBy(*by, "__block").orderBy("__rank")
     finite = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value))
     ratio = F.when(F.count(finite).over(past) >= history, finite / F.nullif(F.percentile(finite, F.lit(0.5)).over(past), F.lit(0.0)))
     out = cut.withColumn("ratio", ratio).withColumn("spike", F.coalesce(F.col("ratio") >= threshold, F.lit(False)))
@@ -56,24 +56,24 @@ def loss_spikes(df: DataFrame, by: list[str], step: str, value: str, window: int
 
 def throughput(df: DataFrame, by: list[str], step: str, seconds: Column) -> DataFrame:
     """Adds seconds since the previous record and since the first of the session, and records per second so far."""
-    timed = df.withColumn("_s", seconds)
-    starts = timed.groupBy(*by).agg(F.min_by("_s", step).alias("_first"))
-    order = Window.partitionBy(*by, "_block").orderBy("_rank")
-    cut = blocks(timed, by, step, 1).withColumn("delta_s", F.col("_s") - F.lag("_s").over(order)).withColumn("done", F.col("_rank"))
+    timed = df.withColumn("__s", seconds)
+    starts = timed.groupBy(*by).agg(F.min_by("__s", step).alias("__first"))
+    order = Window.partitionBy(*by, "__block").orderBy("__rank")
+    cut = blocks(timed, by, step, 1).withColumn("delta_s", F.col("__s") - F.lag("__s").over(order)).withColumn("done", F.col("__rank"))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    out = _done(cut).alias("l").join(starts.alias("r"), same).select("l.*", "r._first").withColumn("session_s", F.col("_s") - F.col("_first"))
-    return out.withColumn("rate", F.when(F.col("session_s") > 0, F.col("done") / F.col("session_s"))).drop("_s", "_first")
+    out = _done(cut).alias("l").join(starts.alias("r"), same).select("l.*", "r.__first").withColumn("session_s", F.col("__s") - F.col("__first"))
+    return out.withColumn("rate", F.when(F.col("session_s") > 0, F.col("done") / F.col("session_s"))).drop("__s", "__first")
 
 
 def hash_chain(df: DataFrame, by: list[str], seq: str, payload: Column) -> DataFrame:
     """Adds hash (of the record) and prev_hash (of the record before; 64 zeros for the first)."""
     cut = blocks(df.withColumn("hash", F.sha2(payload, 256)), by, seq, 1)
-    return _done(cut.withColumn("prev_hash", F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "_block").orderBy("_rank"))))
+    return _done(cut.withColumn("prev_hash", F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "__block").orderBy("__rank"))))
 
 
 def verify_chain(df: DataFrame, by: list[str], seq: str) -> DataFrame:
     """Adds broken: whether prev_hash differs from the hash of the row before."""
-    expected = F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "_block").orderBy("_rank"))
+    expected = F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "__block").orderBy("__rank"))
     return _done(blocks(df, by, seq, 1).withColumn("broken", ~F.col("prev_hash").eqNullSafe(expected)))
 
 
@@ -143,12 +143,12 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[float]
 
     Values are counted first, so what is ordered is the distinct values.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    ranked = counts.withColumn("_upto", F.sum("__n").over(run)).withColumn("_all", F.sum("__n").over(Window.partitionBy(*by)))
     at = ranked.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
     want = F.least(F.col("_all") - 1, F.bround(F.col("percent") / 100 * (F.col("_all") - 1)).cast("long"))
-    return at.filter((want < F.col("_upto")) & (want >= F.col("_upto") - F.col("_n"))).select(*by, "percent", value)
+    return at.filter((want < F.col("_upto")) & (want >= F.col("_upto") - F.col("__n"))).select(*by, "percent", value)
 
 
 def top_shares(counts: DataFrame, n: str, percents: list[int]) -> DataFrame:
