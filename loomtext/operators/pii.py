@@ -147,3 +147,15 @@ def mask_documents(df: DataFrame, pos: str, text: str) -> DataFrame:
             yield pd.DataFrame({pos: pdf[pos], "text": [r[0] for r in rows], **{c: [r[1][c] for r in rows] for c in ("emails", "mentions", "phones")}})
 
     return df.select(pos, text).mapInPandas(run, schema)
+
+
+def mask_names(df: DataFrame, pos: str, name: str) -> DataFrame:
+    """Replaces a column that is known to hold a person's name by an invented one; null and blank names stay."""
+    made = identities(df.withColumn("__i", F.coalesce(F.col(pos), F.lit(0)) * PER_TEXT + PER_TEXT - 1).select(pos, "__i").distinct(), "__i").select(F.col(pos).alias("__p"), F.col("name").alias("__name"))
+    j = df.join(made, F.col(pos).eqNullSafe(F.col("__p")), "left")
+    return j.withColumn(name, F.when(F.trim(name) == "", F.col(name)).when(F.col(name).isNotNull(), F.col("__name"))).drop("__p", "__name")
+
+
+def log_issued(issued: DataFrame, kind: str, index: str, value: str, path: str) -> None:
+    """Appends (kind, index, value) of what was issued; what it replaced is never written."""
+    issued.select(F.lit(kind).alias("kind"), F.col(index).cast("long").alias("index"), F.col(value).alias("value")).write.mode("append").json(path)

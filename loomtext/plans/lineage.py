@@ -72,3 +72,23 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def resume(spark: SparkSession, path: str, rows: int, make) -> DataFrame:
+    """A stage written earlier, if it is whole; otherwise ``make()`` is written there again.
+
+    Whole means: it can be read and holds ``rows`` rows.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = spark.read.parquet(path)
+        if done.count() == rows:
+            return done
+    except AnalysisException:
+        pass
+    make().write.mode("overwrite").parquet(path)
+    done = spark.read.parquet(path)
+    if (n := done.count()) != rows:
+        raise RuntimeError(f"{path} has {n} rows, not {rows}")
+    return done

@@ -206,3 +206,32 @@ def test_lineage(spark):
     assert 60 < s.count() <= 200 and s.exceptAll(hash_sample(df.repartition(5), "id", 100)).isEmpty()
     with pytest.raises(ValueError):
         small_rows(df, 10, "table")
+
+
+def test_names_and_the_log_of_issues(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Jo Doe", "x"), (1, "Jo Doe", "y"), (2, " ", "x"), (3, None, "x")], "id long, who string, email string")
+    got = pii.mask_names(df, "id", "who").collect()
+    made = {r.who for r in got if r.id == 1}
+    assert len(got) == 4 and len(made) == 1 and "Jo Doe" not in made and {r.who for r in got if r.id > 1} == {" ", None}
+    issued = pii.identities(spark.range(3), "id")
+    for _ in range(2):
+        pii.log_issued(issued, "email", "id", "email", str(tmp_path / "log"))
+    log = spark.read.json(str(tmp_path / "log"))
+    assert log.count() == 6 and set(log.columns) == {"kind", "index", "value"}
+
+
+def test_resume(spark, tmp_path):
+    from loomtext.plans.lineage import resume
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(10)
+
+    path = str(tmp_path / "stage")
+    assert resume(spark, path, 10, make).count() == 10 and resume(spark, path, 10, make).count() == 10 and len(made) == 1
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert resume(spark, path, 10, make).count() == 10 and len(made) == 2
+    with pytest.raises(RuntimeError):
+        resume(spark, path, 11, make)
