@@ -41,7 +41,10 @@ END = re.compile(r"[.!?…:;,][\"'”»’)\]]*$")
 STOP = re.compile(r"[.!?…][\"'”»’“)\]]*$")
 #: A line of up to so many words without a full stop is no sentence; one with a mark or number in front, of up to so many.
 STUB, ENTRY = 6, 9
-VOWEL = re.compile(r"[aeiouyàáâäãåæèéêëìíîïòóôöõøùúûüýÿœ]", re.I)
+VOWELS = frozenset("aeiouyàáâäãåæèéêëìíîïòóôöõøùúûüýÿœ")
+
+#: Single letters are too often parts of codes and garbled text.
+FUNCTION = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1)
 
 STATISTICS = ["word_count", "mean_word_length", "symbol_ratio", "end_punct_share", "common_word_share"]
 FEATURES = [
@@ -56,6 +59,7 @@ def statistics(text: str | None) -> list[float]:
         return [0.0] * len(FEATURES)
     chars = ended = lines = 0
     by = dict.fromkeys(FEATURES[5:16], 0)
+    every: list[str] = []
     for line in text.splitlines():
         tokens = line.split()
         if not tokens:
@@ -65,7 +69,8 @@ def statistics(text: str | None) -> list[float]:
         chars += n
         line = line.strip()
         words = WORD.findall(line.lower())
-        common = sum(len(w) > 1 and w in ALL_FUNCTION_WORDS for w in words)
+        every += words
+        common = sum([w in FUNCTION for w in words])
         stop = STOP.search(line) is not None
         ended += stop
         bullet = BULLET.match(line) is not None
@@ -91,17 +96,18 @@ def statistics(text: str | None) -> list[float]:
             by["pair_chars"] += n
         if len(tokens) <= 2:
             by["short_chars"] += n
-        by["long_token_chars"] += sum(len(t) for t in tokens if len(t) > 25)
-    words = WORD.findall(text.lower())
+        if n > 25:
+            by["long_token_chars"] += sum(len(t) for t in tokens if len(t) > 25)
+    words = every
     n_words = max(1, len(words))
     letters = sum(map(len, words))
     digits = sum(map(str.isdigit, text))
     count = Counter(words)
     out = [
-        float(len(words)), letters / n_words, 1 - (letters + digits) / max(1, chars), ended / max(1, lines), sum(n for w, n in count.items() if len(w) > 1 and w in ALL_FUNCTION_WORDS) / n_words,
+        float(len(words)), letters / n_words, 1 - (letters + digits) / max(1, chars), ended / max(1, lines), sum([n for w, n in count.items() if w in FUNCTION]) / n_words,
         *(v / max(1, chars) for v in by.values()),
         digits / max(1, chars), sum(map(str.isupper, text)) / max(1, chars), len(FOREIGN.findall(text)) / max(1, chars),
-        sum(n for w, n in count.items() if len(w) > 2 and not VOWEL.search(w)) / n_words, max((n for w, n in count.items() if w not in ALL_FUNCTION_WORDS), default=0) / n_words, len(count) / n_words,
+        sum(n for w, n in count.items() if len(w) > 2 and VOWELS.isdisjoint(w)) / n_words, max((n for w, n in count.items() if w not in ALL_FUNCTION_WORDS), default=0) / n_words, len(count) / n_words,
         math.log1p(lines), chars / max(1, lines),
     ]
     return out
