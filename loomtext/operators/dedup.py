@@ -105,7 +105,8 @@ def band_hashes(c: Column, shingle: int = 5, least: int = 20) -> Column:
 def minhash_bands(df: DataFrame, pos: str = "doc_id", text: str = "text") -> DataFrame:
     """(pos, band_no, band_hash) of every text long enough to sketch."""
     hashed = df.filter(F.col(text).isNotNull()).select(F.col(pos).alias("pos"), band_hashes(F.col(text)).alias("b"))
-    return hashed.filter("b is not null").select("pos", F.posexplode("b").alias("band_no", "band_hash"))
+    # an outer explode: the filter that Spark infers for the inner one would run the function a second time
+    return hashed.select("pos", F.posexplode_outer("b").alias("band_no", "band_hash")).filter("band_hash is not null")
 
 
 def near_duplicates(bands: DataFrame) -> DataFrame:
