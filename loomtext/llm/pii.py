@@ -4,8 +4,9 @@ Candidates for each kind come from wide patterns. Labelers (patterns, a gazettee
 vote for or against a candidate or abstain; expectation-maximisation over a bounded sample of
 chunks estimates how reliable each labeler is and gives every candidate a probability.
 A logistic span classifier is trained on these probabilities, over the votes, the shape of the
-candidate, its words and its neighbours; it decides for all chunks. Lexicons of given and
-family names are induced from the sample, since the gazetteer is incomplete.
+candidate, its words and its neighbours; it decides for all chunks. Lexicons of common words and
+of given and family names, which are induced since the gazetteer is incomplete, rest on counts
+over all chunks.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.lexicon import ALL_FUNCTION_WORDS
-from loomtext.plans.lineage import hash_sample, small_rows
+from loomtext.plans.lineage import broadcast_if_small, hash_sample, materialize, small_rows
 
 KINDS = ["email", "phone", "identity", "address", "name"]
 #: Chunks, chosen by hash, that come to the driver to estimate the labelers and train the classifier.
 TRAIN_CHUNKS = 12_000
 #: Names the gazetteer may have at most; it is held by every worker.
 MAX_NAMES = 200_000
+#: Words a counted lexicon may have at most; every worker holds them, and more of them are refused.
+MAX_WORDS = 1_000_000
+#: Different records that a task counts before it passes them on.
+MAX_COUNTED = 200_000
 DIM = 1 << 15
 
 # ---------------------------------------------------------------- patterns
@@ -107,6 +112,9 @@ AFTER_NOUN = re.compile(r"^\s+(?![a-zà-ÿ]{1,3}\s|has|from|and|und|et|y|von)[a-
 NAME_CUE = re.compile(r"(?i)(?:contact|contacto|witness|applicant|posted by|signed by|edited by|written by|verfasst von|rédigé par|escrito por|by|zeuge war|zeugin war|témoin|testigo|según|selon|laut|d[’']après|according to|card of|name|owner|author|ask for|tenant|list|said|ansprechpartner\w*|regards|sincerely|greetings|saludos|grüße[n]?|cordialement|cheers|thanks|so|dear|from|von|herr|que|that|though|because|which|what|when|and|und|et|y|with)\W{0,4}$")
 STRONG_CUE = re.compile(r"(?i)(?:contact|contacto|witness|applicant|posted by|signed by|edited by|verfasst von|rédigé par|escrito por|zeuge war|témoin|testigo|según|laut|d[’']après|according to|card of|name\"?[=:]|owner\"?[=:]|ask for|ansprechpartner\w*|regards|saludos|grüßen?|cordialement)\W{0,4}$")
 PLACE_CUE = re.compile(r"(?i)\b(?:in|near|at|to|from|outside|en|à|de|nach|bei|for|born in|hacia|vers|tenant at|beside|of)\s+$")
+TITLES_BEFORE = re.compile(rf"(?:\b(?:{'|'.join(TITLES)})\.?\s+)+$")
+#: Words in lower case, none of addresses or links.
+PLAIN = re.compile(r"(?<![\w@.-])[a-zà-ÿ]{2,}+(?![\w@-])")
 FIELD_AFTER = re.compile(r"^\s*(?:[|;\t<(,:]|-|$)")
 # Words that end the name of a place or a thing.
 THING = frozenset("hall street road lane row avenue close station church school bridge river mill hotel inn house library park museum college company ltd inc gmbh box center centre market".split())
@@ -142,7 +150,7 @@ class Candidate:
 @dataclass
 class Lexicon:
     given: frozenset[str] = frozenset()
-    #: Lower-case words of the sample that are no names.
+    #: Lower-case words that are no names.
     common: frozenset[str] = frozenset()
     induced_given: frozenset[str] = frozenset()
     induced_family: frozenset[str] = frozenset()
@@ -263,7 +271,15 @@ def _low(word: str) -> str:
     return word.lower().strip("'’")
 
 
-def _names(text: str, lex: Lexicon) -> Iterator[Candidate]:
+#: What speaks for or against a name whatever the lexicons hold, as bits.
+COMMA, INITIAL, TITLED, STRONG, PLACE, MENU, MAIL = (1 << k for k in range(7))
+
+
+def _spots(text: str) -> Iterator[tuple[int, int, str, str, str, int, str, str]]:
+    """(start, end, given, family, before, bits, left, right) of what looks like a name, whatever the lexicons hold.
+
+    ``before`` is the word in front of a reversed name that would make its family name the end of a whole name.
+    """
     if not NEAR_CAPITALS.search(text):
         return
     for m in NAME.finditer(text):
@@ -286,12 +302,12 @@ def _names(text: str, lex: Lexicon) -> Iterator[Candidate]:
                 # "Family I." does not end a sentence here
                 continue
             comma = parts[j][2] == ","
+            before = ""
             if comma:
                 if j != i + 1 or parts[i][2].endswith(".") or j + 1 >= len(parts) or parts[j + 1][2] == ",":
                     continue
-                if x and words[x - 1] == i - 1 and _low(parts[i - 1][2]) in lex.all_given:
-                    # the family name ends a whole name: what follows the comma is something else
-                    continue
+                if x and words[x - 1] == i - 1:
+                    before = _low(parts[i - 1][2])
                 j += 1
             if j in titles:
                 continue
@@ -309,53 +325,77 @@ def _names(text: str, lex: Lexicon) -> Iterator[Candidate]:
             g, f = _low(first[2].rstrip(".")), _low(last[2])
             if ELIDED.match(g):
                 continue
-            gp, fp = g.split("-"), f.split("-")
-            initial = first[2].endswith(".")
-            ctx, left, right = _context(text, a[0], end)
-            left_strip = re.sub(rf"(?:\b(?:{'|'.join(TITLES)})\.?\s+)+$", "", left)
+            left, right = text[max(0, a[0] - 40) : a[0]], text[end : end + 40]
+            left_strip = TITLES_BEFORE.sub("", left)
             titled = left_strip != left
-            in_gaz = not initial and any(x in lex.given for x in gp)
-            known = not initial and any(x in lex.induced_given for x in gp)
-            if comma and lex.induced_given and not (in_gaz or known or initial):
-                # once given names are induced, "Word, Word" without one is an enumeration
-                continue
-            family_common = any(x in lex.common or x in ALL_FUNCTION_WORDS for x in fp) or f in THING
-            given_common = not initial and not in_gaz and g in ALL_FUNCTION_WORDS
-            known_family = any(x in lex.induced_family for x in fp)
             strong = bool(STRONG_CUE.search(left_strip))
-            place = bool(PLACE_CUE.search(left)) and not titled and not strong
+            place = not titled and not strong and bool(PLACE_CUE.search(left))
             menu = bool(re.search(r"[|»]\s*$", left)) and bool(re.match(r"\s*[|»]", right)) or bool(re.match(r"\s+[|»]", right)) and not re.search(r"@|\[dot\]|\d{3}", right)
-            mail = bool(re.match(r"[\s|;,(<:]*(?:mailto:)?\x00", right))
-            votes = [
-                1 if in_gaz and not family_common else 0,
-                1 if titled else 0,
-                1 if strong else 0,
-                1 if mail else 0,
-                -1 if family_common else 0,
-                -1 if f in THING or place and not in_gaz else 0,
-                -1 if menu and not in_gaz and not mail else 0,
-                -1 if given_common else 0,
-                1 if known_family and not given_common else 0,
-                1 if known and not family_common else 0,
-                -1 if comma and not (in_gaz or known) else 0,
-            ]
-            yield Candidate(
-                "name", a[0], end, votes,
-                [f"g={g}", f"f={f}", f"g3={g[-3:]}", f"f3={f[-3:]}", f"f4={f[-4:]}", f"p4={f[:4]}", f"gaz={in_gaz}", f"known={known}", f"kf={known_family}", f"fc={family_common}", f"gc={given_common}", f"title={titled}", f"comma={comma}", f"ini={initial}", f"place={place}", f"cue={bool(NAME_CUE.search(left_strip))}", f"strong={strong}", f"menu={menu}", f"both={in_gaz or known}/{known_family}", f"field={bool(FIELD_AFTER.match(right))}", *ctx],
-            )
+            # after "Word, Word:" an address belongs to a label
+            mail = bool(re.match(r"[\s|;,(<:]*(?:mailto:)?\x00", right)) and not (comma and right.startswith(":"))
+            yield a[0], end, g, f, before, COMMA * comma | INITIAL * first[2].endswith(".") | TITLED * titled | STRONG * strong | PLACE * place | MENU * menu | MAIL * mail, left_strip, right
+
+
+def _name_votes(g: str, f: str, bits: int, lex: Lexicon) -> tuple[list[int], bool, bool, bool, bool, bool]:
+    """Votes on a name, and whether its words are in the gazetteer, induced as given, common (both) and induced as family."""
+    gp, fp = g.split("-"), f.split("-")
+    initial, comma = bits & INITIAL, bits & COMMA
+    in_gaz = not initial and any(x in lex.given for x in gp)
+    known = not initial and any(x in lex.induced_given for x in gp)
+    family_common = any(x in lex.common or x in ALL_FUNCTION_WORDS for x in fp) or f in THING
+    given_common = not initial and not in_gaz and g in ALL_FUNCTION_WORDS
+    known_family = any(x in lex.induced_family for x in fp)
+    votes = [
+        1 if in_gaz and not family_common else 0,
+        1 if bits & TITLED else 0,
+        1 if bits & STRONG else 0,
+        1 if bits & MAIL else 0,
+        -1 if family_common else 0,
+        -1 if f in THING or bits & PLACE and not in_gaz else 0,
+        -1 if bits & MENU and not in_gaz and not bits & MAIL else 0,
+        -1 if given_common else 0,
+        1 if known_family and not given_common else 0,
+        1 if known and not family_common else 0,
+        # once given names are induced, "Word, Word" without one is rather an enumeration
+        -1 if comma and not (in_gaz or known) else 0,
+    ]
+    return votes, in_gaz, known, family_common, given_common, known_family
 
 
-def candidates(text: str, lex: Lexicon) -> list[Candidate]:
-    """All candidates of a text. Later kinds do not look inside spans of earlier ones that their patterns settle."""
+def _names(text: str, lex: Lexicon) -> Iterator[Candidate]:
+    for start, end, g, f, before, bits, left_strip, right in _spots(text):
+        if before and before in lex.all_given:
+            # the family name ends a whole name: what follows the comma is something else
+            continue
+        ctx, _, _ = _context(text, start, end)
+        votes, in_gaz, known, family_common, given_common, known_family = _name_votes(g, f, bits, lex)
+        comma, initial, titled, strong, place, menu = (bool(bits & x) for x in (COMMA, INITIAL, TITLED, STRONG, PLACE, MENU))
+        yield Candidate(
+            "name", start, end, votes,
+            [f"g={g}", f"f={f}", f"g3={g[-3:]}", f"f3={f[-3:]}", f"f4={f[-4:]}", f"p4={f[:4]}", f"gaz={in_gaz}", f"known={known}", f"kf={known_family}", f"fc={family_common}", f"gc={given_common}", f"title={titled}", f"comma={comma}", f"ini={initial}", f"place={place}", f"cue={bool(NAME_CUE.search(left_strip))}", f"strong={strong}", f"menu={menu}", f"both={in_gaz or known}/{known_family}", f"field={bool(FIELD_AFTER.match(right))}", *ctx],
+        )
+
+
+def _settled(text: str, names_only: bool = False) -> tuple[list[Candidate], str, str]:
+    """Addresses, identity numbers and streets; the text without the addresses, and without all three.
+
+    With ``names_only`` a text in which nothing looks like a name is not searched further.
+    """
     found = list(_emails(text))
-    hidden = _blank(text, [(c.start, c.end) for c in found])
-    if DIGIT.search(hidden):
+    plain = hidden = _blank(text, [(c.start, c.end) for c in found])
+    if DIGIT.search(hidden) and not (names_only and not NAME.search(hidden)):
         ids = list(_identities(hidden))
-        found += ids
         hidden = _blank(hidden, [(c.start if c.label is None else c.label, c.end) for c in ids if c.votes[0] > 0])
         streets = list(_addresses(hidden))
-        found += streets
         hidden = _blank(hidden, [(c.start, c.end) for c in streets])
+        found += ids + streets
+    return found, plain, hidden
+
+
+def candidates(text: str, lex: Lexicon) -> list[Candidate]:
+    """All candidates of a text. Later kinds do not look inside spans of earlier ones that their patterns settle."""
+    found, _, hidden = _settled(text)
+    if DIGIT.search(hidden):
         found += _phones(hidden)
     found += _names(hidden, lex)
     return found
@@ -431,45 +471,145 @@ def _train_classifier(cands: list[Candidate], targets: np.ndarray, rounds: int =
     return w
 
 
-def train_on(texts: list[str], given_names: list[str]) -> SpanModel:
-    given = frozenset(_low(x) for x in given_names if x and x.strip())
-    plain: Counter[str] = Counter()
-    for t in texts:
-        plain.update(re.findall(r"(?<![\w@.-])[a-zà-ÿ]{2,}(?![\w@-])", t))
-    lex = Lexicon(given, frozenset(w for w, n in plain.items() if n >= 3))
-    for step in range(3):
-        cands = [c for t in texts for c in candidates(t, lex)]
-        target = np.zeros(len(cands))
-        for kind in KINDS:
-            mine = [k for k, c in enumerate(cands) if c.kind == kind]
-            if mine:
-                votes = np.array([cands[k].votes for k in mine])
-                target[mine] = LabelModel().fit(votes).posterior(votes)
-        if step == 2:
-            break
-        # names that the sample supports: given names seen with several families, and the reverse
-        pairs: dict[str, Counter[str]] = {"g": Counter(), "f": Counter()}
-        partners: dict[str, dict[str, set[str]]] = {"g": defaultdict(set), "f": defaultdict(set)}
-        total: dict[str, Counter[str]] = {"g": Counter(), "f": Counter()}
-        for c, p in zip(cands, target):
-            if c.kind == "name":
-                feats = dict(x.split("=", 1) for x in c.features if "=" in x)
-                family = next((x for x in c.features if x.startswith("f=")), "")
-                for key, word, other in (("g", feats["g"], family[2:]), ("f", family[2:], feats["g"])):
+# ---------------------------------------------------------------- counts over all chunks
+#: What looks like a name: given, family, the word before, bits.
+Record = tuple[str, str, str, int]
+
+
+def count_text(text: str, words: Counter[str], names: Counter[Record]) -> None:
+    """Adds the lower-case words outside addresses and what looks like a name; neither depends on a lexicon."""
+    _, plain, hidden = _settled(text, names_only=True)
+    words.update(PLAIN.findall(plain))
+    names.update(x[2:6] for x in _spots(hidden))
+
+
+class Judge:
+    """Whether what looks like a name is probably one, by the lexicons and the labelers' reliabilities; None where it is no candidate."""
+
+    def __init__(self, lex: Lexicon, model: LabelModel):
+        self.lex, self.model, self.known = lex, model, {}
+
+    def __call__(self, g: str, f: str, before: str, bits: int) -> bool | None:
+        if before and before in self.lex.all_given:
+            return None
+        votes = tuple(_name_votes(g, f, bits, self.lex)[0])
+        if votes not in self.known:
+            self.known[votes] = bool(self.model.posterior(np.array([votes]))[0] > 0.8)
+        return self.known[votes]
+
+
+def _good_names(words: list[tuple[str, str]]) -> tuple[frozenset[str], frozenset[str]]:
+    return tuple(frozenset(y for k, w in words if k == key and w not in ALL_FUNCTION_WORDS for y in w.split("-")) for key in "gf")
+
+
+class Counts:
+    """Counts over a list of texts, for tests and small tables."""
+
+    def __init__(self, texts: list[str]):
+        self.words: Counter[str] = Counter()
+        self.names: Counter[Record] = Counter()
+        for t in texts:
+            count_text(t, self.words, self.names)
+
+    def common(self, least: int = 3) -> frozenset[str]:
+        return frozenset(w for w, n in self.words.items() if n >= least)
+
+    def induced(self, judge: Judge) -> tuple[frozenset[str], frozenset[str]]:
+        """Given names that are probably seen with several families, and the reverse."""
+        total: Counter[tuple[str, str]] = Counter()
+        likely: Counter[tuple[str, str]] = Counter()
+        partners: dict[tuple[str, str], set[str]] = defaultdict(set)
+        for (g, f, before, bits), n in self.names.items():
+            if (good := judge(g, f, before, bits)) is not None:
+                for key, word, other in (("g", g, f), ("f", f, g)):
                     if len(word) > 1:
-                        total[key][word] += 1
-                        pairs[key][word] += p > 0.8
-                        if p > 0.8:
-                            partners[key][word].add(other)
-        good = lambda key: frozenset(y for w, n in pairs[key].items() if len(partners[key][w]) >= 2 and n >= 0.4 * total[key][w] and w not in ALL_FUNCTION_WORDS for y in w.split("-"))
-        lex = Lexicon(given, lex.common, good("g"), good("f"))
+                        total[key, word] += n
+                        if good:
+                            likely[key, word] += n
+                            partners[key, word].add(other)
+        return _good_names([k for k in total if len(partners[k]) >= 2 and likely[k] >= 0.4 * total[k]])
+
+
+class TableCounts:
+    """The same over all rows of a table, by grouped sums; only the lexicons leave the executors."""
+
+    def __init__(self, chunks: DataFrame, id_col: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words: Counter[str] = Counter()
+            names: Counter[Record] = Counter()
+
+            def frame() -> pd.DataFrame:
+                rows = [("w", w, "", "", 0, n) for w, n in words.items()] + [("n", *r, n) for r, n in names.items()]
+                words.clear()
+                names.clear()
+                return pd.DataFrame(rows, columns=["kind", "g", "f", "before", "bits", "n"])
+
+            for pdf in batches:
+                for t in pdf.text:
+                    count_text(t, words, names)
+                    if len(words) + len(names) >= MAX_COUNTED:
+                        yield frame()
+            yield frame()
+
+        rows = once(chunks.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(id_col, "text"), id_col)
+        counted = rows.select("text").mapInPandas(run, "kind string, g string, f string, before string, bits int, n long")
+        self.n = materialize(counted.groupBy("kind", "g", "f", "before", "bits").agg(F.sum("n").alias("n")), "personal-counts")
+
+    def common(self, least: int = 3) -> frozenset[str]:
+        # only words of what looks like a family name are ever looked up
+        asked = self.n.filter("kind = 'n'").select(F.explode(F.split("f", "-")).alias("g")).distinct()
+        words = self.n.filter((F.col("kind") == "w") & (F.col("n") >= least)).select("g").join(asked, "g", "left_semi")
+        return frozenset(r.g for r in small_rows(words, MAX_WORDS, "common words"))
+
+    def induced(self, judge: Judge) -> tuple[frozenset[str], frozenset[str]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                good = [judge(*r) for r in zip(pdf.g, pdf.f, pdf.before, pdf.bits)]
+                there = [x is not None for x in good]
+                yield pdf.loc[there, ["g", "f", "n"]].assign(good=[bool(x) for x in good if x is not None])
+
+        seen = self.n.filter("kind = 'n'").select("g", "f", "before", "bits", "n").mapInPandas(run, "g string, f string, n long, good boolean")
+        sides = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("word"), F.col(o).alias("other")) for k, o in (("g", "f"), ("f", "g"))])
+        pairs = seen.select(F.explode(sides).alias("s"), "n", "good").select("s.*", "n", "good").filter(F.length("word") > 1)
+        pairs = pairs.groupBy("key", "word", "other").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("likely"))
+        words = pairs.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("likely").alias("likely"), F.count(F.when(F.col("likely") > 0, 1)).alias("partners"))
+        words = words.filter((F.col("partners") >= 2) & (F.col("likely") >= 0.4 * F.col("n"))).select("key", "word")
+        return _good_names([(r.key, r.word) for r in small_rows(words, MAX_WORDS, "induced names")])
+
+
+def once(rows: DataFrame, id_col: str) -> DataFrame:
+    """Rows delivered twice taken once; only rows whose id occurs twice are moved for that."""
+    twice = materialize(rows.groupBy(id_col).count().filter("count > 1").select(id_col), "repeated-ids")
+    if twice.isEmpty():
+        return rows
+    twice = broadcast_if_small(twice, MAX_WORDS)
+    return rows.join(twice, id_col, "left_anti").unionByName(rows.join(twice, id_col, "left_semi").dropDuplicates())
+
+
+def train_on(texts: list[str], given_names: list[str], counts: Counts | TableCounts | None = None) -> SpanModel:
+    """Labelers and classifier of a sample of texts; the lexicons of ``counts``, or of the texts themselves."""
+    counts = Counts(texts) if counts is None else counts
+    given = frozenset(_low(x) for x in given_names if x and x.strip())
+    lex = Lexicon(given, counts.common())
+    spots = [x[2:6] for t in texts for x in _spots(_settled(t)[2])]
+    for _ in range(2):
+        votes = [_name_votes(g, f, bits, lex)[0] for g, f, before, bits in spots if not (before and before in lex.all_given)]
+        if votes:
+            lex = Lexicon(given, lex.common, *counts.induced(Judge(lex, LabelModel().fit(np.array(votes)))))
+    cands = [c for t in texts for c in candidates(t, lex)]
+    target = np.zeros(len(cands))
+    for kind in KINDS:
+        mine = [k for k, c in enumerate(cands) if c.kind == kind]
+        if mine:
+            votes = np.array([cands[k].votes for k in mine])
+            target[mine] = LabelModel().fit(votes).posterior(votes)
     return SpanModel(lex, _train_classifier(cands, target))
 
 
 def train(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", train_chunks: int = TRAIN_CHUNKS) -> SpanModel:
     rows = sorted(hash_sample(chunks.select(id_col, "text"), id_col, train_chunks).filter("text is not null").collect(), key=lambda r: str(r[0]))
     names = [r[0] for r in small_rows(given_names.select("given_name").filter("given_name is not null"), MAX_NAMES, "given names")]
-    return train_on(list({r[0]: r.text for r in rows}.values()), names)
+    return train_on(list({r[0]: r.text for r in rows}.values()), names, TableCounts(chunks, id_col))
 
 
 def find_personal(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", model: SpanModel | None = None) -> DataFrame:

@@ -110,6 +110,43 @@ def test_positions_and_masks(spark, clashing, spans):
     assert pii.find_personal(df.limit(0), given).count() == 0
 
 
+def test_lexicons_rest_on_all_chunks(spark):
+    from loomtext.plans.lineage import hash_sample
+
+    family = ["Brannock", "Fallerby", "Quillow", "Pembwicke", "Torrander"]
+    frames = ["{p} Contact: {n}, +1 555 555 0144.", "Ms {n} said so. {p}", "Plane Iron | Kerby Road | Saw Blade » Fog Layer\n{p} See Holby Hall.", "{p} Oak Board | Census Roll | Valley Road."]
+    texts = [frames[k % 4].format(p=PROSE[k % 6], n=f"{GIVEN[k // 4 % 5]} {family[k // 20 % 5]}") for k in range(600)]
+    sample = {r[0] for r in hash_sample(spark.range(600), "id", 100).collect()}
+    rest = [k for k in range(600) if k not in sample]
+    for k, f in zip(rest, family):
+        texts[k] = f"{PROSE[0]} Contact: Ysolde {f}, +1 555 555 0144. He sold some tillwort."
+    reversed_at = rest[10]
+    texts[reversed_at] = f"{PROSE[1]} According to Quillow, Ysolde, the list was never sent."
+    rows = [(k, t, "a") for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[rest[0]], rows[rest[0]], (None, "tillwort Mae Tillwort", "a"), (601, None, "a")], CHUNK)
+    given = spark.createDataFrame([(g, "en") for g in GIVEN], "given_name string, lang string")
+    model = pii.train(df, given, train_chunks=100)
+    assert "ysolde" in model.lex.induced_given
+    start = texts[reversed_at].index("Quillow")
+    assert ("name", start, start + len("Quillow, Ysolde")) in model.spans(texts[reversed_at])
+    # by grouped sums or in one list: the same, and repeated rows once
+    whole, counts = pii.Counts(texts), pii.TableCounts(df, "chunk_id")
+    got = counts.n.collect()
+    assert {(r.g, r.f, r.before, r.bits): r.n for r in got if r.kind == "n"} == dict(whole.names)
+    assert {r.g: r.n for r in got if r.kind == "w"} == dict(whole.words)
+    assert counts.common() == {w for w in whole.common() if any(w in r[1].split("-") for r in whole.names)}
+    judge = pii.Judge(model.lex, pii.LabelModel().fit(np.array([[1] + [0] * 10, [0] * 4 + [-1] + [0] * 6])))
+    assert counts.induced(judge) == whole.induced(judge)
+
+
+def test_reversed_names_without_a_known_given_name_stay_candidates():
+    lex = pii.Lexicon(frozenset({"anna"}), frozenset(), frozenset({"nora"}), frozenset({"quillow"}))
+    got = [c for c in pii.candidates("According to Quillow, Ysolde, it was late.", lex) if c.kind == "name"]
+    assert [(c.start, c.votes[-1]) for c in got] == [(13, -1)]
+    label = [c for c in pii.candidates("She lives in der Nähe, Anschrift: Alte Gasse 149.", lex) if c.kind == "name"]
+    assert [sum(c.votes) for c in label] == [-1]
+
+
 def test_label_model_learns_who_is_reliable():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
