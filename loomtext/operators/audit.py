@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.operators import dedup, quality
+from loomtext.operators import dedup, quality, tokens
 from loomtext.plans.lineage import shared_dir
 
 
@@ -19,23 +19,19 @@ def pass1(docs: DataFrame) -> DataFrame:
 
 
 def pass2(docs: DataFrame, byte_share: float = 0.02, fertility: float = 4.0) -> DataFrame:
-    """(doc_id, source, bits, reasons) of the second pass.
-
-    Without a tokenizer model at hand the byte share is that of code points beyond Latin
-    Extended, which a byte-fallback vocabulary would spell out, and the fertility is the one of
-    four bytes a token.
-    """
+    """(doc_id, source, bits, reasons) of the second pass; byte share and fertility are those of the tokenizer model."""
     near = dedup.near_duplicates(dedup.minhash_bands(docs)).withColumnRenamed("pos", "doc_id")
     c = F.coalesce(F.col("text"), F.lit(""))
     kind = quality.source_class(F.col("source"))
-    est = F.octet_length(c) / 4
+    classed = docs.select("doc_id", "source", "text", (kind == "code").alias("_code"), (kind == "qa").alias("_qa"))
+    fit = tokens.fitness(classed, ["doc_id", "source", "text"], "text", "_code", qa="_qa", byte_share=byte_share, most=fertility)
     flags = quality.structural_rules(F.col("text"), F.col("source")) | {
-        "byte_fallback": T.ratio(T.count_match(c, r"[^\x00-ɏ‘-‟…–—\s]"), est) >= F.when(kind == "code", 0.05).otherwise(byte_share),
-        "fertility": ~kind.isin("code", "qa") & (F.size(T.tokens(c)) >= 30) & (T.ratio(est, F.size(T.tokens(c))) >= fertility),
+        "byte_fallback": F.col("byte_fallback"),
+        "fertility": F.col("fertility"),
         "near_duplicate": F.coalesce("is_near_duplicate", F.lit(False)),
         "corrupt_or_empty": T.strip(c) == "",
     }
-    marked = docs.select("doc_id", "source", "text").join(near, "doc_id", "left")
+    marked = fit.join(near, "doc_id", "left")
     bits = marked.select("doc_id", F.lower(F.trim("source")).alias("source"), quality.bitmask(quality.PASS2, flags).alias("bits"))
     return bits.withColumn("reasons", quality.decode_bits(quality.PASS2, F.col("bits")))
 

@@ -94,10 +94,15 @@ def id_histogram(ids: DataFrame, name: str, vocabulary: int) -> DataFrame:
     return spark.range(vocabulary).join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def fitness(df: DataFrame, keys: list[str], text: str, code: str, path: str = TOKENIZER) -> DataFrame:
-    """(keys, byte_fallback, fertility): a large share of byte tokens; many tokens a word over thirty words and more.
+#: Byte pieces of white space, which say nothing about a text's script.
+WHITE_BYTES = ["<0x09>", "<0x0A>", "<0x0B>", "<0x0C>", "<0x0D>", "<0x20>"]
+
+
+def fitness(df: DataFrame, keys: list[str], text: str, code: str, path: str = TOKENIZER, qa: str | None = None, byte_share: float = 0.02, most: float = 4.0) -> DataFrame:
+    """(keys, byte_fallback, fertility): a large share of byte tokens other than white space; many tokens a word over thirty words and more.
 
     ``code`` names a boolean column: code may have 5 % of byte tokens instead of 2 %, and no limit of tokens a word.
+    Nor have the questions that the boolean column ``qa`` names.
     """
     from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -105,15 +110,16 @@ def fitness(df: DataFrame, keys: list[str], text: str, code: str, path: str = TO
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sp = _processor(path)
+        white = {i for i in map(sp.piece_to_id, WHITE_BYTES) if sp.is_byte(i)}
         for pdf in batches:
             out = []
-            for t, is_code in zip(pdf[text].fillna(""), pdf[code]):
+            for t, is_code, free in zip(pdf[text].fillna(""), pdf[code], pdf[code] | pdf[qa] if qa else pdf[code]):
                 ids = sp.encode(t)
-                bytes_, words = sum(map(sp.is_byte, ids)), len(t.split())
-                out.append((bytes_ >= (0.05 if is_code else 0.02) * max(1, len(ids)) and bytes_ > 0, not is_code and words >= 30 and len(ids) >= 4 * words))
+                bytes_, words = sum(sp.is_byte(i) and i not in white for i in ids), len(t.split())
+                out.append((bytes_ >= (0.05 if is_code else byte_share) * max(1, len(ids)) and bytes_ > 0, not free and words >= 30 and len(ids) >= most * words))
             yield pdf[keys].assign(byte_fallback=[a for a, _ in out], fertility=[b for _, b in out])
 
-    return df.select(*dict.fromkeys([*keys, text, code])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*keys, text, code, *([qa] if qa else [])])).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ segmentation with given pieces

@@ -31,8 +31,9 @@ def tokenizer_scan(spark, sf):
 @query()
 def tokenizer_fitness(spark, sf):
     """Texts that a vocabulary fits badly."""
-    docs = _docs(spark, sf).withColumn("is_code", quality.source_class(F.col("source")) == "code")
-    return tokens.fitness(docs, ["doc_id"], "text", "is_code")
+    kind = quality.source_class(F.col("source"))
+    docs = _docs(spark, sf).withColumns({"is_code": kind == "code", "is_qa": kind == "qa"})
+    return tokens.fitness(docs, ["doc_id"], "text", "is_code", qa="is_qa")
 
 
 @query()

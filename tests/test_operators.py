@@ -235,3 +235,13 @@ def test_resume(spark, tmp_path):
     assert resume(spark, path, 10, make).count() == 10 and len(made) == 2
     with pytest.raises(RuntimeError):
         resume(spark, path, 11, make)
+
+
+def test_second_pass_uses_the_tokenizer(spark):
+    from loomtext.operators import audit
+
+    split = " ".join(f"xq{k}zvkwpj" for k in range(40)) + "."
+    prose = " ".join(["The keeper went down to the harbour and saw that the boats had come back."] * 3)
+    rows = [(1, "web_a", split), (2, "qa_b", split), (3, "code_c", split), (4, "web_a", prose.replace(". ", ".\n\t\n\n")), (5, "web_a", prose + " 漢字 " + "\U00013000\U00013001" * 3), (6, "web_a", None)]
+    got = {r.doc_id: set(r.reasons) & {"byte_fallback", "fertility"} for r in audit.pass2(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {1: {"fertility"}, 2: set(), 3: set(), 4: set(), 5: {"byte_fallback"}, 6: set()}
