@@ -9,6 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from loomtext.operators.blend import prefix_sums
+from loomtext.plans.lineage import materialize, small_rows
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])")
 MENTION = re.compile(r"(?<![\w@/.`])@(?![\w.-]+/)[A-Za-z]\w{1,30}\b")
@@ -45,17 +49,35 @@ class Allocator:
     domains = ["mail.example", "post.example", "inbox.example", "letters.example", "home.example"]
     styles = 5
 
-    def __init__(self, salt: int = 0):
-        self.size = math.prod((len(self.first), len(self.last), self.styles, 1000, len(self.domains)))
+    def __init__(self, salt: int = 0, suffixes: int = 1000):
+        self.suffixes = suffixes
+        self.size = math.prod((len(self.first), len(self.last), self.styles, suffixes, len(self.domains)))
+        #: Handles have no domain, and no dot to tell two styles apart.
+        self.handles = math.prod((len(self.first), len(self.last), self.styles - 1, suffixes))
         a = 48_271 + salt
-        while math.gcd(a, self.size) != 1:
+        while math.gcd(a, self.size * self.handles) != 1:
             a += 1
         self.multiplier, self.offset = a, salt * 40_503 % self.size
 
+    @classmethod
+    def holding(cls, wanted: int) -> Allocator:
+        """The smallest pools with at least ``wanted`` addresses and handles."""
+        made = cls()
+        while min(made.size, made.handles) < wanted:
+            made = cls(suffixes=made.suffixes * 10)
+        return made
+
+    def handle(self, index: int) -> str:
+        x = (index % self.handles * self.multiplier + self.offset) % self.handles
+        x, suffix = divmod(x, self.suffixes)
+        x, style = divmod(x, self.styles - 1)
+        f, n = self.first[x // len(self.last)], self.last[x % len(self.last)]
+        return f"@{[f'{f}_{n}', f'{n}_{f}', f + n, f[0] + n][style]}{suffix or ''}"
+
     def email(self, index: int) -> str:
         x = (index % self.size * self.multiplier + self.offset) % self.size
         x, d = divmod(x, len(self.domains))
-        x, suffix = divmod(x, 1000)
+        x, suffix = divmod(x, self.suffixes)
         x, style = divmod(x, self.styles)
         f, n = self.first[x // len(self.last)], self.last[x % len(self.last)]
         local = [f"{f}.{n}", f"{n}.{f}", f + n, f[0] + n, f"{f}_{n}"][style]
@@ -69,7 +91,7 @@ def identities(df: DataFrame, index: str, allocator: Allocator | None = None) ->
     div = lambda c, n: F.floor(c / n).cast("long")
     x = F.pmod(F.pmod(F.col(index), F.lit(a.size)) * a.multiplier + a.offset, F.lit(a.size))
     out = df.withColumn("_x", x.cast("long")).withColumn("_d", F.pmod("_x", F.lit(len(a.domains)))).withColumn("_x", div(F.col("_x"), len(a.domains)))
-    out = out.withColumn("_suffix", F.pmod("_x", F.lit(1000))).withColumn("_x", div(F.col("_x"), 1000))
+    out = out.withColumn("_suffix", F.pmod("_x", F.lit(a.suffixes))).withColumn("_x", div(F.col("_x"), a.suffixes))
     out = out.withColumn("_style", F.pmod("_x", F.lit(a.styles))).withColumn("_x", div(F.col("_x"), a.styles))
     out = out.withColumn("first", pick(a.first, div(F.col("_x"), len(a.last)))).withColumn("last", pick(a.last, F.pmod("_x", F.lit(len(a.last)))))
     f, n = F.col("first"), F.col("last")
@@ -92,8 +114,21 @@ def reserve(counts: DataFrame, key: str, wanted: str, start: int = 0) -> DataFra
     return counts.withColumn("first_index", (F.sum(wanted).over(Window.partitionBy().orderBy(key)) - F.col(wanted) + start).cast("long"))
 
 
+#: Layers of numbers that a value may fall back to when it is reserved.
+LAYERS = 16
+
+
 def mask_text(text: str, base: int, allocator: Allocator) -> tuple[str, dict[str, int]]:
     """One text: addresses, then handles, then phones; what is equal before is equal after. Protected stretches stay."""
+    return _mask(text, base, allocator)[:2]
+
+
+def _mask(text: str, base: int, allocator: Allocator, total: int = 0, reserved: frozenset[str] = frozenset()) -> tuple[str, dict[str, int], int]:
+    """mask_text, and how many different items the text has; they take the numbers from ``base`` on.
+
+    All texts together take ``total`` numbers. A number whose value is reserved is left out for the
+    one ``total`` further on, which no other item can take.
+    """
     seen: dict[str, str] = {}
     counts = {"emails": 0, "mentions": 0, "phones": 0}
 
@@ -107,15 +142,18 @@ def mask_text(text: str, base: int, allocator: Allocator) -> tuple[str, dict[str
                 return s
             counts[kind] += 1
             if s not in seen:
-                seen[s] = make(s, base + len(seen))
+                index = base + len(seen)
+                seen[s] = next((v for k in range(LAYERS) if (v := make(s, index + k * total)) not in reserved), None)
+                if seen[s] is None:
+                    raise ValueError(f"number {index} has only reserved values")
             return seen[s]
 
         text = pattern.sub(one, text)
 
     swap("emails", EMAIL, lambda s, i: allocator.email(i))
-    swap("mentions", MENTION, lambda s, i: "@" + allocator.email(i).split("@")[0].replace(".", "_"))
+    swap("mentions", MENTION, lambda s, i: allocator.handle(i))
     swap("phones", PHONE, _same_shape)
-    return text, counts
+    return text, counts, len(seen)
 
 
 def _same_shape(s: str, index: int) -> str:
@@ -126,27 +164,50 @@ def _same_shape(s: str, index: int) -> str:
     return s[:head] + "".join(next(new) if c.isdigit() else c for c in s[head:])
 
 
-#: Numbers that one text may use for its replacements.
+#: Distance between the numbers of two invented names.
 PER_TEXT = 1000
+#: Reserved values that every worker may hold.
+MAX_RESERVED = 1_000_000
 
 
-def mask_documents(df: DataFrame, pos: str, text: str) -> DataFrame:
-    """(pos, text, emails, mentions, phones). Null stays null.
+def mask_documents(df: DataFrame, pos: str, text: str, reserved: DataFrame | None = None) -> DataFrame:
+    """(pos, text, emails, mentions, phones). Null stays null; ``pos`` is unique.
 
-    The numbers of a text start at its position times PER_TEXT: no state is shared and any
-    partitioning gives the same result.
+    The different items of every text are counted first. Prefix sums of the counts give every text
+    a range of numbers of its own, so that no two items of the table share an address or a handle, and any
+    partitioning gives the same result; the pools grow with the total. Phone numbers keep their length and
+    leading group: numbers too short for the total are given out again.
+    ``reserved`` (value) holds values that are never given out.
     """
-    schema = df.select(pos).schema.add("text", "string")
+    keep = df.select(pos).schema
+    taken = frozenset(r[0] for r in small_rows(reserved.select("value").filter("value is not null").distinct(), MAX_RESERVED, "reserved values")) if reserved is not None else frozenset()
+    some = Allocator()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({pos: pdf[pos], "__text": pdf[text], "__items": [_mask(t, 0, some)[2] if isinstance(t, str) else 0 for t in pdf[text]]})
+
+    counted = materialize(df.select(pos, text).mapInPandas(count, StructType([*keep.fields]).add("__text", "string").add("__items", "long")), "masking-items")
+    if not counted.filter(F.col(pos).isNull() & (F.col("__items") > 0)).isEmpty():
+        raise ValueError("a text without a position cannot be given numbers")
+    total = counted.agg(F.coalesce(F.sum("__items"), F.lit(0))).first()[0]
+    allocator = Allocator.holding(total * (LAYERS if taken else 1))
+    # only texts with items are moved
+    ranged = prefix_sums(counted.filter("__items > 0"), pos, "__items", "__base").unionByName(counted.filter("__items = 0").withColumn("__base", F.lit(0).cast("long")))
+    schema = StructType([*keep.fields]).add("text", "string")
     for c in ("emails", "mentions", "phones"):
         schema = schema.add(c, "integer")
-    allocator = Allocator()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [mask_text(t, int(p) * PER_TEXT, allocator) if isinstance(t, str) else (None, {"emails": 0, "mentions": 0, "phones": 0}) for p, t in zip(pdf[pos], pdf[text])]
+            rows = []
+            for t, base, items in zip(pdf["__text"], pdf["__base"], pdf["__items"]):
+                rows.append(_mask(t, int(base), allocator, total, taken) if items else (t if isinstance(t, str) else None, {"emails": 0, "mentions": 0, "phones": 0}, 0))
+                if rows[-1][2] != items:
+                    raise RuntimeError("a text has other items than were counted")
             yield pd.DataFrame({pos: pdf[pos], "text": [r[0] for r in rows], **{c: [r[1][c] for r in rows] for c in ("emails", "mentions", "phones")}})
 
-    return df.select(pos, text).mapInPandas(run, schema)
+    return ranged.mapInPandas(run, schema)
 
 
 def mask_names(df: DataFrame, pos: str, name: str) -> DataFrame:

@@ -245,3 +245,26 @@ def test_second_pass_uses_the_tokenizer(spark):
     rows = [(1, "web_a", split), (2, "qa_b", split), (3, "code_c", split), (4, "web_a", prose.replace(". ", ".\n\t\n\n")), (5, "web_a", prose + " 漢字 " + "\U00013000\U00013001" * 3), (6, "web_a", None)]
     got = {r.doc_id: set(r.reasons) & {"byte_fallback", "fertility"} for r in audit.pass2(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got == {1: {"fertility"}, 2: set(), 3: set(), 4: set(), 5: {"byte_fallback"}, 6: set()}
+
+
+def test_no_two_texts_share_an_invented_identity(spark):
+    many = " ".join(f"p{k}@site.example" for k in range(1200))
+    rows = [(0, "Mail jo@site.example, @someone."), (1, many), (2, "Mail al@site.example, @other."), (11_000, "Mail cy@site.example."), (12_000, "nothing here"), (13_000, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = lambda got: [w.strip(",.") for r in got if r.text for w in r.text.split() if "@" in w]
+    got = pii.mask_documents(df, "id", "text").orderBy("id").collect()
+    new = found(got)
+    assert len(new) == 1205 == len(set(new)) and [(r.emails, r.mentions) for r in got] == [(1, 1), (1200, 0), (1, 1), (1, 0), (0, 0), (0, 0)]
+    assert [r.text for r in got[4:]] == ["nothing here", None]
+    assert got == pii.mask_documents(df.repartition(7), "id", "text").orderBy("id").collect()
+    # values that are reserved are skipped, and nothing is given out twice for it
+    reserved = spark.createDataFrame([(x,) for x in new[:50] + new[-3:]], "value string")
+    again = found(pii.mask_documents(df, "id", "text", reserved).orderBy("id").collect())
+    assert len(set(again)) == 1205 and not set(again) & set(new[:50] + new[-3:])
+
+
+def test_handles_are_an_injection_and_pools_grow():
+    a = pii.Allocator()
+    assert len({a.handle(k) for k in range(50_000)}) == 50_000
+    big = pii.Allocator.holding(2 * a.size)
+    assert min(big.size, big.handles) >= 2 * a.size and len({big.email(k * 997) for k in range(50_000)}) == 50_000
