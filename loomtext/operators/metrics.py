@@ -6,10 +6,13 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.operators import dedup
+from loomtext.operators.tokens import TOKENIZER, _processor
+from loomtext.plans.lineage import broadcast_if_small
 
 SPAN_PATTERNS = [r"https?://\S+", r"[\w.+-]+@[\w-]+\.[\w.-]*\w", r"(?<![\w@])@\w+", r"`[^`\n]+`", r"\d+(?:[.,:/-]\d+)*%?"]
 
@@ -110,6 +113,57 @@ def reject_reason(source, output, style, cleanup, wanted_style: str, low: float
     )
 
 
+#: Tokens that a frame adds to a source and to a target.
+SOURCE_OVERHEAD, TARGET_OVERHEAD = 4, 1
+#: Evaluation keys that are broadcast; more of them are joined by a shuffle.
+MAX_KEYS = 100_000
+
+
+def sft_reasons(pairs: DataFrame, evals: DataFrame, wanted_style: str, low: float = 0.5, high: float = 2.0, most_source: int = 512, most_target: int = 384, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, reason): the first reason that keeps a pair (doc_id, src, out, style, cleanup) out of the training set, or kept.
+
+    Rules on the record come first, then the evaluation set (``evals``: text) and equal inputs, of which the lowest
+    doc_id stays; then protected spans and the lengths in tokens of the model, with the frame's own tokens.
+    """
+    src, out = (T.strip(F.coalesce(c, F.lit(""))) for c in ("src", "out"))
+    record = (
+        F.when(~F.col("style").eqNullSafe(F.lit(wanted_style)), "wrong_style")
+        .when(~F.coalesce("cleanup", F.lit("KEEP")).eqNullSafe(F.lit("KEEP")), "cleanup_excluded")
+        .when((src == "") | (out == ""), "empty")
+        .when(src == out, "identity")
+    )
+    keys = broadcast_if_small(evals.filter("text is not null").select(F.sha2(T.strip(F.col("text")), 256).alias("_key"), F.lit(True).alias("_eval")).distinct(), MAX_KEYS)
+    marked = pairs.select("doc_id", src.alias("src"), out.alias("out"), record.alias("_record"), F.sha2(src, 256).alias("_key")).join(keys, "_key", "left")
+    marked = marked.withColumn("_record", F.coalesce("_record", F.when(F.col("_eval"), "in_eval_set"))).drop("_eval")
+    first = dedup.mark_first(marked.filter("_record is null").select("doc_id", "_key"), ["_key"], "doc_id", "_first").select("doc_id", "_first")
+    marked = marked.join(first, "doc_id", "left").withColumn("_record", F.coalesce("_record", F.when(~F.col("_first"), "duplicate_input")))
+
+    def frame(source: pd.Series, output: pd.Series) -> pd.Series:
+        sp = _processor(path)
+        reasons = []
+        for s, o in zip(source, output):
+            if s is None or o is None:
+                reasons.append(None)
+                continue
+            kept = preserved(s, o)
+            a, b = sp.encode([s, o], num_threads=1)
+            rules = (
+                (kept is not None and kept < 1, "target_drops_protected_span"),
+                (not a or not b, "empty_after_tokenization"),
+                (any(map(sp.is_control, a)) or any(map(sp.is_control, b)), "control_token_in_text"),
+                (len(a) + SOURCE_OVERHEAD > most_source, "source_too_long"),
+                (len(b) + TARGET_OVERHEAD > most_target, "target_too_long"),
+                (len(b) < low * len(a), "length_ratio_low"),
+                (len(b) > high * len(a), "length_ratio_high"),
+            )
+            reasons.append(next((name for hit, name in rules if hit), "kept"))
+        return pd.Series(reasons, dtype=object)
+
+    # pairs that are out already reach the model as nulls
+    left = [F.when(F.col("_record").isNull(), F.col(c)) for c in ("src", "out")]
+    return marked.select("doc_id", F.coalesce("_record", F.pandas_udf(frame, "string")(*left)).alias("reason"))
+
+
 def sari_udf(*columns: Column) -> Column:
     return F.pandas_udf(_sari_series, "double")(*columns)
 

@@ -104,3 +104,10 @@ def sft_filters(spark, sf):
     marked = p.select("doc_id", reason.alias("reason"), F.sha2("src", 256).alias("key"))
     kept = dedup.mark_first(marked.filter("reason is null"), ["key"], "doc_id", "first").select("doc_id", F.when(F.col("first"), "kept").otherwise("duplicate_input").alias("_r"))
     return marked.join(kept, "doc_id", "left").groupBy(F.coalesce("reason", "_r").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def sft_records(spark, sf):
+    """Pairs by the first reason to leave them out, with the evaluation set, protected spans and lengths in tokens."""
+    p = pairs(spark, sf).withColumn("cleanup", F.lit(None).cast("string"))
+    return metrics.sft_reasons(p, table(spark, sf, "eval_items"), "web_lantern").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

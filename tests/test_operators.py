@@ -268,3 +268,15 @@ def test_handles_are_an_injection_and_pools_grow():
     assert len({a.handle(k) for k in range(50_000)}) == 50_000
     big = pii.Allocator.holding(2 * a.size)
     assert min(big.size, big.handles) >= 2 * a.size and len({big.email(k * 997) for k in range(50_000)}) == 50_000
+
+
+def test_every_reason_of_a_training_pair(spark):
+    a = "The keeper of the old tower went down to the harbour."
+    rows = [
+        (0, a, "He went down.", "x", None), (1, a, "He went down.", "s", "DROP"), (2, " ", a, "s", None), (3, a, f" {a} ", "s", None), (4, " In the exam. ", "In an exam.", "s", None),
+        (5, "See http://a.example/x at 12.", "See it at 12.", "s", None), (6, "See http://a.example/x at 12.", "See http://a.example/x at 12 now.", "s", None), (7, "word " * 600, "word " * 300, "s", None),
+        (8, "other " * 400, "other " * 390, "s", None), (9, a, "Down.", "s", None), (10, "Down.", a, "s", None), (11, "The boats had not come back.", "No boats had come back.", "s", "KEEP"), (12, None, a, "s", None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, src string, out string, style string, cleanup string")
+    got = {r.doc_id: r.reason for r in metrics.sft_reasons(df, spark.createDataFrame([("In the exam.",), (None,)], "text string"), "s").collect()}
+    assert got == dict(enumerate(["wrong_style", "cleanup_excluded", "empty", "identity", "in_eval_set", "target_drops_protected_span", "duplicate_input", "source_too_long", "target_too_long", "length_ratio_low", "length_ratio_high", "kept", "empty"]))
