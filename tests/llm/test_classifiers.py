@@ -175,8 +175,34 @@ HAM = [
 ]
 
 
+#: Prose in more shapes than whole sentences on one line: verse, definitions, lines that run on.
+SHAPES = [
+    "The road goes up and over the hill,\nand all of the houses behind it are still.\nThe moon is above and the valley below,\nand no one can tell where the travellers go.",
+    "Lamp: a thing that gives light when the day has gone.\nBasket: a woven thing that holds the bread or the wool.\nLadder: two long poles with steps between them, for the roof.",
+    "You can keep the flour in a box,\nwhich should stand in a dry place,\nor in a bag on the shelf.",
+    "Bring the water to the boil and add the salt. Wait for a while. Then put the beans into it, and stir.",
+    "Is there a better way? Perhaps, but nobody has found it so far, and we have no time to look for one.",
+    "There were three of them in the boat, a tall man, a short man and a dog that could not swim.",
+    "The bell of the tower is old, and the bell is the only thing that the town took from the fire. They say that it was in the river for a year,"
+    "\nand that the bell was heard from there in the night. When we were small we went to see it with our father, who told us that it had no name;"
+    "\nbut he knew every bell in the valley, and we did not, so we said nothing and walked home.",
+    "What is a knot? It is a way to tie two ends, and a good knot can be undone again.",
+]
+
+
+def test_spam_needs_the_model():
+    """The perplexity decides: with its range opened, ordinary pages are flagged too, and with an endless one nothing is."""
+    model = spam.SequenceModel((PROSE + SHAPES) * 20)
+    flagged = lambda: sum(model.shares(t)[0] > 0.5 for t in SPAM + HAM)
+    assert flagged() == len(SPAM)
+    high, model.high = model.high, -1.0
+    assert flagged() >= len(SPAM) + len(HAM) - 2
+    model.low, model.high = 0.0, 1e9
+    assert flagged() == 0 and 2 < high < 9
+
+
 def test_spam(spark, clashing):
-    model = spam.SequenceModel(PROSE * 40)
+    model = spam.SequenceModel((PROSE + SHAPES) * 20)
     rows = [(k, t) for k, t in enumerate(SPAM + HAM)] + [(100, None), (101, " "), (102, "saw " * 100_000)]
     got = {r.doc_id: r.is_spam for r in spam.spam_pages(clashing(spark.createDataFrame(rows, "doc_id long, text string")), model).collect()}
     assert [got[k] for k in range(len(SPAM))] == [True] * len(SPAM)
