@@ -5,7 +5,8 @@ every worker; every passage of every document is a query against it. (Pairs inst
 words: the passages of one domain share most words, but few pairs, so far fewer lists are opened.) Retrieval is block-max WAND with a threshold that
 loses nothing: the weights of an item are divided by the least score that any run of
 ``min_run`` of its words can reach, so each passage that holds such a run scores at least 1.
-What is retrieved is verified word by word.
+What is retrieved is verified word by word. (The items of the test data are single texts: where a
+table holds questions and answers apart, each is an item of its own.)
 """
 
 from __future__ import annotations
@@ -15,20 +16,20 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-
-from loomtext.plans.lineage import small_rows
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 MIN_RUN = 15
 #: Passages start every STRIDE words and hold STRIDE + min_run - 1 words: each run lies whole in one.
 STRIDE = 30
 BLOCK = 16
-#: The index is held by every worker; more items than this are refused.
-MAX_ITEMS = 50_000
+#: Items of one index, which every worker holds; more of them are searched shard by shard.
+SHARD_ITEMS = 50_000
 K1, B = 1.2, 0.75
 
 
@@ -64,6 +65,9 @@ class ItemIndex:
             ends = [at[min(j + BLOCK, len(at)) - 1] for j in range(0, len(at), BLOCK)]
             tops = [max(x[j : j + BLOCK]) for j in range(0, len(at), BLOCK)]
             self.post[t] = (at, x, ends, tops, max(tops))
+        self.numbers = {x: k for k, x in enumerate(sorted({x for w in self.words for x in w}))}
+        tops = sorted((self.numbers[a] * len(self.numbers) + self.numbers[b], p[4]) for (a, b), p in self.post.items())
+        self.pair_keys, self.pair_tops = np.array([k for k, _ in tops], np.int64), np.array([x for _, x in tops], float)
         self.runs = [{tuple(w[p : p + min_run]) for p in range(len(w) - min_run + 1)} for w in self.words]
 
     def retrieve(self, terms: set[tuple[str, str]]) -> list[int]:
@@ -118,41 +122,83 @@ class ItemIndex:
             cursors = alive
         return found
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(item_id, words in common runs, their share of the item) of every item that leaks into ``text``."""
-        w, n = words(text), self.min_run
-        if len(w) < n:
-            return []
+    def candidates(self, docs: list[list[str]]) -> list[list[int]]:
+        """Per document the starts of the passages whose lists' maxima add up to the threshold: WAND can skip all others.
+
+        One array pass over a batch: words of the items have numbers, pairs of numbers are looked
+        up in the sorted pairs of the index, and running sums give the bound of every passage. A pair counts
+        only inside an unbroken row of ``min_run`` - 1 indexed pairs or more, as in every run that an item shares.
+        """
+        n, known = self.min_run, self.numbers
+        lengths = np.array([len(w) for w in docs])
+        flat = np.fromiter((known.get(x, -1) for w in docs for x in w), np.int64, int(lengths.sum()))
+        key = np.where((flat[:-1] >= 0) & (flat[1:] >= 0), flat[:-1] * len(known) + flat[1:], -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        hit = self.pair_keys[at] == key
+        last = np.cumsum(lengths) - 1
+        hit[last[(last >= 0) & (last < len(hit))]] = False  # no pair reaches into the next document
+        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        kept = np.zeros(len(hit) + 1, np.int64)
+        long = end - begin >= n - 1
+        np.add.at(kept, begin[long], 1)
+        np.add.at(kept, end[long], -1)
+        top = np.where(np.cumsum(kept[:-1]) > 0, self.pair_tops[at], 0.0)
+        bound = np.concatenate([[0.0], np.cumsum(top)])
+        out, first = [], 0
+        for length in lengths.tolist():
+            starts = np.arange(0, max(0, length - n + 1), STRIDE)
+            ends = np.minimum(starts + STRIDE + n - 2, length - 1)
+            out.append(starts[bound[first + ends] - bound[first + starts] >= 1 - 1e-6].tolist())
+            first += length
+        return out
+
+    def leaks(self, w: list[str], starts: list[int]) -> list[tuple[int, int, float]]:
+        """(item_id, words in common runs, their share of the item) of every item that leaks into the passages at ``starts``."""
+        n = self.min_run
         hit: dict[int, set[int]] = defaultdict(set)
-        terms = terms_of(w)
-        # running sums of the lists' maxima: a passage whose sum stays below the threshold needs no search
-        bound = list(accumulate((p[4] if (p := self.post.get(t)) else 0.0 for t in terms), initial=0.0))
-        for start in range(0, len(w) - n + 1, STRIDE):
+        for start in starts:
             passage = w[start : start + STRIDE + n - 1]
-            last = start + len(passage) - 1
-            if bound[last] - bound[start] < 1 - 1e-6:
-                continue
-            for k in self.retrieve(set(terms[start:last])):
+            for k in self.retrieve(set(terms_of(passage))):
                 runs = self.runs[k]
                 for p in range(len(passage) - n + 1):
                     if tuple(passage[p : p + n]) in runs:
                         hit[k].update(range(start + p, start + p + n))
         return [(self.ids[k], len(at), min(1.0, len(at) / len(self.words[k]))) for k, at in sorted(hit.items())]
 
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
+        """The leaks of every text."""
+        docs = [words(t) for t in texts]
+        if not self.ids or sum(map(len, docs)) < 2:
+            return [[] for _ in docs]
+        return [self.leaks(w, starts) if starts else [] for w, starts in zip(docs, self.candidates(docs))]
+
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def _index_of(items: DataFrame, min_run: int) -> ItemIndex:
+    return ItemIndex([(r.item_id, r.text) for r in items.collect()], min_run)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Every (doc_id, item_id) that share at least ``min_run`` consecutive words.
 
     Also the number of the document's words in such runs and their share of the item's words.
     Null, blank and shorter texts give no rows; a doc_id that occurs twice gives each row twice
-    only if its texts differ in their result. Map-only; the documents are not shuffled.
+    only if its texts differ in their result. Map-only; the documents are not shuffled. More than
+    ``shard_items`` items are indexed in shards by hash, one pass over the documents for each; the
+    weights only order the search, so sharding changes no result.
     """
-    rows = small_rows(items.filter("item_id is not null").select("item_id", "text"), MAX_ITEMS, "evaluation items")
-    index = ItemIndex([(r.item_id, r.text) for r in rows], min_run)
+    items = items.filter("item_id is not null and text is not null").select("item_id", "text")
+    shards = max(1, math.ceil(items.count() / shard_items))
+    parts = [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) for k in range(shards)]
+
+    def searcher(index: ItemIndex):
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = [(d, *leak) for d, found in zip(pdf.doc_id, index.search(list(pdf.text))) for leak in found]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "item_share"])
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(d, *leak) for d, t in zip(pdf.doc_id, pdf.text) for leak in index.leaks(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "item_share"])
+        return search
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(search, "doc_id long, item_id long, n_words int, item_share double")
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    found = [texts.mapInPandas(searcher(_index_of(part, min_run)), "doc_id long, item_id long, n_words int, item_share double") for part in parts]
+    return reduce(DataFrame.unionByName, found)

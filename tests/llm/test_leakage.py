@@ -35,6 +35,17 @@ def test_against_brute_force(spark, clashing):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute(docs, items)
 
 
+def test_shards_give_the_same(spark):
+    """Beyond the size of one index the items go into several; so does a batch whose first and last texts are empty."""
+    rng = random.Random(2)
+    item = lambda: " ".join(rng.choice("one two three four five six seven".split()) for _ in range(30))
+    items = [(k, item()) for k in range(40)]
+    docs = [(0, "")] + [(k + 1, t) for k, (_, t) in enumerate(items)] + [(99, " . ")]
+    d, i = spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(items, ITEMS)
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, i, shard_items=7).collect()}
+    assert got == brute(docs, items) == {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, i).collect()} and len(got) >= 40
+
+
 def test_whole_item(spark):
     item = " ".join(f"w{k}" for k in range(40))
     df = spark.createDataFrame([(1, f"before {item} after"), (2, " ".join(item.split()[:20]) + " and another end")], DOCS)
