@@ -152,6 +152,12 @@ def p5_found(spark, sf):
     return neardup.expand_pairs(pairs, members).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+@query()
+def p5_recall(spark, sf):
+    """Estimated recall of the forest by band of similarity."""
+    return neardup.recall_bands(neardup.near_duplicates(heavy(spark, sf, "budget_writer"), **CHUNK_PAIRS)[0])
+
+
 @query()
 def p5_groups(spark, sf):
     """One row per chunk: representative, group and number of links (five-word runs, similarity 0.8)."""
