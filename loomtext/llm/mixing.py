@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.plans.lineage import materialize, small_rows
+from loomtext.plans.lineage import broadcast_if_small, materialize
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the published splitting pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The source registry must not have more rows than this.
+#: A registry of up to so many sources is broadcast; a larger one is joined by shuffles.
 MAX_SOURCES = 10_000
 
 
@@ -74,25 +74,37 @@ def poisson_rate(wanted: float, cap: int) -> float:
     return (low + high) / 2
 
 
-def replication_table(supply_rows: list) -> list[tuple[str, list[float]]]:
-    """Per source the steps of its distribution function: a draw u gets as many copies as steps are <= u."""
-    out = []
-    for r in supply_rows:
-        cap = max(0, int(r.max_repeats))
-        want = r.wanted_tokens / r.tokens if r.tokens else 0.0
-        if want >= cap or cap == 0:
-            steps = [0.0] * cap
-        elif want <= 0:
-            steps = []
-        else:
-            rate = poisson_rate(want, cap)
-            steps, p, below = [], math.exp(-rate), 0.0
-            for k in range(cap):
-                below += p
-                steps.append(min(below, 1.0))
-                p *= rate / (k + 1)
-        out.append((r.source_id.strip().lower(), steps))
-    return out
+def poisson_steps(wanted: float, cap: int) -> list[float]:
+    """The distribution function of the count at 0 .. cap - 1: a draw u gets as many copies as steps are <= u."""
+    if wanted >= cap:
+        return [0.0] * cap
+    if wanted <= 0:
+        return []
+    rate = poisson_rate(wanted, cap)
+    steps, p, below = [], math.exp(-rate), 0.0
+    for k in range(cap):
+        below += p
+        steps.append(min(below, 1.0))
+        p *= rate / (k + 1)
+    return steps
+
+
+def replication_table(supply: DataFrame) -> DataFrame:
+    """Per source of the registry: the mean repetition wanted, the steps of its Poisson count, the mean that these give,
+    and whether it falls short, that is, whether every count must stay at ``max_repeats`` and that is still too little.
+
+    A source without tokens that has a weight falls short. The steps come from a function of every row, so
+    the registry may be of any size.
+    """
+
+    @F.pandas_udf("array<double>")
+    def steps(want: pd.Series, cap: pd.Series) -> pd.Series:
+        return pd.Series([poisson_steps(w, max(0, int(c))) for w, c in zip(want, cap)], dtype=object)
+
+    wanted = F.coalesce(F.try_divide(F.col("wanted_tokens"), F.col("tokens")), F.lit(0.0))
+    table = supply.withColumn("mean_wanted", wanted).withColumn("steps", steps("mean_wanted", "max_repeats"))
+    mean = F.aggregate("steps", F.lit(0.0), lambda s, x: s + 1 - x)
+    return table.withColumn("mean", mean).withColumn("falls_short", F.col("wanted_tokens") > F.col("tokens") * F.greatest(F.col("max_repeats"), F.lit(0)))
 
 
 def mix_sources(docs: DataFrame, spec: DataFrame, seed: int = 17, tokenizer_dir: str = TOKENIZER_DIR, sizes: DataFrame | None = None) -> DataFrame:
@@ -103,13 +115,11 @@ def mix_sources(docs: DataFrame, spec: DataFrame, seed: int = 17, tokenizer_dir:
     its target weight of the tokens of all documents; where max_repeats cannot reach that, every
     document has max_repeats copies. Sources outside the registry get none.
     """
-    spark = docs.sparkSession
     sizes = materialize(token_sizes(docs, tokenizer_dir), "mix-sizes") if sizes is None else sizes
-    table = replication_table(small_rows(source_supply(sizes, spec), MAX_SOURCES, "source registry"))
-    steps = spark.createDataFrame(table or [("", [])], "_k string, _steps array<double>")
+    steps = replication_table(source_supply(sizes, spec)).select(F.lower(F.trim("source_id")).alias("_k"), F.col("steps").alias("_steps"))
     # 52 bits of the hash as a fraction
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 12) / F.lit(float(2**52))
-    counted = sizes.join(F.broadcast(steps), F.col("source_id") == F.col("_k")).withColumn("_u", u)
+    counted = sizes.join(broadcast_if_small(materialize(steps, "steps"), MAX_SOURCES), F.col("source_id") == F.col("_k")).withColumn("_u", u)
     copies = counted.withColumn("_n", F.expr("size(filter(_steps, s -> _u >= s))")).filter("_n > 0")
     exploded = copies.select("doc_id", "source_id", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"))
     return exploded.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("copy_no"))).orderBy("shuffle_key", "doc_id", "copy_no")

@@ -28,8 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranks of one length pair are counted in this many independent parts.
-RANK_PARTS = 64
+from loomtext.plans.lineage import broadcast_if_small
+
+#: Ranks of one length pair are counted in independent parts: one for so many examples of the table, but this many at least.
+PART_ROWS, LEAST_PARTS = 200_000, 64
+#: Modes that a specification may have to be broadcast.
+MAX_MODES = 100_000
 #: Ranks are joined to the runs of the plan in blocks of this many.
 BLOCK = 4096
 
@@ -69,7 +73,7 @@ def split_pieces(lengths: DataFrame, spec: DataFrame) -> DataFrame:
     and are not packed.
     """
     caps = capacities(spec).select(F.col("mode").alias("_m"), F.col("encoder_capacity").alias("_ce"), F.col("label_capacity").alias("_cl"))
-    known = lengths.join(F.broadcast(caps), F.col("mode") == F.col("_m"), "left")
+    known = lengths.join(broadcast_if_small(caps, MAX_MODES), F.col("mode") == F.col("_m"), "left")
     need = F.greatest(F.ceil(F.col("enc_len") / F.col("_ce")), F.ceil(F.col("label_len") / F.col("_cl")), F.lit(1)).cast("int")
     known = known.withColumn("n_pieces", F.when(F.col("_ce").isNull() | F.col("_cl").isNull(), 0).otherwise(need))
     cut = known.withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.greatest("n_pieces", F.lit(1)))))
@@ -196,7 +200,7 @@ def plan_containers(pieces: DataFrame, spec: DataFrame) -> DataFrame:
         out.insert(0, "mode", key[0])
         return out
 
-    return hist.join(F.broadcast(caps), "mode").groupBy("mode").applyInPandas(plan, PLAN_SCHEMA)
+    return hist.join(broadcast_if_small(caps, MAX_MODES), "mode").groupBy("mode").applyInPandas(plan, PLAN_SCHEMA)
 
 
 def pack(batch: DataFrame, spec: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def pack(batch: DataFrame, spec: DataFrame) -> DataFrame:
     keys = ["mode", "e", "l"]
     pieces = split_pieces(example_lengths(batch), spec)
     runs = plan_containers(pieces, spec)
-    part = F.pmod(F.xxhash64("example_id", "piece_no"), F.lit(RANK_PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("example_id", "piece_no"), F.lit(max(LEAST_PARTS, batch.count() // PART_ROWS))).cast("int")
     parts = pieces.withColumn("_part", part)
     before = (
         parts.filter("n_pieces > 0").groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -234,8 +238,23 @@ def container_fill(packed: DataFrame, spec: DataFrame) -> DataFrame:
     by_mode = packed.filter("container_id is not null").groupBy("mode").agg(
         F.count(F.lit(1)).alias("pieces"), (F.max("container_id") + 1).alias("containers"), F.sum("e").alias("_e"), F.sum("l").alias("_l")
     )
-    j = by_mode.join(F.broadcast(caps), "mode")
+    j = by_mode.join(broadcast_if_small(caps, MAX_MODES), "mode")
     return j.select(
         "mode", "pieces", "containers", F.greatest(F.ceil(F.col("_e") / F.col("ce")), F.ceil(F.col("_l") / F.col("cl"))).cast("long").alias("least_containers"),
         F.round(F.col("_e") / (F.col("containers") * F.col("ce")), 6).alias("encoder_fill"), F.round(F.col("_l") / (F.col("containers") * F.col("cl")), 6).alias("label_fill"),
     )
+
+
+def capacity_report(packed: DataFrame, spec: DataFrame) -> DataFrame:
+    """Per mode: examples and tokens in containers, containers over a capacity (never any), the least number of containers
+    that any packing needs, and whether those used are at most a tenth, and two, more."""
+    caps = capacities(spec).select("mode", F.col("encoder_capacity").cast("long").alias("ce"), F.col("label_capacity").cast("long").alias("cl"))
+    boxes = packed.filter("container_id is not null").groupBy("mode", "container_id").agg(F.sum("e").alias("_e"), F.sum("l").alias("_l"))
+    boxes = boxes.join(broadcast_if_small(caps, MAX_MODES), "mode").groupBy("mode", "ce", "cl").agg(
+        F.count(F.lit(1)).alias("_used"), F.sum("_e").alias("encoder_tokens"), F.sum("_l").alias("label_tokens"), F.count(F.when((F.col("_e") > F.col("ce")) | (F.col("_l") > F.col("cl")), 1)).alias("over_capacity")
+    )
+    examples = packed.filter("container_id is not null").groupBy("mode").agg(F.countDistinct("example_id").alias("examples"))
+    least = F.greatest(F.ceil(F.col("encoder_tokens") / F.col("ce")), F.ceil(F.col("label_tokens") / F.col("cl"))).cast("long")
+    return boxes.join(examples, "mode").withColumn("least_containers", least).select(
+        "mode", "examples", "encoder_tokens", "label_tokens", "over_capacity", "least_containers", (F.col("_used") <= 1.1 * F.col("least_containers") + 2).alias("within_a_tenth")
+    )

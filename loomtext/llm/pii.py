@@ -30,7 +30,7 @@ from loomtext.plans.lineage import broadcast_if_small, hash_sample, materialize,
 KINDS = ["email", "phone", "identity", "address", "name"]
 #: Chunks, chosen by hash, that come to the driver to estimate the labelers and train the classifier.
 TRAIN_CHUNKS = 12_000
-#: Names the gazetteer may have at most; it is held by every worker.
+#: A gazetteer of more names than this is first cut down, by a join, to the names that occur in the texts.
 MAX_NAMES = 200_000
 #: Words a counted lexicon may have at most; every worker holds them, and more of them are refused.
 MAX_WORDS = 1_000_000
@@ -578,12 +578,12 @@ class TableCounts:
 
 
 def once(rows: DataFrame, id_col: str) -> DataFrame:
-    """Rows delivered twice taken once; only rows whose id occurs twice are moved for that."""
+    """(id, text) with every id once, with the text that sorts last; only rows whose id occurs twice are moved for that."""
     twice = materialize(rows.groupBy(id_col).count().filter("count > 1").select(id_col), "repeated-ids")
     if twice.isEmpty():
         return rows
     twice = broadcast_if_small(twice, MAX_WORDS)
-    return rows.join(twice, id_col, "left_anti").unionByName(rows.join(twice, id_col, "left_semi").dropDuplicates())
+    return rows.join(twice, id_col, "left_anti").unionByName(rows.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.max("text").alias("text")))
 
 
 def train_on(texts: list[str], given_names: list[str], counts: Counts | TableCounts | None = None) -> SpanModel:
@@ -608,8 +608,18 @@ def train_on(texts: list[str], given_names: list[str], counts: Counts | TableCou
 
 def train(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", train_chunks: int = TRAIN_CHUNKS) -> SpanModel:
     rows = sorted(hash_sample(chunks.select(id_col, "text"), id_col, train_chunks).filter("text is not null").collect(), key=lambda r: str(r[0]))
-    names = [r[0] for r in small_rows(given_names.select("given_name").filter("given_name is not null"), MAX_NAMES, "given names")]
-    return train_on(list({r[0]: r.text for r in rows}.values()), names, TableCounts(chunks, id_col))
+    counts = TableCounts(chunks, id_col)
+    return train_on(list({r[0]: r.text for r in rows}.values()), gazetteer(given_names, counts), counts)
+
+
+def gazetteer(given_names: DataFrame, counts: TableCounts, most: int = MAX_NAMES) -> list[str]:
+    """The given names of a table of any size that can matter: those in front of or behind a family name somewhere."""
+    names = given_names.select("given_name").filter("given_name is not null")
+    if names.limit(most + 1).count() > most:
+        key = F.regexp_replace(F.lower("given_name"), "^['’]+|['’]+$", "")
+        asked = counts.n.filter("kind = 'n'").select(F.explode(F.split("g", "-")).alias("_asked")).distinct()
+        names = names.join(asked, key == F.col("_asked"), "left_semi")
+    return sorted(r[0] for r in small_rows(names, MAX_WORDS, "given names that occur"))
 
 
 def find_personal(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", model: SpanModel | None = None) -> DataFrame:
@@ -630,9 +640,10 @@ def find_personal(chunks: DataFrame, given_names: DataFrame, id_col: str = "chun
 
 
 def mask_personal(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", model: SpanModel | None = None) -> DataFrame:
-    """(id, text, n_masked): every occurrence replaced by <EMAIL>, <PHONE>, <IDENTITY>, <ADDRESS> or <NAME>.
+    """(id, text, n_masked), one row per id: every occurrence replaced by <EMAIL>, <PHONE>, <IDENTITY>, <ADDRESS> or <NAME>.
 
-    The remaining text is unchanged; null stays null.
+    The remaining text is unchanged; null stays null; rows without an id are left out. Of deliveries of an id whose texts differ, the text that sorts last
+    wins, before null; only rows whose id occurs several times are moved to find it.
     """
     model = train(chunks, given_names, id_col) if model is None else model
     schema = chunks.select(id_col).schema.add("text", "string").add("n_masked", "integer")
@@ -650,4 +661,5 @@ def mask_personal(chunks: DataFrame, given_names: DataFrame, id_col: str = "chun
             rows = [mask(t) for t in pdf.text]
             yield pd.DataFrame({id_col: pdf[id_col], "text": [r[0] for r in rows], "n_masked": [r[1] for r in rows]})
 
-    return chunks.select(id_col, "text").mapInPandas(run, schema)
+    rows = chunks.filter(F.col(id_col).isNotNull()).select(id_col, "text")
+    return once(rows, id_col).mapInPandas(run, schema)

@@ -3,8 +3,9 @@
 Weak labels come from two plain observations (the share of function words, and how lines are
 built); chunks on which both agree are the training material, together with mixtures of
 their lines whose share of junk is known by construction. Gradient-boosted trees are trained
-on the statistics of these chunks; a hand-checked set of chunks, written for this purpose,
-calibrates the probabilities.
+on the statistics of these chunks. Hand-checked chunks calibrate the probabilities: some written for this
+purpose, and half of those that were sampled from a collection and labelled by reading; the other half is never
+fitted and measures the calibration (``holdout_report``).
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.handchecked import CHUNKS
+from loomtext.llm.handchecked import CHUNKS, SAMPLED
 from loomtext.llm.lexicon import ALL_FUNCTION_WORDS
-from loomtext.plans.lineage import hash_sample
+from loomtext.plans.lineage import broadcast_if_small, hash_sample
 
 #: Chunks brought to the driver, chosen by hash, as training material.
 TRAIN_CHUNKS = 6000
 #: Mixtures made of their lines.
 MIXTURES = 3000
+#: Sources that a registry may have to be broadcast.
+MAX_SOURCES = 100_000
 
 # letters that are not part of a longer code or number
 WORD = re.compile(r"(?<![\w+/])[^\W\d_]+(?![\w+/=])")
@@ -226,8 +229,16 @@ def train_classifier(chunks: DataFrame, id_col: str = "chunk_id", train_chunks:
     x, y = training_set([t for t in texts if t.strip()])
     if len(y) == 0 or y.min() == y.max():
         return None
-    hand = np.array([statistics(t) for t, _ in CHUNKS])
-    return BoostedTrees().fit(x, y).calibrate(hand, np.array([label for _, label in CHUNKS], float))
+    checked = CHUNKS + SAMPLED[::2]
+    return BoostedTrees().fit(x, y).calibrate(np.array([statistics(t) for t, _ in checked]), np.array([label for _, label in checked], float))
+
+
+def holdout_report(model: BoostedTrees, bands: int = 5) -> tuple[float, list[tuple[int, float, float]]]:
+    """The Brier score on the sampled chunks that were held out, and per band of probability: chunks, mean probability, share of junk."""
+    held = SAMPLED[1::2]
+    p, y = model.probability(np.array([statistics(t) for t, _ in held])), np.array([label for _, label in held], float)
+    band = np.minimum((p * bands).astype(int), bands - 1)
+    return float(np.mean((p - y) ** 2)), [(int((band == k).sum()), float(p[band == k].mean()), float(y[band == k].mean())) for k in range(bands) if (band == k).any()]
 
 
 def text_quality(chunks: DataFrame, id_col: str = "chunk_id", model: BoostedTrees | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -262,4 +273,4 @@ def quality_switched(chunks: DataFrame, spec: DataFrame) -> DataFrame:
     """Chunks whose source, in whatever spelling, has ``pipeline.quality`` switched on."""
     key = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", "_")
     on = spec.filter("pipeline.quality").select(key(F.col("source_id")).alias("_key")).distinct()
-    return chunks.join(F.broadcast(on), key(F.col("source_id")) == F.col("_key"), "left_semi")
+    return chunks.join(broadcast_if_small(on, MAX_SOURCES), key(F.col("source_id")) == F.col("_key"), "left_semi")

@@ -47,7 +47,7 @@ def p1_found(spark, sf):
 def p1_masked(spark, sf):
     """Texts of budget_writer with typed placeholders, one row per chunk."""
     chunks = heavy(spark, sf, "budget_writer")
-    return pii.mask_personal(chunks, table(spark, sf, "given_names")).dropDuplicates(["chunk_id"])
+    return pii.mask_personal(chunks, table(spark, sf, "given_names"))
 
 
 @query()
@@ -86,6 +86,24 @@ def p3_containers(spark, sf):
     return packing.pack(table(spark, sf, "padded_batch"), table(spark, sf, "pack_spec"))
 
 
+@query(
+    """
+    WITH d AS (SELECT DISTINCT example_id, mode,
+                 coalesce(list_max(list_transform(range(1, len(encoder_input_ids) + 1), lambda i: CASE WHEN encoder_input_ids[i] <> 0 THEN i ELSE 0 END)), 0) AS e,
+                 coalesce(list_max(list_transform(range(1, len(labels) + 1), lambda i: CASE WHEN labels[i] <> -100 THEN i ELSE 0 END)), 0) AS l
+               FROM padded_batch),
+    least AS (SELECT mode, greatest(ceil(sum(e) / any_value(encoder_capacity)::DOUBLE), ceil(sum(l) / any_value(label_capacity)::DOUBLE)) AS n, count(DISTINCT example_id) AS examples, sum(e)::BIGINT AS encoder_tokens, sum(l)::BIGINT AS label_tokens
+              FROM d JOIN pack_spec USING (mode) GROUP BY mode)
+    SELECT mode, examples, encoder_tokens, label_tokens, 0::BIGINT AS over_capacity, n::BIGINT AS least_containers, true AS within_a_tenth FROM least
+    """
+)
+def p3_capacity(spark, sf):
+    """Per mode: what was packed, containers that exceed a capacity, and whether no more than a tenth (and two) beyond the least possible number are used."""
+    spec = table(spark, sf, "pack_spec")
+    packed = packing.pack(table(spark, sf, "padded_batch"), spec)
+    return packing.capacity_report(packed, spec)
+
+
 @query()
 def p3_fill(spark, sf):
     """Containers used per mode, the least any packing needs, and the shares filled."""
@@ -131,6 +149,21 @@ def p4_documents(spark, sf):
     return token_budget.estimate_documents(table(spark, sf, "documents"), table(spark, sf, "token_counts"))
 
 
+@query(
+    """
+    WITH top AS (SELECT tokenizer FROM token_counts WHERE n_tokens IS NOT NULL GROUP BY 1 ORDER BY count(DISTINCT doc_id) DESC LIMIT 1),
+    c AS (SELECT doc_id, arg_max(n_tokens, counted_at) AS n FROM token_counts JOIN top USING (tokenizer) WHERE n_tokens IS NOT NULL GROUP BY doc_id),
+    d AS (SELECT coalesce(nullif(regexp_extract(lower(trim(lang)), '^([a-z]{2})', 1), ''), '?') AS lang, n FROM c JOIN documents USING (doc_id)),
+    b AS (SELECT '*' AS lang, n FROM d UNION ALL SELECT lang, n FROM d)
+    SELECT lang, count(*) AS documents, sum(n)::BIGINT AS true_tokens, true AS total_within_3_percent, true AS documents_within_5_percent FROM b GROUP BY lang HAVING count(*) >= 20 OR lang = '*'
+    """
+)
+def p4_held_out(spark, sf):
+    """Whether held-out documents are estimated as closely as stated, per language: totals within 3 %, documents within 5 % on average."""
+    e = token_budget.held_out_error(table(spark, sf, "documents"), table(spark, sf, "token_counts"))
+    return e.select("lang", "documents", "true_tokens", (F.col("total_error") <= 0.03).alias("total_within_3_percent"), (F.col("mean_error") <= 0.05).alias("documents_within_5_percent"))
+
+
 @query()
 def p4_slices(spark, sf):
     """Estimated tokens by source, language and domain and all their roll-ups."""
@@ -188,10 +221,10 @@ def p6_leaked_items(spark, sf):
 
 @query()
 def p7_found(spark, sf):
-    """Sources that cannot reach their weight."""
+    """Sources that cannot reach their weight: their Poisson counts all stand at the cap, and that is too little."""
     sizes = mixing.token_sizes(heavy(spark, sf, "documents"))
     supply = mixing.source_supply(sizes, table(spark, sf, "source_spec"))
-    return supply.filter("most_tokens < wanted_tokens").select("source_id").distinct()
+    return mixing.replication_table(supply).filter("falls_short").select("source_id").distinct()
 
 
 @query()

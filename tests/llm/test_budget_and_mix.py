@@ -48,6 +48,18 @@ def test_estimates_on_held_out_documents(spark):
     assert sum(abs(est[k] - true[k]) for k in held) / sum(true[k] for k in held) < 0.05
 
 
+def test_held_out_error(spark):
+    """The error is that of documents that neither fit nor correction has seen: a language of pure noise shows it."""
+    import random
+
+    rng = random.Random(3)
+    docs = [(k, "word " * rng.randint(5, 200), "en" if k % 2 else "fr", "s", None) for k in range(400)]
+    counts = spark.createDataFrame([(k, "t", len(t.split()) if lang == "en" else rng.randint(5, 200), k) for k, t, lang, *_ in docs], "doc_id long, tokenizer string, n_tokens long, counted_at int")
+    got = {r.lang: r for r in token_budget.held_out_error(spark.createDataFrame(docs, DOC), counts).collect()}
+    assert got["en"].mean_error < 0.01 and got["en"].documents == 200 and got["fr"].mean_error > 0.3
+    assert token_budget.held_out_error(spark.createDataFrame(docs, DOC), counts.limit(0)).count() == 0
+
+
 def test_estimate_edges(spark, clashing):
     rows = [(1, None, None, None, None), (2, " \n", "xx1", "s", None), (3, "word " * 200_000, "en", "s", "d")]
     counts = spark.createDataFrame([], "doc_id long, tokenizer string, n_tokens long, counted_at int")
@@ -82,6 +94,28 @@ def test_mix_reaches_its_weights(spark, clashing):
     assert {r.source_id for r in found} == {"tiny", "absent"}
 
 
+def test_copies_are_those_of_the_hash(spark):
+    """Every document has as many copies as steps of its source's distribution lie below its own hashed number."""
+    import xxhash
+
+    docs, spec = mix_tables(spark, 600)
+    sizes = mixing.token_sizes(docs)
+    steps = {r.source_id: r.steps for r in mixing.replication_table(mixing.source_supply(sizes, spec)).collect()}
+    got = {r.doc_id: r["count"] for r in mixing.mix_sources(docs, spec).groupBy("doc_id").count().collect()}
+    for k, source in ((r.doc_id, r.source_id) for r in sizes.collect()):
+        seed = xxhash.xxh64_intdigest((17).to_bytes(4, "little"), seed=42)
+        u = (xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed=seed) >> 12) / 2**52
+        assert got.get(k, 0) == sum(u >= x for x in steps[source])
+
+
+def test_replication_table(spark):
+    docs, spec = mix_tables(spark)
+    table = {r.source_id: r for r in mixing.replication_table(mixing.source_supply(mixing.token_sizes(docs), spec)).collect()}
+    assert {k for k, r in table.items() if r.falls_short} == {"tiny", "absent"}
+    assert all(r["mean"] == pytest.approx(r.mean_wanted, abs=1e-6) for k, r in table.items() if not r.falls_short) and table["tiny"]["mean"] == 3
+    assert mixing.replication_table(mixing.source_supply(mixing.token_sizes(docs.limit(0)), spec)).filter("falls_short").count() == 0
+
+
 def test_mix_edges(spark):
     _, spec = mix_tables(spark)
     docs = spark.createDataFrame([(1, None, "big"), (2, "", None), (3, "word " * 100_000, "big")], "doc_id long, text string, source string")

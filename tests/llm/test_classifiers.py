@@ -139,6 +139,15 @@ def test_lexicons_rest_on_all_chunks(spark):
     assert counts.induced(judge) == whole.induced(judge)
 
 
+def test_gazetteer_of_any_size(spark):
+    """Beyond the bound only names that occur are brought in; what they say about the texts is the same."""
+    texts = [f"{PROSE[k % 6]} Contact: {GIVEN[k % 5]}-Lou Quillow, +1 555 555 0144." for k in range(40)]
+    df = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], CHUNK)
+    given = spark.createDataFrame([(g,) for g in [*GIVEN, "'Lou’", "Absent", None] + [f"N{k}" for k in range(50)]], "given_name string")
+    counts = pii.TableCounts(df, "chunk_id")
+    assert set(pii.gazetteer(given, counts, most=10)) == {*GIVEN, "'Lou’"} and len(pii.gazetteer(given, counts)) == 57
+
+
 def test_reversed_names_without_a_known_given_name_stay_candidates():
     lex = pii.Lexicon(frozenset({"anna"}), frozenset(), frozenset({"nora"}), frozenset({"quillow"}))
     got = [c for c in pii.candidates("According to Quillow, Ysolde, it was late.", lex) if c.kind == "name"]
@@ -190,6 +199,13 @@ SHAPES = [
 ]
 
 
+def test_calibration_on_sampled_chunks(quality_model):
+    """Chunks that were sampled, labelled by reading and never fitted: Brier score, and probabilities that agree with the shares of junk."""
+    brier, bands = quality.holdout_report(quality_model)
+    assert brier < 0.03
+    assert sum(n for n, _, _ in bands) == 31 and all(abs(p - y) < 0.25 for n, p, y in bands if n >= 5)
+
+
 def test_spam_needs_the_model():
     """The perplexity decides: with its range opened, ordinary pages are flagged too, and with an endless one nothing is."""
     model = spam.SequenceModel((PROSE + SHAPES) * 20)
