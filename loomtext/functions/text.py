@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtext.functions.lexicon import BOILERPLATE_LINES, BOILERPLATE_PHRASES, STOPWORDS
+from loomtext.functions.lexicon import ALT_PLACEHOLDER, BOILERPLATE_LINES, BOILERPLATE_PHRASES, STOPWORDS
 
 SPACE = r"[ \t\r\n\f\x0b]"
 
@@ -44,7 +44,7 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 # ------------------------------------------------------------------ cleaning
-def blank_alt(c: Column, placeholder: str = "image alt") -> Column:
+def blank_alt(c: Column, placeholder: str = ALT_PLACEHOLDER) -> Column:
     """Markdown images whose alternative text holds the placeholder keep the target and lose the text."""
     return F.regexp_replace(c, rf"(?i)(!\[)[^\]]*{placeholder}[^\]]*(\])", "$1$2")
 
@@ -56,10 +56,10 @@ def normalize_whitespace(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-def is_boilerplate(line: Column) -> Column:
-    """A blank line, or one that is page furniture from end to end."""
-    s = F.lower(strip(line))
-    return (s == "") | s.rlike(rf"^(?:{'|'.join(f'(?:{p})' for p in BOILERPLATE_LINES)})$")
+def is_boilerplate(line: Column, patterns: list[str] = BOILERPLATE_LINES) -> Column:
+    """A blank line, or one that begins as page furniture does."""
+    s = strip(line)
+    return (s == "") | s.rlike(f"^(?:{'|'.join(patterns)})")
 
 
 def lines(c: Column) -> Column:
@@ -176,9 +176,14 @@ def max_count(values: Column) -> Column:
     return F.aggregate(F.array_sort(values), start, step, lambda a: a["best"])
 
 
+def spam_words(c: Column) -> Column:
+    """Runs of ASCII letters and apostrophes, lower-cased."""
+    return F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z']+"), F.lit(0)), F.lower)
+
+
 def ngram_spam(c: Column, min_words: int = 40, threshold: float = 0.12) -> Column:
-    """The most frequent run of four tokens makes up more than the threshold of all such runs."""
-    return let(tokens(F.lower(c)), lambda t: (F.size(t) >= min_words) & let(ngrams(t, 4), lambda g: ratio(max_count(g), F.size(g)) > threshold))
+    """The most frequent run of four words makes up more than the threshold of all such runs."""
+    return let(spam_words(c), lambda t: (F.size(t) >= min_words) & let(ngrams(t, 4), lambda g: ratio(max_count(g), F.size(g)) > threshold))
 
 
 def layout_short_share(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from loomtext.functions import text as T
 
 MAX_CHARS, MIN_CHARS = 3000, 20
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+PARAGRAPH = re.compile(r"\n\s*\n")
 
 
 def pack(parts: list[str], joint: str, limit: int) -> list[str]:
@@ -28,45 +29,38 @@ def pack(parts: list[str], joint: str, limit: int) -> list[str]:
 
 
 def chunk_text(text: str, limit: int = MAX_CHARS) -> list[str]:
-    """Whole, or packed by paragraphs, or by sentences, or cut hard; chunks under MIN_CHARS are dropped."""
-    if len(text) <= limit:
-        chunks = [text]
-    else:
+    """Whole, or packed by paragraphs, or by sentences, or cut hard; chunks under MIN_CHARS are dropped, the last slice of a cut too."""
+    chunks = [text]
+    if len(text) > limit:
         chunks = []
-        for block in pack([p for p in text.split("\n\n") if p.strip()], "\n\n", limit):
-            if len(block) <= limit:
-                chunks.append(block)
-                continue
-            for piece in pack([s for s in SENTENCE_END.split(block) if s], " ", limit):
-                chunks += [piece[k : k + limit] for k in range(0, len(piece), limit)]
-    return [c for c in map(str.strip, chunks) if len(c) >= MIN_CHARS]
+        for block in pack(PARAGRAPH.split(text), "\n\n", limit):
+            sentences = [block] if len(block) <= limit else pack(SENTENCE_END.split(block), " ", limit)
+            chunks += [x[k : k + limit] for x in sentences for k in range(0, len(x), limit)]
+    return [c for c in chunks if len(c) >= MIN_CHARS]
 
 
-def repair_mojibake(text: str) -> str:
-    """The repair of an optional library where it is installed; otherwise the text as it is."""
-    try:
-        import ftfy
-    except ImportError:
-        return text
-    return ftfy.fix_text(text)
+try:
+    from ftfy import fix_text as repair_mojibake
+except ImportError:
+    #: Without the optional library, encodings are left as they are and no pass over the texts is made for them.
+    repair_mojibake = None
 
 
-def clean_records(df: DataFrame, id_col: str, text_col: str, strip_markup: bool = False, limit: int = MAX_CHARS) -> DataFrame:
+def clean_records(df: DataFrame, id_col: str, text_col: str, strip_markup: bool = False, limit: int = MAX_CHARS, repair: Callable[[str], str] | None = repair_mojibake) -> DataFrame:
     """(id, chunk_no, text): repair, markup, image texts, white space, furniture lines, chunks, in this order.
 
-    Null and short texts give no chunk. Only chunking and entities beyond the built-in
-    list need Python; all else stays in the JVM.
+    Repair comes first and always, with markup or without. Null and short texts give no chunk. Only repair, chunking and
+    entities beyond the built-in list need Python; all else stays in the JVM.
     """
-    c = F.col(text_col)
-    if strip_markup:
-        c = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), r"<[^>]*>", " ")
-    cleaned = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col), c.alias("text"))
+    cleaned = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"))
+    if repair:
+        cleaned = cleaned.withColumn("text", F.pandas_udf(lambda s: s.map(repair), "string")("text"))
     tidy = T.strip(T.drop_boilerplate(T.normalize_whitespace(T.blank_alt(F.col("text")))))
     schema = cleaned.select(id_col).schema.add("chunk_no", "integer").add("text", "string")
 
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: repair_mojibake(html.unescape(t) if strip_markup else t))
+        return s.map(html.unescape)
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,5 +68,6 @@ def clean_records(df: DataFrame, id_col: str, text_col: str, strip_markup: bool
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "text"])
 
     if strip_markup:
-        cleaned = cleaned.withColumn("text", decode("text"))
+        bare = F.regexp_replace(F.regexp_replace("text", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), r"<[^>]+>", " ")
+        cleaned = cleaned.withColumn("text", decode(bare))
     return cleaned.select(id_col, tidy.alias("text")).filter(F.length("text") >= MIN_CHARS).mapInPandas(chunks, schema)

@@ -14,7 +14,15 @@ from loomtext.operators import dedup
 from loomtext.operators.tokens import TOKENIZER, _processor
 from loomtext.plans.lineage import broadcast_if_small
 
-SPAN_PATTERNS = [r"https?://\S+", r"[\w.+-]+@[\w-]+\.[\w.-]*\w", r"(?<![\w@])@\w+", r"`[^`\n]+`", r"\d+(?:[.,:/-]\d+)*%?"]
+# What an output must keep: links, addresses, handles, code and numbers; and marks that do not belong to the end of a link.
+SPAN_PATTERNS = [
+    r"https?://\S+",
+    r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
+    r"(?<![\w@])@\w+",
+    r"`[^`\n]+`",
+    r"(?<![\w.])\d+(?:[.,:/]\d+)*%?",
+]
+LINK_END = ".,;:!?)]}'\""
 
 
 def grams(tokens: list, n: int) -> Counter:
@@ -70,15 +78,16 @@ def chrf(output: str, reference: str, order: int = 6, beta: float = 2.0) -> floa
 
 
 def protected_list(text: str) -> list[str]:
-    """Links, addresses, handles, code and numbers, each once; an earlier pattern owns what overlaps."""
-    taken: list[tuple[int, int]] = []
+    """Links, addresses, handles, code and numbers, each once; what starts inside the match of an earlier pattern belongs to that."""
+    owner = bytearray(len(text) + 1)
     out: dict[str, None] = {}
-    for p in SPAN_PATTERNS:
-        for m in re.finditer(p, text):
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                taken.append(m.span())
-                out.setdefault(m.group())
-    return list(out)
+    for n, p in enumerate(map(re.compile, SPAN_PATTERNS)):
+        for m in p.finditer(text):
+            a, b = m.span()
+            if not owner[a]:
+                owner[a:b] = b"\1" * (b - a)
+                out.setdefault(m.group() if n else m.group().rstrip(LINK_END))
+    return [x for x in out if x]
 
 
 def preserved(source: str, output: str) -> float | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.functions.lexicon import BOILERPLATE_LINES, BOILERPLATE_PHRASES, STOPWORDS
+from loomtext.functions.lexicon import ALT_PLACEHOLDER, BOILERPLATE_LINES, BOILERPLATE_PHRASES, STOPWORDS
 from loomtext.operators import audit, clean, dedup, quality
 from loomtext.queries.registry import heavy, query, table
 
@@ -30,7 +30,7 @@ def tokens_sql(x: str) -> str:
     return rf"regexp_extract_all({x}, '[^ \t\r\n\f\x0b]+')"
 
 
-BOILER_SQL = "'^(?:" + "|".join(f"(?:{p})" for p in BOILERPLATE_LINES).replace("'", "''") + ")$'"
+BOILER_SQL = "'^(?:" + "|".join(BOILERPLATE_LINES).replace("'", "''") + ")'"
 LATIN_SQL = ratio_sql(count_sql("t", "[A-Za-z]"), count_sql("t", r"\p{L}"))
 WORDS_SQL = "list_filter(regexp_extract_all(lower(t), '[a-z'']+'), lambda w: length(w) >= 2)"
 STOP_RATIO_SQL = ratio_sql(f"len(list_filter({WORDS_SQL}, lambda w: list_contains({STOP_SQL}, w)))", f"len({WORDS_SQL})")
@@ -60,13 +60,13 @@ STRICT_SQL = f"(CASE WHEN {CLASS_SQL} = 'qa' THEN {assess_sql(quality.QA_STRICT)
 DOCS = "(SELECT *, text AS t FROM documents)"
 FILLED = "(SELECT * EXCLUDE (text), coalesce(text, '') AS t, text FROM documents)"
 # most frequent run of four tokens, per document
-SPAM_CTE = f"""tok AS (SELECT doc_id, {tokens_sql("lower(t)")} AS w FROM {FILLED}),
+SPAM_CTE = f"""tok AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[A-Za-z'']+'), lambda x: lower(x)) AS w FROM {FILLED}),
     gram AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) AS g FROM tok WHERE len(w) >= 40),
     top AS (SELECT doc_id, max(n) / sum(n)::DOUBLE AS share FROM (SELECT doc_id, g, count(*) AS n FROM gram GROUP BY ALL) GROUP BY doc_id),
     spam AS (SELECT doc_id, coalesce(share > 0.12, false) AS hit FROM tok LEFT JOIN top USING (doc_id))"""
 
 
-@query(rf"SELECT doc_id, regexp_replace(t, '(?i)(!\[)[^\]]*image alt[^\]]*(\])', '\1\2', 'g') AS text FROM {DOCS}")
+@query(rf"SELECT doc_id, regexp_replace(t, '(?i)(!\[)[^\]]*{ALT_PLACEHOLDER}[^\]]*(\])', '\1\2', 'g') AS text FROM {DOCS}")
 def blank_alt_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.blank_alt(F.col("text")).alias("text"))
 
@@ -79,7 +79,7 @@ def normalize_whitespace(spark, sf):
     return table(spark, sf, "budget_writer").select("chunk_id", "loaded_at", T.normalize_whitespace(F.col("text")).alias("text"))
 
 
-@query(f"SELECT doc_id, line_no, {strip_sql('x')} = '' OR regexp_matches(lower({strip_sql('x')}), {BOILER_SQL}) AS boilerplate FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)")
+@query(f"SELECT doc_id, line_no, {strip_sql('x')} = '' OR regexp_matches({strip_sql('x')}, {BOILER_SQL}) AS boilerplate FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)")
 def boilerplate_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "x")).select("doc_id", "line_no", T.is_boilerplate(F.col("x")).alias("boilerplate"))
 

@@ -152,15 +152,14 @@ def example_json(spark, sf):
     return t.select("example_id", X.example_json(t).alias("json"))
 
 
-_GROUPS = ", ".join(f"({k}, '{w.replace(chr(39), chr(39) * 2)}')" for k, g in enumerate(rewrite.CONFUSABLE) for w in g)
+_GROUPS = ", ".join(f"({k}, '{w.replace(chr(39), chr(39) * 2)}')" for k, g in enumerate(rewrite.grammar_groups()) for w in g)
 
 
 @query(f"WITH g(k, w) AS (VALUES {_GROUPS}) SELECT a.w AS word, string_agg(DISTINCT b.w, ',' ORDER BY b.w) AS others FROM g a JOIN g b ON a.k = b.k AND a.w <> b.w GROUP BY a.w")
 def confusion_table(spark, sf):
     """The other members of every group a word belongs to."""
-    g = spark.createDataFrame([(k, w) for k, ws in enumerate(rewrite.CONFUSABLE) for w in ws], "k int, w string")
-    j = g.alias("a").join(g.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.w") != F.col("b.w")))
-    return j.groupBy(F.col("a.w").alias("word")).agg(F.array_join(F.array_sort(F.collect_set("b.w")), ",").alias("others"))
+    g = spark.createDataFrame([(k, w) for k, ws in enumerate(rewrite.grammar_groups()) for w in ws], "k int, w string")
+    return rewrite.confusion_table(g, "k", "w").withColumn("others", F.array_join("others", ","))
 
 
 _SOLID = r"length(regexp_replace(x, '[ \t\r\n]', '', 'g'))"
@@ -185,3 +184,20 @@ def rewrite_pairs(spark, sf):
 @query()
 def rewrite_report(spark, sf):
     return rewrite.task_report(rewrite_pairs(spark, sf))
+
+
+_CODES = "list_transform(string_split({}, ''), lambda c: unicode(c) + 1000)"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN length(t) < 4 THEN 'too_short' WHEN length(t) + 1 > 512 THEN 'too_long' WHEN s IS NULL THEN 'not_prose' WHEN length(s) + 4 > 512 THEN 'too_long' END AS skipped,
+      CASE WHEN length(t) BETWEEN 4 AND 508 AND s IS NOT NULL THEN array_to_string([{X.STYLE}, {X.OPEN}] || {_CODES.format('s')} || [{X.CLOSE}, {X.EOS}], ',') END AS encoder,
+      CASE WHEN length(t) BETWEEN 4 AND 508 AND s IS NOT NULL THEN array_to_string({_CODES.format('t')} || [{X.EOS}], ',') END AS target
+    FROM (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN length(trim(text)) > 0 THEN replace(text, 'e', 'E') END AS s FROM documents)"""
+)
+def framed_rewrites(spark, sf):
+    """Framed pairs of a text with its letters e raised (a change that keeps lengths) and the text, one token per character."""
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.length(F.trim("text")) > 0, F.replace("text", F.lit("e"), F.lit("E"))).alias("source"), F.col("text").alias("target"))
+    chars = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x) + 1000)
+    framed = rewrite.framed_pairs(docs, "doc_id", chars)
+    return framed.select("doc_id", "skipped", F.array_join("example.encoder", ",").alias("encoder"), F.array_join("example.target", ",").alias("target"))

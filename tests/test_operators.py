@@ -187,16 +187,59 @@ def test_metric_edges():
     assert metrics.chrf("", "") == 100.0 and metrics.chrf("a", "") == 0.0 and metrics.chrf("the same", "the same") == 100.0
     assert metrics.preserved("no spans here", "x") is None and metrics.preserved("see 12.5 and `x`", "12.5") == 0.5
     assert metrics.protected_list("mail a@b.example 12 @me") == ["a@b.example", "@me", "12"]
+    assert metrics.protected_list("see http://a.example/x?y=1). v1.2 and 3.5% of `f(2)`") == ["http://a.example/x?y=1", "`f(2)`", "3.5%"]
+
+
+TEXT = "The quick brown fox jumps over their lazy dog, and then it's gone again. Nobody in Paris has seen it since Monday."
 
 
 def test_rewrite():
-    alt = rewrite.alternatives()
-    assert alt["there"] == ("their", "they're")
-    line = "It's 5 o'clock: see http://a.example/x, `code` and more."
+    alt = rewrite.alternatives(rewrite.grammar_groups())
+    assert alt["is"] == ("are",) and alt["its"] == ("it's",) and alt["hasn't"] == ("haven't",) and set(rewrite.keyboard()["s"]) == set("waedzx")
+    assert rewrite.read_groups(["# own list", "then, than", "", "alone", "there,their , they're"]) == [["then", "than"], ["there", "their", "they're"]]
+    line = "It's 5 o'clock: see http://a.example/x, `code` and foo_bar or NASA."
     assert "".join(t for _, t in rewrite.split_line(line)) == line
-    assert rewrite.corrupt_text("def f(x):", random.Random(1))[0] is None
-    text = "The quick brown fox jumps over their lazy dog, and then it's gone again."
-    assert rewrite.corrupt_text(text, random.Random(5)) == rewrite.corrupt_text(text, random.Random(5))
+    assert [t for k, t in rewrite.split_line(line) if k == "protected"] == ["5", "http://a.example/x,", "`code`", "foo_bar", "NASA"]
+    assert rewrite.is_prose("She had read it to them twice.") and not rewrite.is_prose("x = load(the, old, file, now)") and not rewrite.is_prose("ALL OF THIS IS LOUD HERE")
+    assert rewrite.corrupt_text("def f(x):", random.Random(1))[0] is None and rewrite.corrupt_text("Only four words here.", random.Random(1))[2] == "not_prose"
+    assert rewrite.corrupt_text(TEXT, random.Random(5)) == rewrite.corrupt_text(TEXT, random.Random(5))
+    with pytest.raises(ValueError):
+        rewrite.Noise(weights={"synonym": 1.0})
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [
+        ("confusable", {"itSs gone", "its gone", "seen have", "Paris have"}), ("case", {"nobody", "paris", "the quick", "monday"}), ("preposition", {"Nobody on", "Nobody at", "about their"}), ("drop_apostrophe", {"then its"}),
+        ("double_word", {"fox fox", "dog dog"}), ("swap_adjacent", {"brown quick", "fox brown", "quick The"}), ("drop_function_word", {"Paris seen", "Nobody Paris"}), ("typo", {"quikc", "qick", "laazy", "brwon", "jumpps"}),
+    ],
+)
+def test_each_operator_on_words(name, want):
+    """Alone, at a rate of one, an operator changes only what it applies to; the protected stays."""
+    noise = rewrite.Noise(weights={name: 1.0}, profiles={"all": rewrite.Profile(1.0, (0.3, 0.6), 0.0, 0.0, 0.0)}, untouched=0.0)
+    seen = [rewrite.corrupt_text(TEXT + " See `x y` or http://a.example/b now.", random.Random(k), noise) for k in range(200)]
+    assert any(w in t for t, _, _ in seen for w in want)
+    assert all("`x y`" in t and "http://a.example/b" in t for t, _, _ in seen) and all((n == 0) == (p == "identity") for _, n, p in seen)
+
+
+def test_strengths_and_habits():
+    drawn = [rewrite.corrupt_text(TEXT, random.Random(k)) for k in range(1500)]
+    share = lambda name: sum(p == name for _, _, p in drawn) / len(drawn)
+    assert abs(share("medium") - 0.38) < 0.05 and abs(share("heavy") - 0.24) < 0.05 and share("identity") > 0.04
+    mean = lambda name: sum(n for _, n, p in drawn if p == name) / sum(p == name for _, _, p in drawn)
+    assert mean("light") < mean("medium") < mean("heavy")
+    bare = rewrite.Noise(profiles={"bare": rewrite.Profile(1.0, (0.0, 0.0), 1.0, 1.0, 0.0)}, untouched=0.0)
+    assert rewrite.corrupt_text(TEXT, random.Random(1), bare)[0] == "the quick brown fox jumps over their lazy dog and then it's gone again nobody in paris has seen it since monday"
+    run_on = rewrite.Noise(profiles={"run": rewrite.Profile(1.0, (0.0, 0.0), 0.0, 0.0, 1.0)}, untouched=0.0)
+    assert {rewrite.corrupt_text(TEXT, random.Random(k), run_on)[0].split("gone again")[1][:4] for k in range(30)} == {", no", " nob", ". no"}
+
+
+def test_framed_pairs(spark):
+    df = spark.createDataFrame([(1, "ab cd", "ab ce"), (2, None, "long enough"), (3, "x", "ab"), (4, "y" * 30, "y" * 30), (5, None, None)], "id long, source string, target string")
+    chars = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x) + 1000)
+    got = {r.id: r for r in rewrite.framed_pairs(df, "id", chars, max_source=20, max_target=20).collect()}
+    assert {k: r.skipped for k, r in got.items()} == {1: None, 2: "not_prose", 3: "too_short", 4: "too_long", 5: "too_short"}
+    assert got[1].example.encoder[:3] == [examples.STYLE, examples.OPEN, 1097] and got[1].example.target[-2:] == [1101, examples.EOS] and got[2].example is None
 
 
 def test_lineage(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
@@ -21,8 +22,8 @@ def test_markers_round_trip(spark):
 
 
 def test_boilerplate(spark):
-    assert one(spark, T.is_boilerplate, "Share this page", "  ", "A line of text that stays.", "Copyright 2020 Someone") == [True, True, False, True]
-    assert one(spark, T.drop_boilerplate, "one\nRead more\n\ntwo") == ["one\ntwo"]
+    assert one(spark, T.is_boilerplate, "Share this: a page", "  ", "A line of text that stays.", "Produced by someone", "Producedby", "related articles") == [True, True, False, True, False, False]
+    assert one(spark, T.drop_boilerplate, "one\nTable of Contents\n\ntwo") == ["one\ntwo"]
 
 
 def test_html(spark):
@@ -71,7 +72,7 @@ def test_bits(spark):
 
 def test_chunks():
     assert chunk_text("x" * 19) == [] and chunk_text("x" * 20) == ["x" * 20]
-    text = "A sentence of some words here. " * 200
+    text = ("A sentence of some words here. " * 200).strip()
     chunks = chunk_text(text)
     assert all(20 <= len(c) <= 3000 for c in chunks) and " ".join(chunks) == text.strip()
     assert [len(c) for c in chunk_text("y" * 6010)] == [3000, 3000]  # the last ten characters are too few
@@ -80,12 +81,39 @@ def test_chunks():
 
 
 def test_clean_records(spark):
-    df = spark.createDataFrame([(1, "<p>Caf&eacute; culture is old, they say.</p>", 0), (2, None, 0), (3, "  ", 0), (4, "Read more\n\nSomething of length enough.", 0)], "id int, text string, chunk_no int")
+    df = spark.createDataFrame([(1, "<p>Caf&eacute; culture is old, they say.</p>", 0), (2, None, 0), (3, "  ", 0), (4, "Privacy Policy and more\n\nSomething of length enough.", 0)], "id int, text string, chunk_no int")
     got = {(r.id, r.chunk_no): r.text for r in clean_records(df, "id", "text", strip_markup=True).collect()}
     assert got == {(1, 0): "Café culture is old, they say.", (4, 0): "Something of length enough."}
     assert clean_records(df.limit(0), "id", "text").count() == 0
 
 
+CLEAN_CASES = [
+    ("blank lines go", "First paragraph of the text.\n\n\n\nSecond paragraph of the text.", False, ["First paragraph of the text.\nSecond paragraph of the text."]),
+    ("entities are decoded once", "<p>He wrote &amp;lt;b&amp;gt; in the box</p> and &eacute;t&eacute;", True, ["He wrote &lt;b&gt; in the box  and été"]),
+    ("an image without a description keeps its target", "See ![enter image description here](http://a.example/i.png) for the plan.", False, ["See ![](http://a.example/i.png) for the plan."]),
+    ("furniture", "Share this:\nPossible Duplicate: some other one\nedit 2:\nThis is the text that stays here.\nProduced by many hands", False, ["This is the text that stays here."]),
+    ("sharing lines are matched with case", "share this: it is what the text says", False, ["share this: it is what the text says"]),
+    ("too short", "nineteen characters", False, []),
+    ("a long sentence is cut, its short rest dropped", "x" * 3010, False, ["x" * 3000]),
+    ("sentences are packed", "a" * 1990 + ". " + "b" * 1500 + ".", False, ["a" * 1990 + ".", "b" * 1500 + "."]),
+    ("carriage returns and blanks before them", "one line of text    \r\nanother line of text", False, ["one line of text\nanother line of text"]),
+]
+
+
+@pytest.mark.parametrize("name,raw,markup,want", CLEAN_CASES, ids=[c[0] for c in CLEAN_CASES])
+def test_clean_cases(spark, name, raw, markup, want):
+    got = clean_records(spark.createDataFrame([(1, raw)], "id int, text string"), "id", "text", strip_markup=markup).orderBy("chunk_no").collect()
+    assert [r.text for r in got] == want
+
+
+def test_repair_comes_first(spark):
+    """A repair works on the text as it was delivered, before tags go, whether markup is stripped or not."""
+    df = spark.createDataFrame([(1, "<p>The caf~ of the town is closed</p>")], "id int, text string")
+    fix = lambda t: t.replace("caf~", "café") if t.startswith("<p>") else "too late, this text was changed"
+    assert clean_records(df, "id", "text", True, repair=fix).first().text == "The café of the town is closed"
+    assert clean_records(df, "id", "text", False, repair=fix).first().text == "<p>The café of the town is closed</p>"
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     df = spark.range(200)
     a = df.repartition(1).select("id", T.draw(F.lit("s"), F.col("id")).alias("d"))
