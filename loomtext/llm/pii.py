@@ -96,21 +96,62 @@ BARE_ID = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[XYZ]-\d{7}-[A-Z]|\d{8}[A
 
 _N = r"\d{1,4}\s?[A-Za-z]?(?:\s?[-/]\s?\d{1,4})?"
 _ST = "|".join(STREET)
-ADDRESS = re.compile(
-    rf"(?<![\w.])(?:"
-    rf"(?P<flat>(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|Appt\.?|Wohnung|Piso)\s+\d+\w?,?\s+)?(?P<en>{_N},?\s+(?:St\.?\s+)?(?:{_CAP}\s+){{1,3}}(?:{_ST})(?!\w)\.?)"
-    rf"|(?P<box>P\.?\s?O\.?\s?Box\s+\d+|Box\s+\d+|BP\s+\d+|B\.P\.\s*\d+|Postfach\s+\d[\d ]*|Apartado(?:\s+de\s+[Cc]orreos)?\s+\d+|Apdo\.?\s+\d+|Bo[îi]te [Pp]ostale\s+\d+)"
-    rf"|(?P<fr>{_N}(?:\s?(?:bis|ter|quater))?,?\s+(?:{'|'.join(ROAD_FR)})\.?\s+(?:(?:de|du|des|la|le|les|l[’']|d[’'])\s?)*{_CAP}(?:[ -]{_CAP})*)"
-    rf"|(?P<es>(?i:{'|'.join(ROAD_ES)})\.?\s+(?:(?:de|del|la|las|los|el)\s+)*{_CAP}(?:\s+{_CAP})*\s?,?\s+(?:n[º°]\.?\s*)?\d{{1,4}})"
-    rf"|(?P<de>(?:{_CAP}(?:straße|strasse|stra(?:Ã.|�)e|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|stieg|pfad|chaussee)|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)\s+{_CAP}|{_CAP}[ -](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Markt|Ring|Damm|Ufer|Steig|Hof))\s+{_N})"
-    rf")(?!\w)"
-)
+_FORMS = {
+    "en": rf"(?P<flat>(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|Appt\.?|Wohnung|Piso)\s+\d+\w?,?\s+)?(?P<en>{_N},?\s+(?:St\.?\s+)?(?:{_CAP}\s+){{1,3}}(?:{_ST})(?!\w)\.?)",
+    "box": rf"(?P<box>P\.?\s?O\.?\s?Box\s+\d+|Box\s+\d+|BP\s+\d+|B\.P\.\s*\d+|Postfach\s+\d[\d ]*|Apartado(?:\s+de\s+[Cc]orreos)?\s+\d+|Apdo\.?\s+\d+|Bo[îi]te [Pp]ostale\s+\d+)",
+    "fr": rf"(?P<fr>{_N}(?:\s?(?:bis|ter|quater))?,?\s+(?:{'|'.join(ROAD_FR)})\.?\s+(?:(?:de|du|des|la|le|les|l[’']|d[’'])\s?)*{_CAP}(?:[ -]{_CAP})*)",
+    "es": rf"(?P<es>(?i:{'|'.join(ROAD_ES)})\.?\s+(?:(?:de|del|la|las|los|el)\s+)*{_CAP}(?:\s+{_CAP})*\s?,?\s+(?:n[º°]\.?\s*)?\d{{1,4}})",
+    "de": rf"(?P<de>(?:{_CAP}(?:straße|strasse|stra(?:Ã.|�)e|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|stieg|pfad|chaussee)|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)\s+{_CAP}|{_CAP}[ -](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Markt|Ring|Damm|Ufer|Steig|Hof))\s+{_N})",
+}
+#: The pattern with and without the two forms that start with a word, which are slow and which most texts cannot hold.
+ADDRESS = {
+    (spanish, german): re.compile(rf"(?<![\w.])(?:{'|'.join(f for k, f in _FORMS.items() if (k != 'es' or spanish) and (k != 'de' or german))})(?!\w)")
+    for spanish in (False, True)
+    for german in (False, True)
+}
+# What stands right before the number of a German address: the end of a street's name, or a preposition and a name.
+_DE_ENDS = tuple("aße asse �e str. Str. weg Weg gasse Gasse platz Platz allee Allee ring Ring damm Damm ufer Ufer steig Steig stieg pfad chaussee Markt Hof".split())
+_DE_NAMED = re.compile(r"(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)\s+\S+$")
+_NUMBER = re.compile(r"(?<=\S)\s+(?=\d)")
+
+
+def may_be_german(text: str) -> bool:
+    """Whether a number stands behind what can end the name of a German street: without that, the form cannot match."""
+    for m in _NUMBER.finditer(text):
+        before = text[max(0, m.start() - 200) : m.start()]
+        if before.endswith(_DE_ENDS) or before[-4:-2] == "aÃ" or _DE_NAMED.search(before):
+            return True
+    return False
+
+
 ADDRESS_CUE = re.compile(r"(?i)(?:near|lives?|tenant|resid\w*|parcel|deliver\w*|ship\w*|send|note|at|to|address|anschrift|adresse|wohnt|habite|livraison|vive|entregas?|domicil\w*|dirección|signed by|demeure|lieferung|;|,|an|au|en|in)\W{0,4}(?:\w{0,3}\W{1,2})?$")
 ADDRESS_AFTER = re.compile(rf"^\W{{0,3}}(?:,?\s*(?:Apt|Flat|\d{{4,5}}|[{_UP}]\w+|\d+[ºª]))|^\s*$|^[,;.)]")
 AFTER_NOUN = re.compile(r"^\s+(?![a-zà-ÿ]{1,3}\s|has|from|and|und|et|y|von)[a-zà-ÿ]{4,}")
 
-NAME_CUE = re.compile(r"(?i)(?:contact|contacto|witness|applicant|posted by|signed by|edited by|written by|verfasst von|rédigé par|escrito por|by|zeuge war|zeugin war|témoin|testigo|según|selon|laut|d[’']après|according to|card of|name|owner|author|ask for|tenant|list|said|ansprechpartner\w*|regards|sincerely|greetings|saludos|grüße[n]?|cordialement|cheers|thanks|so|dear|from|von|herr|que|that|though|because|which|what|when|and|und|et|y|with)\W{0,4}$")
-STRONG_CUE = re.compile(r"(?i)(?:contact|contacto|witness|applicant|posted by|signed by|edited by|verfasst von|rédigé par|escrito por|zeuge war|témoin|testigo|según|laut|d[’']après|according to|card of|name\"?[=:]|owner\"?[=:]|ask for|ansprechpartner\w*|regards|saludos|grüßen?|cordialement)\W{0,4}$")
+# What announces a name, and what does so for certain; a star stands for any letters.
+_STRONG = ["contact", "contacto", "witness", "applicant", "posted by", "signed by", "edited by", "verfasst von", "rédigé par", "escrito por", "zeuge war", "témoin", "testigo", "según", "laut", "d'après", "d’après", "according to", "card of", "name=", "name:", 'name"=', 'name":', "owner=", "owner:", 'owner"=', 'owner":', "ask for", "ansprechpartner*", "regards", "saludos", "grüße", "grüßen", "cordialement"]
+_WEAK = ["written by", "by", "zeugin war", "selon", "name", "owner", "author", "tenant", "list", "said", "sincerely", "greetings", "cheers", "thanks", "so", "dear", "from", "von", "herr", "que", "that", "though", "because", "which", "what", "when", "and", "und", "et", "y", "with"]
+
+
+class Cue:
+    """Whether a text ends with one of several words and up to four characters that are no letters or digits: the ends are compared, no pattern is searched."""
+
+    def __init__(self, words: list[str]):
+        self.ends = tuple(w for w in words if not w.endswith("*"))
+        self.stems = [w[:-1] for w in words if w.endswith("*")]
+        self.open = re.compile(rf"(?:{'|'.join(self.stems)})\w*\W{{0,4}}$") if self.stems else None
+
+    def search(self, text: str) -> bool:
+        t = text.lower()
+        for k in range(len(t), max(-1, len(t) - (6 if t.endswith("\n") else 5)), -1):
+            if t.endswith(self.ends, 0, k):
+                return True
+            if k and (t[k - 1].isalnum() or t[k - 1] == "_"):
+                break
+        return any(x in t for x in self.stems) and self.open.search(t) is not None
+
+
+STRONG_CUE, NAME_CUE = Cue(_STRONG), Cue([w for w in _STRONG if w[-1] not in "=:"] + _WEAK)
 PLACE_CUE = re.compile(r"(?i)\b(?:in|near|at|to|from|outside|en|à|de|nach|bei|for|born in|hacia|vers|tenant at|beside|of)\s+$")
 TITLES_BEFORE = re.compile(rf"(?:\b(?:{'|'.join(TITLES)})\.?\s+)+$")
 #: Words in lower case, none of addresses or links.
@@ -133,7 +174,7 @@ def _spotter(signs: tuple[str, ...]):
     return lambda text: next(automaton.iter(text), None) is not None
 
 
-has_mail_sign, has_street_sign = _spotter(MAIL_SIGNS), _spotter(STREET_SIGNS)
+has_mail_sign, has_street_sign, has_spanish_road = _spotter(MAIL_SIGNS), _spotter(STREET_SIGNS), _spotter(tuple(ROAD_ES))
 
 
 @dataclass
@@ -220,10 +261,10 @@ def _identities(text: str) -> Iterator[Candidate]:
 def _addresses(text: str) -> Iterator[Candidate]:
     if not has_street_sign(text):
         return
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS[has_spanish_road(text.lower()), may_be_german(text)].finditer(text):
         s = m.group()
         ctx, left, right = _context(text, m.start(), m.end())
-        form = next(k for k in ("en", "box", "fr", "es", "de") if m.group(k))
+        form = next(k for k in _FORMS if m.groupdict().get(k))
         # a noun right after a street turns it into an attribute
         noun = form == "en" and bool(AFTER_NOUN.match(right))
         product = bool(re.search(r"(?i)\b(?:ordered|bought|sold|cost|paid|bestellt|commandé|comprado)\W+$", left))
