@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,24 +72,59 @@ def blend_weights(blend: DataFrame, stats: DataFrame) -> DataFrame:
     return per.select("source", (F.col("__w") / F.sum("__w").over(Window.partitionBy())).alias("weight"))
 
 
-def prefix_sums(df: DataFrame, pos: str, value: str, out: str, parts: int = 64) -> DataFrame:
+#: Rows of a range that is finished by one task, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 10_000
+#: Up to so many bounds are compared in the JVM; more of them are searched in Arrow batches.
+FEW_BOUNDS = 64
+
+
+def range_part(df: DataFrame, pos: str, range_rows: int | None = None, least: int = 16) -> Column:
+    """The number of the range of positions that a row falls into: ranges hold about ``range_rows`` rows each, wherever the positions lie.
+
+    Bounds are approximate quantiles of the positions that occur, so an outlying position or a dense stretch makes
+    no range larger; null positions fall into the first. One pass over the positions alone.
+    """
+    rows = RANGE_ROWS if range_rows is None else range_rows
+    n = df.filter(F.col(pos).isNotNull()).count()
+    parts = min(MOST_RANGES, max(least, -(-n // rows)))
+    cuts = [k / parts for k in range(1, parts)]
+    found = df.agg(F.percentile_approx(pos, cuts, F.lit(max(10_000, 20 * parts)))).first()[0] if n else None
+    bounds = sorted(set(found or []))
+    if len(bounds) <= FEW_BOUNDS:
+        return reduce(lambda a, b: a + b, [F.coalesce((F.col(pos) > F.lit(b)).cast("int"), F.lit(0)) for b in bounds], F.lit(0))
+
+    def search(values: pd.Series) -> pd.Series:
+        # null positions come as NaN, which would sort behind all bounds
+        return pd.Series(np.where(values.isna(), 0, np.searchsorted(np.array(bounds), values.fillna(bounds[0]).to_numpy(), side="left"))).astype("int32")
+
+    return F.pandas_udf(search, "int")(pos)
+
+
+def prefix_sums(df: DataFrame, pos: str, value: str, out: str, range_rows: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before this one by ``pos`` (unique, whole numbers).
 
-    Two levels: sums of ranges of positions, then inside each range. No task sees all rows,
-    and ranges adapt to the positions that occur.
+    Two levels: sums of ranges of positions (``range_part``), then inside each range. No task sees all rows.
     """
-    low, high = df.agg(F.min(pos), F.max(pos)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // parts))
-    part = F.floor((F.col(pos) - F.lit(low)) / width).cast("int")
-    ranged = df.withColumn("__part", part)
+    ranged = df.withColumn("__part", range_part(df, pos, range_rows))
     sums = ranged.groupBy("__part").agg(F.sum(value).alias("__s"))
+    # at most MOST_RANGES rows
     before = sums.select("__part", F.coalesce(F.sum("__s").over(Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__part").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.join(F.broadcast(before), "__part").withColumn(out, (F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("__part", "__before")
 
 
+def numbered(df: DataFrame, key: str, out: str, parts: int = 1024) -> DataFrame:
+    """Adds ``out``: the numbers 0, 1, 2 ... of the distinct values of ``key``, null for null; the same at any partitioning.
+
+    Values are ranked inside hash buckets, whose sizes are summed first; no task sees all values. The result has one row per value.
+    """
+    values = df.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    sizes = values.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__bucket", F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(key))
+    return values.join(F.broadcast(before), "__bucket").withColumn(out, (F.col("__before") + rank - 1).cast("long")).drop("__bucket", "__before")
+
+
 def budget_cut(df: DataFrame, pos: str, size: Column, budget: int, shard: int) -> DataFrame:
     """Rows until the budget is met, in order of position, with the shard each goes to.
 
@@ -104,7 +143,7 @@ def select_quota(df: DataFrame, groups: list[str], quota: Column, *seed: Column)
     from loomtext.functions.text import draw
 
     drawn = df.withColumn("__draw", draw(*seed)).withColumn("__quota", quota)
-    bucketed = drawn.withColumn("__bucket", F.shiftright("__draw", 48).cast("int"))
+    bucketed = drawn.withColumn("__bucket", F.shiftright("__draw", 44).cast("int"))
     counts = bucketed.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*groups, "__bucket", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,11 +125,12 @@ def decode_bits(names: list[str], bits: Column) -> Column:
 def pass1_bits(c: Column, source: Column, duplicate: Column | None = None) -> Column:
     """Reasons of the first pass: code skips the prose rules, questions have only n-gram spam and duplicates."""
     kind = source_class(source)
-    reason = strict_assess(c, source)
     empty = F.coalesce(T.strip(c) == "", F.lit(True))
     prose = ~kind.isin("code", "qa")
-    flags = {name: prose & ~empty & (reason == name) for name in PASS1[1:10]}
-    flags |= {"corrupt_or_empty": empty, "boilerplate": prose & ~empty & T.boilerplate_phrase_hit(c), "ngram_spam": (kind != "code") & ~empty & T.ngram_spam(c)}
+    # the reason is computed once and turned into its bit
+    bit = lambda r: reduce(lambda x, n: F.when(r == PASS1[n], F.lit(1 << n)).otherwise(x), range(1, 10), F.lit(0))
+    first = F.when(prose & ~empty, T.let(strict_assess(c, source), bit)).otherwise(0)
+    flags = {"corrupt_or_empty": empty, "boilerplate": prose & ~empty & T.boilerplate_phrase_hit(c), "ngram_spam": (kind != "code") & ~empty & T.ngram_spam(c)}
     if duplicate is not None:
         flags["duplicate"] = duplicate
-    return bitmask(PASS1, flags)
+    return (bitmask(PASS1, flags) + F.coalesce(first, F.lit(0))).cast("int")

@@ -8,24 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from loomtext.operators.blend import range_part
 
 #: Rows of one key that are processed together; longer logs are cut into blocks of this many.
 BLOCK = 100_000
 
 
-def blocks(df: DataFrame, by: list[str], order: str, halo: int, size: int | None = None, parts: int = 128) -> DataFrame:
+def blocks(df: DataFrame, by: list[str], order: str, halo: int, size: int | None = None, range_rows: int | None = None) -> DataFrame:
     """Adds _rank (from 0 inside the key), _block and _halo: logs cut into blocks that each repeat the ``halo`` rows before them.
 
     A key may hold a third of all rows: ranks come from counts of ranges of ``order`` (whole
-    numbers, unique inside a key) and their prefix sums, so no task sees a whole key. Windows over
+    numbers, unique inside a key; ``blend.range_part``) and their prefix sums, so no task sees a whole key. Windows over
     (by, _block) that look back at most ``halo`` rows are exact for the rows with _halo false.
     """
     size = BLOCK if size is None else size
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        low = high = 0
-    width = max(1, -(-(int(high) - int(low) + 1) // parts))
-    cut = df.withColumn("__part", F.floor((F.col(order) - F.lit(int(low))) / width).cast("int"))
+    cut = df.withColumn("__part", range_part(df, order, size if range_rows is None else range_rows))
     counts = cut.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))

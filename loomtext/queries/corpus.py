@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
@@ -151,20 +153,48 @@ def mask_counters(spark, sf):
     return masked.agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("emails", "mentions", "phones")])
 
 
+@query("SELECT count(DISTINCT chunk_id) AS chunks, 0::BIGINT AS repeated_emails, 0::BIGINT AS repeated_handles, true AS any_issued FROM budget_writer")
+def issued_identities(spark, sf):
+    """Masking of every chunk: addresses and handles that two chunks were both given (none), out of all that were given out."""
+    shapes = {"email": r"[a-z._]+[0-9]*@(?:" + "|".join(d.replace(".", "[.]") for d in pii.Allocator.domains) + ")", "handle": r"(?<![A-Za-z0-9_@.])@[A-Za-z_.]+[0-9]*"}
+    old = table(spark, sf, "budget_writer").select("chunk_id", F.col("text").alias("old")).dropDuplicates(["chunk_id"])
+    both = mask_documents(spark, sf).select("chunk_id", F.coalesce("text", F.lit("")).alias("new")).join(old.withColumn("old", F.coalesce("old", F.lit(""))), "chunk_id")
+    # what stood in a text before was not given out
+    given = lambda p: F.array_except(F.regexp_extract_all("new", F.lit(p), F.lit(0)), F.regexp_extract_all("old", F.lit(p), F.lit(0)))
+    tag = lambda k: lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    by_value = both.select("chunk_id", F.explode(F.concat(*[F.transform(given(p), tag(k)) for k, p in shapes.items()])).alias("i")).groupBy("i.kind", "i.value").agg(F.count(F.lit(1)).alias("n"))
+    repeated = lambda k: F.count(F.when((F.col("kind") == k) & (F.col("n") > 1), 1)).alias(f"repeated_{k}s")
+    found = by_value.agg(repeated("email"), repeated("handle"), (F.count(F.lit(1)) > 0).alias("any_issued"))
+    return old.agg(F.count(F.lit(1)).alias("chunks")).crossJoin(found)  # one row each
+
+
 _A = pii.Allocator()
-_SCR = f"((id::HUGEINT % {_A.size} * {_A.multiplier} + {_A.offset}) % {_A.size})::BIGINT"
 _LIST = lambda xs: "[" + ",".join(f"'{x}'" for x in xs) + "]"
+_CAPITAL = lambda x: f"(upper(substr({x}, 1, 1)) || substr({x}, 2))"
+_FIRST, _LAST = f"{_LIST(_A.first)}[({{x}} // {len(_A.last)} + 1)::INT]", f"{_LIST(_A.last)}[({{x}} % {len(_A.last)} + 1)::INT]"
+
+
+def _shape_sql(x: str, styles: list[str]) -> str:
+    """The SQL of one of the shapes of an identity whose scrambled number is ``x``."""
+    suffix, style, people = f"({x} % {_A.suffixes})", f"({x} // {_A.suffixes} % {len(styles)})", f"({x} // {_A.suffixes * len(styles)})"
+    f, n = _FIRST.format(x=people), _LAST.format(x=people)
+    names = {"f": f, "l": n, "a": f"substr({f}, 1, 1)", "b": f"substr({n}, 1, 1)"}
+    names |= {k.upper(): _CAPITAL(v) for k, v in names.items()}
+    shapes = [" || ".join(names[p[1]] if p[0] == "{" else f"'{p}'" for p in re.findall(r"\{\w\}|[^{}]+", shape)) for shape in styles]
+    return f"(CASE {style} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(shapes)) + f" END || CASE WHEN {suffix} = 0 THEN '' ELSE {suffix}::VARCHAR END)"
+
+
+_SCR = lambda n: f"(range % {n} * {_A.multiplier} + {_A.offset}) % {n}"
 
 
 @query(
-    f"""WITH s AS (SELECT range AS id, {_SCR.replace('id::', 'range::')} AS x FROM range(0, 2000)), d AS (SELECT id, x % {len(_A.domains)} AS dom, x // {len(_A.domains)} AS r1 FROM s),
-    e AS (SELECT id, dom, r1 % 1000 AS suffix, r1 // 1000 AS r2 FROM d), f AS (SELECT id, dom, suffix, r2 % {_A.styles} AS style, r2 // {_A.styles} AS r3 FROM e),
-    n AS (SELECT id, style, suffix, {_LIST(_A.first)}[(r3 // {len(_A.last)} + 1)::INT] AS first, {_LIST(_A.last)}[(r3 % {len(_A.last)} + 1)::INT] AS last, {_LIST(_A.domains)}[(dom + 1)::INT] AS domain FROM f)
-    SELECT id, first || ' ' || last AS name, CASE style WHEN 0 THEN first || '.' || last WHEN 1 THEN last || '.' || first WHEN 2 THEN first || last WHEN 3 THEN substr(first, 1, 1) || last ELSE first || '_' || last END || CASE WHEN suffix = 0 THEN '' ELSE suffix::VARCHAR END || '@' || domain AS email FROM n"""
+    f"""WITH s AS (SELECT range AS id, {_SCR(_A.size)} AS x, {_SCR(_A.handles)} AS y, {_SCR(_A.names)} AS z FROM range(0, 2000))
+    SELECT id, {_CAPITAL(_FIRST.format(x='z'))} || ' ' || {_CAPITAL(_LAST.format(x='z'))} AS name, {_shape_sql(f'(x // {len(_A.domains)})', _A.email_styles)} || '@' || {_LIST(_A.domains)}[(x % {len(_A.domains)} + 1)::INT] AS email,
+      '@' || {_shape_sql('y', _A.handle_styles)} AS handle FROM s"""
 )
 def pii_identity(spark, sf):
     """The first two thousand invented identities: an injection from numbers."""
-    return pii.identities(spark.range(2000), "id").select("id", "name", "email")
+    return pii.identities(spark.range(2000), "id").select("id", "name", "email", "handle")
 
 
 @query("SELECT range AS id, lpad((range * 862933 + 442695) % 1000000 || '', 6, '0') AS digits FROM range(0, 2000)")

@@ -93,8 +93,8 @@ def eval_capped(spark, sf):
 @query("WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('salt' || chr(1) || text), doc_id) AS rn FROM (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text)) SELECT doc_id, CASE WHEN rn <= 50 THEN 'eval' WHEN rn <= 350 THEN 'train' ELSE 'rest' END AS split FROM k")
 def key_order_split(spark, sf):
     """Distinct texts by salted key: the first 50 evaluate, the next 300 train. Two ordered limits, no global window."""
-    firsts = table(spark, sf, "documents").filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    keyed = firsts.select("doc_id", F.sha2(F.concat(F.lit("salt"), F.lit("\x01"), F.col("text")), 256).alias("key"))
+    key = F.sha2(F.concat(F.lit("salt"), F.lit("\x01"), F.col("text")), 256)
+    keyed = table(spark, sf, "documents").filter("text is not null").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"))
     head = keyed.orderBy("key", "doc_id").limit(350)
     first = head.orderBy("key", "doc_id").limit(50).select("doc_id", F.lit("eval").alias("_e"))
     marked = head.select("doc_id", F.lit("train").alias("_t")).join(first, "doc_id", "left").select("doc_id", F.coalesce("_e", "_t").alias("_split"))

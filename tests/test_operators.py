@@ -253,7 +253,7 @@ def test_lineage(spark):
 
 def test_names_and_the_log_of_issues(spark, tmp_path):
     df = spark.createDataFrame([(1, "Jo Doe", "x"), (1, "Jo Doe", "y"), (2, " ", "x"), (3, None, "x")], "id long, who string, email string")
-    got = pii.mask_names(df, "id", "who").collect()
+    got = pii.mask_names(df, "who").collect()
     made = {r.who for r in got if r.id == 1}
     assert len(got) == 4 and len(made) == 1 and "Jo Doe" not in made and {r.who for r in got if r.id > 1} == {" ", None}
     issued = pii.identities(spark.range(3), "id")
@@ -263,6 +263,36 @@ def test_names_and_the_log_of_issues(spark, tmp_path):
     assert log.count() == 6 and set(log.columns) == {"kind", "index", "value"}
 
 
+def test_names_are_an_injection(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("Person "), F.col("id").cast("string")).alias("who"))
+    got = pii.mask_names(df.unionByName(df), "who").distinct().collect()
+    assert len(got) == 3000 == len({r.who for r in got})
+    assert {r.who for r in got} == {r.who for r in pii.mask_names(df.repartition(7), "who").collect()}
+    rows = pii.identities(spark.range(2000), "id").collect()
+    a = pii.Allocator()
+    assert all(r.email == a.email(r.id) and r.handle == a.handle(r.id) for r in rows) and len({r.name for r in rows[:440]}) == 440
+
+
+def test_ranges_are_never_given_out_twice(spark, tmp_path):
+    ask = lambda *rows: pii.reserve_ranges(spark.createDataFrame(rows, "kind string, worker string, wanted long"), str(tmp_path / "registry"))
+    first = ask(("email", "a", 100), ("email", "b", 50), ("handle", "a", 7)).collect()
+    assert {(r.kind, r.worker): r.first_index for r in first} == {("email", "a"): 0, ("email", "b"): 100, ("handle", "a"): 0}
+    assert [r.first_index for r in ask(("email", "c", 1)).collect()] == [150] and [r.first_index for r in ask(("handle", "a", 1)).collect()] == [7]
+    df = spark.createDataFrame([(1, "Mail jo@site.example.")], "id long, text string")
+    assert pii.mask_documents(df, "id", "text", first_index=150).first().text == f"Mail {pii.Allocator().email(150)}."
+
+
+def test_ranges_hold_equal_numbers_of_rows(spark):
+    """An outlying position, and a dense stretch, make no range larger than the others by much."""
+    df = spark.range(5000).select(F.when(F.col("id") == 0, 10**15).otherwise(F.col("id") * F.col("id")).alias("pos"), F.lit(1).alias("v"))
+    for rows in (500, 20):
+        parts = df.withColumn("p", blend.range_part(df, "pos", rows)).groupBy("p").count().collect()
+        assert len(parts) >= 5000 / rows * 0.9 and max(r["count"] for r in parts) <= 2.5 * max(rows, 1) + 1
+        got = {r.pos: r.before for r in blend.prefix_sums(df, "pos", "v", "before", rows).collect()}
+        assert [got[k] for k in sorted(got)] == list(range(5000))
+    assert blend.prefix_sums(df.limit(0), "pos", "v", "before").count() == 0
+
+
 def test_resume(spark, tmp_path):
     from loomtext.plans.lineage import resume
 

@@ -72,13 +72,21 @@ def test_ordered_corpus(spark, tmp_path):
 
 
 def test_formats(spark, tmp_path):
-    page = "# tool\n> Packs files.\n- Pack a folder:\n`tool -c x`\n- Unpack:\n`tool -x y`\n"
-    assert formats.command_page("my-tool", page) == "my tool - Packs files.\nPack a folder: tool -c x\nUnpack: tool -x y"
-    assert formats.command_page("t", "> only words") == ""
-    assert formats.cheat_sheet("t", "# list\nls -l\n\n# no command\n\n# size\ndu -h") == "t\n\nlist\nls -l\n\nsize\ndu -h"
+    page = "# tool\n> Packs files.\n> More at <a>.\n- Pack a folder:\n`tool -c x`\n- Unpack:\n`tool -x y`\n`tool --alone`\n"
+    assert formats.command_page("my-tool", page) == "my tool: Packs files. More at <a>.\n\nPack a folder\ntool -c x\n\nUnpack\ntool -x y"
+    assert formats.command_page("t", "> only words") == "" and formats.command_page("t", "- x:\n`y`") == "t\n\nx\ny"
+    sheet = "# list\nls -l\nls -a\n\n# no command\n\nwho\n# size\ndu -h"
+    assert formats.cheat_sheet("my_sheet", sheet) == "my sheet: list no command size\n\nls -l\nls -a\n\nwho\n\ndu -h" and formats.cheat_sheet("t", "# a") == ""
     assert formats.html_to_markdown("<p>a <b>b</b></p><ul><li>c</li></ul><pre><code>x &lt; y</code></pre>") == "a **b**\n\n- c\n\n```\nx < y\n```"
-    (tmp_path / "p.xml").write_text('<posts><row Id="1" Body="&lt;p&gt;Hi Joe&lt;/p&gt;" OwnerDisplayName="Joe"/><row Id="2" Text="a &amp;amp; b"/></posts>')
-    assert {(r.id, r.text) for r in formats.read_posts(spark, str(tmp_path / "p.xml"), "NN").collect()} == {(1, "Hi NN"), (2, "a & b")}
+    assert formats.html_to_markdown('<blockquote><p>said</p><p>twice</p></blockquote><p><img src="i.png" alt="a plan"> <a href="u">l</a> <a name="n">m</a></p>') == "> said\n>\n> twice\n\n![a plan](i.png) [l](u) m"
+    assert formats.html_to_markdown("<ol><li>x</li><li>y<ul><li>z</li></ul></li></ol>&lt;target&gt;") == "1. x\n2. y\n  - z\n\n<target>"
+    rows = ['Id="1" Body="&lt;p&gt;Hi Joe&lt;/p&gt;" OwnerDisplayName="Joe"', 'Id="2" Text="a &amp;amp; b"', 'Id="3" Text="Ann met Joe" DisplayName="Ann"', 'Id="4" Text="Joe again" DisplayName="Joe"', 'Id="5" Text=" " DisplayName="Joe"']
+    (tmp_path / "p.xml").write_text("<posts>" + "".join(f"<row {r}/>" for r in rows) + "</posts>")
+    plain = {r.id: r.text for r in formats.read_posts(spark, str(tmp_path / "p.xml")).collect()}
+    assert plain == {1: "Hi Joe", 2: "a & b", 3: "Ann met Joe", 4: "Joe again"}
+    masked = {r.id: r.text for r in formats.read_posts(spark, str(tmp_path / "p.xml"), mask=True).collect()}
+    joe, ann = masked[1].removeprefix("Hi "), masked[3].removesuffix(" met Joe")
+    assert masked[4] == f"{joe} again" and joe != ann and "Joe" not in joe and "Ann" not in ann and masked[2] == "a & b"
 
 
 def test_streams(spark, tmp_path):
