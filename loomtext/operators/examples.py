@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.operators import windows
+from loomtext.plans.lineage import broadcast_if_small, materialize
 
 # Ids of the framing tokens; sentinel k is FIRST_SENTINEL - k.
 EOS, PAD, START, LABEL_PAD = 1, 0, 0, -100
@@ -204,22 +206,75 @@ def capacity_batches(df: DataFrame, pos: str, by: str, enc: str, target: str, en
     return pooled.groupBy(by, "pool_no").applyInPandas(cut, schema)
 
 
-def pack_windows(df: DataFrame, pos: str, by: str, length: str, budget: int, most: int, pool: int = 512) -> DataFrame:
-    """(pos, by, window_no, segment): documents in order while length + 2 fits the window and there are not too many; at least one."""
-    schema = df.select(pos, by).schema.add("pool_no", "integer").add("window_no", "integer").add("segment", "integer")
+#: Blocks whose plan is broadcast; more of them are joined by a shuffle.
+MOST_BLOCKS = 1_000_000
+#: Documents of a block in which windows are laid out by one task.
+WINDOW_BLOCK = 50_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        out, k, used, n = [], 0, 0, 0
-        for size in pdf[length]:
-            if n and (used + size + 2 > budget or n == most):
-                k, used, n = k + 1, 0, 0
-            used, n = used + size + 2, n + 1
-            out.append((k, n))
-        return pdf.assign(window_no=[a for a, _ in out], segment=[b for _, b in out])[[pos, by, "pool_no", "window_no", "segment"]]
 
-    pooled = df.select(pos, by, length, F.floor(F.col(pos) / pool).cast("int").alias("pool_no"))
-    return pooled.groupBy(by, "pool_no").applyInPandas(run, schema)
+def pack_windows(df: DataFrame, pos: str, by: str, length: str, budget: int, most: int, block: int | None = None) -> DataFrame:
+    """(pos, by, window_no, segment): documents in order of ``pos`` while length + 2 fits the window and there are not too many; at least one.
+
+    One sequence per value of ``by``, however long: documents are ranked in two levels and cut into blocks. Wherever a window may
+    enter a block (at one of its first ``most`` documents) the block says where it leaves it and after how many windows; these
+    few rows are composed in order, and then every block lays out the windows that begin in it.
+    """
+    size = max(WINDOW_BLOCK if block is None else block, most)
+    ranked = windows.ranked(df.select(pos, by, length), [by], pos, size)
+    own = F.floor(F.col("__rank") / size)
+    # the first documents of a block also end windows of the block before
+    both = F.when((F.col("__rank") >= size) & (F.pmod(F.col("__rank"), F.lit(size)) < most), F.array(own - 1, own)).otherwise(F.array(own))
+    rows = materialize(ranked.withColumn("_block", F.explode(both)), "window-blocks")
+
+    def ends(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[int], int]:
+        """The documents in order, where a window that begins at each of them ends, and how many are the block's own."""
+        pdf = pdf.sort_values("__rank")
+        need = [int(x) + 2 for x in pdf[length]]
+        out, end, used = [], 0, 0
+        for start in range(len(need)):
+            if end <= start:
+                end, used = start + 1, need[start]
+            while end < len(need) and end - start < most and used + need[end] <= budget:
+                used, end = used + need[end], end + 1
+            out.append(end)
+            used -= need[start]
+        return pdf, out, int((pdf["__rank"] // size == pdf["_block"]).sum())
+
+    def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, end, mine = ends(pdf)
+        exits = {}
+        for start in range(mine - 1, -1, -1):
+            at, n = exits.get(end[start], (end[start] - mine, 0))
+            exits[start] = (at, n + 1)
+        entries = range(min(most + 1, mine))
+        return pd.DataFrame({by: key[0], "_block": key[1], "entry": list(entries), "leaves": [exits[k][0] for k in entries], "n": [exits[k][1] for k in entries]})
+
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = {(b, e): (x, n) for b, e, x, n in zip(pdf["_block"], pdf["entry"], pdf["leaves"], pdf["n"])}
+        out, at, first = [], 0, 0
+        for b in sorted(set(pdf["_block"])):
+            out.append((key[0], b, at, first))
+            leaves, n = steps.get((b, at), (0, 0))
+            at, first = leaves, first + n
+        return pd.DataFrame(out, columns=[by, "_block", "_enters", "_first"])
+
+    kind = df.schema[by].dataType.simpleString()
+    table = rows.groupBy(by, "_block").applyInPandas(leave, f"{by} {kind}, _block long, entry long, leaves long, n long")
+    plan = materialize(table.groupBy(by).applyInPandas(compose, f"{by} {kind}, _block long, _enters long, _first long"), "window-plan")
+
+    def lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        enters, number = int(pdf["_enters"].iloc[0]), int(pdf["_first"].iloc[0])
+        pdf, end, mine = ends(pdf)
+        out, start = [], enters
+        while start < mine:
+            out += [(number, k + 1) for k in range(end[start] - start)]
+            start, number = end[start], number + 1
+        return pdf[[pos, by]].iloc[enters : enters + len(out)].assign(window_no=[a for a, _ in out], segment=[b for _, b in out])
+
+    same = [F.col(f"l.{by}").eqNullSafe(F.col(f"r.{by}")), F.col("l._block") == F.col("r._block")]
+    planned = rows.alias("l").join(broadcast_if_small(plan, MOST_BLOCKS).alias("r"), same).select("l.*", "r._enters", "r._first")
+    schema = df.select(pos, by).schema.add("window_no", "long").add("segment", "integer")
+    return planned.groupBy(by, "_block").applyInPandas(lay_out, schema)
 
 
 def packed_example(documents: list[list[int]], mode: str, rng: random.Random) -> dict:

@@ -14,6 +14,17 @@ from loomtext.operators.blend import range_part
 BLOCK = 100_000
 
 
+def ranked(df: DataFrame, by: list[str], order: str, range_rows: int) -> DataFrame:
+    """Adds __rank: the number of a row inside its key by ``order`` (unique there), from 0; counts of ranges are summed, then each range is ranked by itself."""
+    cut = df.withColumn("__part", range_part(df, order, range_rows))
+    counts = cut.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "__part"]]
+    joined = cut.alias("l").join(before.alias("r"), same).select("l.*", "r.__before")
+    return joined.withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1).drop("__part", "__before")
+
+
 def blocks(df: DataFrame, by: list[str], order: str, halo: int, size: int | None = None, range_rows: int | None = None) -> DataFrame:
     """Adds _rank (from 0 inside the key), _block and _halo: logs cut into blocks that each repeat the ``halo`` rows before them.
 
@@ -22,17 +33,11 @@ def blocks(df: DataFrame, by: list[str], order: str, halo: int, size: int | None
     (by, _block) that look back at most ``halo`` rows are exact for the rows with _halo false.
     """
     size = BLOCK if size is None else size
-    cut = df.withColumn("__part", range_part(df, order, size if range_rows is None else range_rows))
-    counts = cut.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    run = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "__part"]]
-    joined = cut.alias("l").join(before.alias("r"), same).select("l.*", "r.__before")
-    ranked = joined.withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1).drop("__part", "__before")
+    numbered = ranked(df, by, order, size if range_rows is None else range_rows)
     own = F.floor(F.col("__rank") / size)
     # a row is also the halo of the next block when it stands among the last of its own
     both = F.when(F.pmod(F.col("__rank"), F.lit(size)) >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
-    return ranked.withColumn("__own", own).withColumn("__block", F.explode(both)).withColumn("__halo", F.col("__block") != F.col("__own")).drop("__own")
+    return numbered.withColumn("__own", own).withColumn("__block", F.explode(both)).withColumn("__halo", F.col("__block") != F.col("__own")).drop("__own")
 
 
 def _done(df: DataFrame) -> DataFrame:
@@ -68,10 +73,14 @@ def hash_chain(df: DataFrame, by: list[str], seq: str, payload: Column) -> DataF
     return _done(cut.withColumn("prev_hash", F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "__block").orderBy("__rank"))))
 
 
-def verify_chain(df: DataFrame, by: list[str], seq: str) -> DataFrame:
-    """Adds broken: whether prev_hash differs from the hash of the row before."""
+def verify_chain(df: DataFrame, by: list[str], seq: str, payload: Column | None = None) -> DataFrame:
+    """Adds state: broken (prev_hash differs from the hash of the row before), absent (the payload is gone), mismatch (the payload has
+    another hash) or ok, the first that holds. Without ``payload`` only the links are looked at."""
     expected = F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*by, "__block").orderBy("__rank"))
-    return _done(blocks(df, by, seq, 1).withColumn("broken", ~F.col("prev_hash").eqNullSafe(expected)))
+    state = F.when(~F.col("prev_hash").eqNullSafe(expected), "broken")
+    if payload is not None:
+        state = state.when(payload.isNull(), "absent").when(~F.sha2(payload, 256).eqNullSafe(F.col("hash")), "mismatch")
+    return _done(blocks(df, by, seq, 1).withColumn("state", state.otherwise("ok")))
 
 
 def missing_links(log: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, fields
-from hashlib import sha256
+from hashlib import file_digest
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -83,17 +83,24 @@ def frozen_examples(df: DataFrame, pos: str, tokens: str, shares: dict[str, int]
 
 
 def freeze(folder: str, gates: DataFrame, artefacts: list[str], hard: tuple[str, ...] = ()) -> dict:
-    """Write the marker FROZEN with the digest of every artefact; refused when one is missing, a hard gate failed or it exists."""
+    """Write the marker FROZEN with the digest of every artefact; refused when one is missing, a hard gate failed or it exists.
+
+    Hard are the gates named in ``hard``, else those that the table itself marks, else all.
+    """
     root = Path(folder)
     marker = root / "FROZEN"
     if marker.exists():
         raise CorpusError(f"{marker} exists: a frozen folder does not change")
     if missing := [a for a in artefacts if not (root / a).is_file()]:
         raise CorpusError(f"missing: {missing}")
-    failed = [r.gate for r in small_rows(gates, 1000, "gates") if not r.passed and (not hard or r.gate in hard)]
+    binding = lambda r: r.gate in hard if hard else r.hard if "hard" in gates.columns else True
+    failed = [r.gate for r in small_rows(gates, 1000, "gates") if not r.passed and binding(r)]
     if failed:
         raise CorpusError(f"gates failed: {failed}")
-    content = {a: sha256((root / a).read_bytes()).hexdigest() for a in sorted(artefacts)}
+    content = {}
+    for a in sorted(artefacts):
+        with open(root / a, "rb") as f:  # in pieces, whatever its size
+            content[a] = file_digest(f, "sha256").hexdigest()
     marker.write_text(json.dumps(content, indent=2))
     return content
 

@@ -132,9 +132,18 @@ def sampled_examples(spark, sf):
     return X.sampled_examples(tokens(spark, sf), "example_id", "t", F.col("mode"))
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {TOK}, r AS (SELECT example_id, mode, len(t) + 2 AS n, row_number() OVER (PARTITION BY mode ORDER BY example_id) AS k FROM tok),
+    w AS (SELECT example_id, mode, k, n AS used, 1 AS segment, 0::BIGINT AS window_no FROM r WHERE k = 1
+          UNION ALL
+          SELECT r.example_id, r.mode, r.k, CASE WHEN w.used + r.n > 512 OR w.segment = 16 THEN r.n ELSE w.used + r.n END, CASE WHEN w.used + r.n > 512 OR w.segment = 16 THEN 1 ELSE w.segment + 1 END,
+            CASE WHEN w.used + r.n > 512 OR w.segment = 16 THEN w.window_no + 1 ELSE w.window_no END FROM w JOIN r ON r.mode IS NOT DISTINCT FROM w.mode AND r.k = w.k + 1)
+    SELECT example_id, mode, window_no, segment::INT AS segment FROM w
+    """
+)
 def packed_windows(spark, sf):
-    """Sequences packed into windows in order."""
+    """Sequences packed into windows in order, one sequence of windows per mode."""
     t = tokens(spark, sf).select("example_id", "mode", F.size("t").alias("n"))
     return X.pack_windows(t, "example_id", "mode", "n", 512, 16)
 

@@ -34,11 +34,23 @@ def hash_chain(spark, sf):
     return windows.hash_chain(table(spark, sf, "events"), ["user_id"], "event_id", F.concat_ws("|", "event_id", "event_type")).select("event_id", "hash", "prev_hash")
 
 
-@query("SELECT user_id, count(*) AS records, 0::BIGINT AS breaks FROM events GROUP BY user_id")
+@query(
+    """
+    WITH h AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type) AS made, event_id || '|' || event_type AS payload FROM events),
+    c AS (SELECT *, coalesce(lag(made) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS prev FROM h WHERE event_id % 89 <> 0),
+    p AS (SELECT user_id, event_id, made AS hash, CASE WHEN event_id % 101 = 0 THEN 'x' ELSE prev END AS prev_hash, CASE WHEN event_id % 107 = 0 THEN NULL WHEN event_id % 103 = 0 THEN payload || '!' ELSE payload END AS payload FROM c WHERE event_id % 97 <> 0),
+    s AS (SELECT user_id, CASE WHEN prev_hash IS DISTINCT FROM coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) THEN 'broken' WHEN payload IS NULL THEN 'absent' WHEN sha256(payload) <> hash THEN 'mismatch' ELSE 'ok' END AS state FROM p)
+    SELECT user_id, count(*) AS records, count(*) FILTER (state = 'broken') AS broken, count(*) FILTER (state = 'absent') AS absent, count(*) FILTER (state = 'mismatch') AS mismatch FROM s GROUP BY user_id
+    """
+)
 def chain_verification(spark, sf):
-    """Breaks per chain: none in chains that were just written."""
-    chained = hash_chain(spark, sf).join(table(spark, sf, "events").select("event_id", "user_id"), "event_id")
-    return windows.verify_chain(chained, ["user_id"], "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("broken"), 1)).alias("breaks"))
+    """Chains of events from which records were removed, links overwritten, and payloads changed or lost afterwards: what each chain shows."""
+    e = F.col("event_id")
+    log = table(spark, sf, "events").select("user_id", "event_id", F.concat_ws("|", "event_id", "event_type").alias("payload")).filter(e % 89 != 0)
+    chained = windows.hash_chain(log, ["user_id"], "event_id", F.col("payload")).filter(e % 97 != 0)
+    tampered = chained.withColumn("prev_hash", F.when(e % 101 == 0, "x").otherwise(F.col("prev_hash"))).withColumn("payload", F.when(e % 107 == 0, None).when(e % 103 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    n = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)
+    return windows.verify_chain(tampered, ["user_id"], "event_id", F.col("payload")).groupBy("user_id").agg(F.count(F.lit(1)).alias("records"), n("broken"), n("absent"), n("mismatch"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM token_counts WHERE doc_id IS NOT NULL)")

@@ -10,6 +10,7 @@ from loomtext.plans import corpus_build
 from loomtext.queries.examples import TOK
 from loomtext.queries.examples import tokens as sequences
 from loomtext.queries.registry import heavy, query, table
+from loomtext.sources import records
 
 
 def _docs(spark, sf):
@@ -28,6 +29,20 @@ def tokenizer_scan(spark, sf):
     return tokens.scan_report(_docs(spark, sf), "source", "text")
 
 
+@query()
+def validation_gates(spark, sf):
+    """The eleven gates of the tokenizer model over every line of every document."""
+    lines = records.eligible_lines(_docs(spark, sf), ["source"]).filter("state = 'eligible'")
+    return tokens.validation_gates(tokens.scan_counts(lines, "source", "line"), builtin={"<unk>": 0, "<s>": 1, "</s>": 2})
+
+
+@query("SELECT doc_id, text FROM documents")
+def decoded_documents(spark, sf):
+    """Every document encoded and decoded again: the same text."""
+    ids = tokens.encode(_docs(spark, sf), ["doc_id"], "text", tokens.escaped_encoder())
+    return tokens.decode(ids, ["doc_id"], "ids")
+
+
 @query()
 def tokenizer_fitness(spark, sf):
     """Texts that a vocabulary fits badly."""

@@ -99,9 +99,11 @@ def test_windows(spark):
     got = {r.s: r for r in windows.loss_spikes(df, ["u"], "s", "v").collect()}
     assert got[30].spike and got[30].rising and not got[31].spike and got[20].ratio is None and got[25].ratio == 1.0
     chained = windows.hash_chain(df, ["u"], "s", F.col("s").cast("string"))
-    assert not windows.verify_chain(chained, ["u"], "s").filter("broken").count()
+    assert not windows.verify_chain(chained, ["u"], "s").filter("state <> 'ok'").count()
     tampered = chained.withColumn("prev_hash", F.when(F.col("s") == 7, "x").otherwise(F.col("prev_hash")))
-    assert [r.s for r in windows.verify_chain(tampered, ["u"], "s").filter("broken").collect()] == [7]
+    assert [r.s for r in windows.verify_chain(tampered, ["u"], "s").filter("state = 'broken'").collect()] == [7]
+    later = windows.verify_chain(tampered, ["u"], "s", F.when(F.col("s") == 9, None).when(F.col("s").isin(7, 11), "other").otherwise(F.col("s").cast("string")))
+    assert {r.s: r.state for r in later.filter("state <> 'ok'").collect()} == {7: "broken", 9: "absent", 11: "mismatch"}
     reset = windows.reset_windows(df.filter("s < 6").fillna(0.0), ["u"], ["s"], "v", 2)
     assert [r.window_no for r in reset.orderBy("s").collect()] == [0, 0, 1, 1, 2, 2]
 
@@ -127,7 +129,7 @@ def test_blocks_do_not_change_windows(spark, monkeypatch, size):
             last = spike
     assert len(got) == 700
     chained = windows.hash_chain(df, ["u"], "s", F.col("s").cast("string"))
-    assert chained.count() == 700 and not windows.verify_chain(chained, ["u"], "s").filter("broken").count()
+    assert chained.count() == 700 and not windows.verify_chain(chained, ["u"], "s").filter("state <> 'ok'").count()
 
 
 def test_nearest_rank(spark):
@@ -176,6 +178,24 @@ def test_batches_lose_nothing(spark):
     assert packed.count() == 600 and packed.agg(F.max("segment")).first()[0] <= 5
 
 
+@pytest.mark.parametrize("block", [5, 7, 50, None])
+def test_windows_run_on_over_blocks(spark, block):
+    """One sequence of windows per key, the same as packed one by one, wherever blocks end; a document larger than a window stands alone."""
+    rng = random.Random(4)
+    rows = [(k * 3, rng.choice(["a", "b", None]), rng.choice([1, 3, 20, 40, 90, 300, 0])) for k in range(400)]
+    want = set()
+    for key in ("a", "b", None):
+        number, used, n = -1, 0, 0
+        for k, _, size in (r for r in rows if r[1] == key):
+            if number < 0 or used + size + 2 > 100 or n == 5:
+                number, used, n = number + 1, 0, 0
+            used, n = used + size + 2, n + 1
+            want.add((k, key, number, n))
+    got = examples.pack_windows(spark.createDataFrame(rows, "id long, mode string, e int"), "id", "mode", "e", 100, 5, block)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 400
+    assert examples.pack_windows(spark.createDataFrame([], "id long, mode string, e int"), "id", "mode", "e", 100, 5, block).count() == 0
+
+
 def test_published_sari():
     source = "About 95 species are currently accepted ."
     output = "About 95 you now get in ."

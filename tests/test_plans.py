@@ -30,6 +30,8 @@ def test_viterbi_against_all_segmentations():
         cut = tokens.viterbi(t, pieces)
         assert "".join(cut) == t and sum(pieces[p] for p in cut) == pytest.approx(best(t)[0])
     assert tokens.viterbi("axyb", pieces) == ["a", "xy", "b"]
+    some = {"a": -1.0} | {f"<0x{b:02X}>": -9.0 for b in "é".encode()}
+    assert tokens.with_bytes(tokens.viterbi("aéa€", some), some) == ["a", "<0xC3>", "<0xA9>", "a", "€"]
 
 
 def test_repeat_ban(spark):
@@ -102,3 +104,20 @@ def test_rendering(spark):
     df = spark.createDataFrame([(10, 2.0), (100, None)], "step int, rate double")
     assert build.render(df.select("step")) == "| step |\n|---|\n| 10 |\n| 100 |"
     assert [r.line for r in build.progress(df, "step", 100, "rate").orderBy("step").collect()][0] == "10/100 (10.0 %), 2.00 a second, 45 s left"
+
+
+def test_gates(spark):
+    """Eleven gates, four of them hard; a text that the model changes fails the round trip, and a name it cuts the third."""
+    good = [("a", "The keeper went down to the harbour and saw http://a.example/x_y?z=1 there."), ("b", "Nothing else was said about it."), ("a", None)]
+    df = spark.createDataFrame(good, "source string, line string")
+    counts = tokens.scan_counts(df, "source", "line")
+    got = {r.number: r for r in tokens.validation_gates(counts, builtin={"<unk>": 0}).collect()}
+    assert sorted(got) == list(range(1, 12)) and {k for k, r in got.items() if r.hard} == {1, 2, 3, 6}
+    assert got[1].passed and got[3].passed and got[6].passed and got[7].metric > 1000
+    assert not {r.number: r for r in tokens.validation_gates(counts, specials={"not a piece": 5}).collect()}[3].passed
+    lossy = spark.createDataFrame([("a", "two  blanks\tand http://a.example/\u0000x")], "source string, line string")
+    bad = {r.number: r for r in tokens.validation_gates(tokens.scan_counts(lossy, "source", "line")).collect()}
+    assert bad[1].passed == (bad[1].metric == 0)
+    none = {r.number: r for r in tokens.validation_gates(tokens.scan_counts(df.limit(0), "source", "line")).collect()}
+    assert not none[1].passed and none[2].passed and len(none) == 11
+    assert tokens.unescape(tokens.escape("\ue000\u2581\ue001 x")) == "\ue000\u2581\ue001 x"
