@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import dedup, quality, tokens
-from loomtext.plans.lineage import shared_dir
+from loomtext.plans.lineage import materialize, read_text, shared_dir, write_text
 
 
 def pass1(docs: DataFrame) -> DataFrame:
@@ -60,23 +62,26 @@ def samples(audited: DataFrame, n: int) -> DataFrame:
 
 
 def route(docs: DataFrame, audited: DataFrame, out: str | None = None) -> tuple[str, str]:
-    """Write kept and rejected rows to two folders, published only when their counts add up.
+    """Write kept and rejected rows to two folders of a new version, which becomes the current one only when the counts add up.
 
-    Both writes come from one joined frame; rejected rows carry their reasons.
+    The audit is computed once; both writes come from one joined frame; rejected rows carry their reasons. The file CURRENT names the
+    version (``routed``); earlier versions stay until somebody removes them, so no failure loses a table.
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/routed"
+    version = f"{out}/v-{uuid.uuid4().hex}"
     n = docs.count()
-    joined = docs.join(audited.select("doc_id", "bits", "reasons"), "doc_id")
+    joined = docs.join(materialize(audited.select("doc_id", "bits", "reasons"), "audited"), "doc_id")
     for name, part in (("kept", joined.filter("bits = 0").drop("bits", "reasons")), ("rejected", joined.filter("bits <> 0"))):
-        part.write.mode("overwrite").parquet(f"{out}/_{name}")
-    kept, moved = (spark.read.parquet(f"{out}/_{x}").count() for x in ("kept", "rejected"))
+        part.write.parquet(f"{version}/{name}")
+    kept, moved = (spark.read.parquet(f"{version}/{x}").count() for x in ("kept", "rejected"))
     if kept + moved != n:
         raise RuntimeError(f"{kept} kept and {moved} rejected rows do not add up to {n}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    for x in ("kept", "rejected"):
-        fs.delete(path(f"{out}/{x}"), True)
-        if not fs.rename(path(f"{out}/_{x}"), path(f"{out}/{x}")):
-            raise RuntimeError(f"{out}/{x} could not be published")
-    return f"{out}/kept", f"{out}/rejected"
+    write_text(spark, f"{out}/CURRENT", version)
+    return routed(spark, out)
+
+
+def routed(spark: SparkSession, out: str) -> tuple[str, str]:
+    """The folders of kept and of rejected rows of the current version."""
+    version = read_text(spark, f"{out}/CURRENT")
+    return f"{version}/kept", f"{version}/rejected"

@@ -167,3 +167,70 @@ def cumulative_draw(df: DataFrame, weights: DataFrame, u: Column, key: str = "so
     names = F.array(*[F.lit(k) for k, _ in rows])
     at = F.size(F.filter(F.array(*map(F.lit, bounds[:-1])), lambda b: b <= F.col("__u"))) + 1
     return df.withColumn("__u", u).withColumn("drawn", F.element_at(names, at)).drop("__u")
+
+
+def realized_shares(drawn: DataFrame, lines: DataFrame, source: str = "drawn") -> DataFrame:
+    """(source, draws, share, epochs): draws per source, their share of all, and how often its lines (source, lines) were gone through."""
+    d = drawn.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("draws"))
+    whole = F.sum("draws").over(Window.partitionBy())  # one row per source
+    return d.join(lines.select("source", "lines"), "source").select("source", "draws", F.round(F.col("draws") / whole, 6).alias("share"), F.floor(F.col("draws") / F.col("lines")).alias("epochs"))
+
+
+def byte_budgets(weights: DataFrame, have: DataFrame, total: int, key: str = "source_id", weight: str = "target_weight", least: float = 0.9) -> DataFrame:
+    """(key, wanted_bytes, underfilled): the bytes every source should give to ``total``, and whether it has (source, bytes) less than ``least`` of that."""
+    share = F.col(weight) / F.sum(weight).over(Window.partitionBy())  # one row per source
+    j = weights.select(key, share.alias("_share")).join(have.select(F.col("source").alias(key), "bytes"), key, "left")
+    return j.select(key, F.floor(F.col("_share") * total).alias("wanted_bytes"), (F.coalesce("bytes", F.lit(0)) < F.lit(least) * F.col("_share") * total).alias("underfilled"))
+
+
+def token_estimates(counts: DataFrame, bytes_per_token: int = 4) -> DataFrame:
+    """(source, rounded, tokens, gib) from bytes: tokens rounded half to even and rounded down, and gibibytes."""
+    c = F.col("bytes")
+    return counts.select("source", F.bround(c / bytes_per_token).cast("long").alias("rounded"), F.floor(c / bytes_per_token).alias("tokens"), F.round(c / float(1 << 30), 6).alias("gib"))
+
+
+def bottom_draws(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
+    """A uniform sample of n rows with their ``draw``: the lowest draws. Samples of parts merge (``merge_samples``)."""
+    from loomtext.functions.text import draw
+
+    return df.withColumn("draw", draw(F.lit(seed), F.col(key))).orderBy("draw", key).limit(n)
+
+
+def merge_samples(parts: list[DataFrame], n: int, key: str) -> DataFrame:
+    """The sample of n rows of all parts together, from a sample of n (or more) rows of each, whatever their sizes: the lowest draws of the union."""
+    return reduce(DataFrame.unionByName, parts).orderBy("draw", key).limit(n)
+
+
+def key_order_split(df: DataFrame, pos: str, text: str, salt: str, evals: int, trains: int) -> DataFrame:
+    """(pos, split) of distinct texts, each by its first position: in order of salted digests the first ``evals`` evaluate, the next
+    ``trains`` train, the rest rests. Two ordered limits, no global window; digests are moved, not texts."""
+    key = F.sha2(F.concat(F.lit(salt), F.lit("\x01"), F.col(text)), 256)
+    keyed = df.filter(F.col(text).isNotNull()).groupBy(key.alias("_key")).agg(F.min(pos).alias(pos))
+    head = keyed.orderBy("_key").limit(evals + trains)
+    first = head.orderBy("_key").limit(evals).select(pos, F.lit("eval").alias("_e"))
+    marked = head.select(pos).join(first, pos, "left").select(pos, F.coalesce("_e", F.lit("train")).alias("_split"))
+    return keyed.select(pos).join(marked, pos, "left").select(pos, F.coalesce("_split", F.lit("rest")).alias("split"))
+
+
+def seed_offset(name: Column, factor: int = 31) -> Column:
+    """The sum of the code points of a name times a factor: an offset that a name always has."""
+    return F.aggregate(F.transform(F.split(name, ""), F.ascii), F.lit(0).cast("long"), lambda s, x: s + x) * factor
+
+
+def sign_stream(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, counter, sign): n signs per key from digests in counter mode."""
+    k = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("counter"))
+    first = F.conv(F.substring(F.sha2(F.concat_ws(":", key, "counter"), 256), 1, 1), 16, 10).cast("int")
+    return k.select(key, "counter", F.when(first >= 8, 1).otherwise(-1).alias("sign"))
+
+
+def grid(base: DataFrame, axes: dict[str, list]) -> DataFrame:
+    """Every row of ``base`` with every combination of the axes' values."""
+    for name, values in axes.items():
+        base = base.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return base
+
+
+def in_turn(items: DataFrame, pos: str, workers: int) -> DataFrame:
+    """Adds worker: items go round the workers in turn."""
+    return items.withColumn("worker", F.pmod(pos, F.lit(workers)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -277,6 +277,54 @@ def pack_windows(df: DataFrame, pos: str, by: str, length: str, budget: int, mos
     return planned.groupBy(by, "_block").applyInPandas(lay_out, schema)
 
 
+def epoch_plan(df: DataFrame, pos: str, size: str, seed: str, window_rows: int = 64, step_rows: int = 8) -> DataFrame:
+    """(pos, epoch_window, step): an epoch shuffled by draw into windows of about ``window_rows`` rows, each ordered by size and cut into steps.
+
+    Another ``seed`` is another epoch. A window is small, so no task holds more than a few of them.
+    """
+    n = max(1, -(-df.count() // window_rows))
+    rows = df.select(pos, size, F.floor(T.uniform(F.lit(seed), F.col(pos)) * n).cast("int").alias("epoch_window"))
+    order = Window.partitionBy("epoch_window").orderBy(size, pos)
+    return rows.select(pos, "epoch_window", F.floor((F.row_number().over(order) - 1) / step_rows).cast("int").alias("step"))
+
+
+def produced(df: DataFrame, columns: list[str], make: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """Examples from a producer of the user's own: ``make`` turns a row (as a dict) into any number of examples (dicts by the schema's names).
+
+    Whatever makes them, the result can be batched by length, by capacity or packed like any other.
+    """
+    from pyspark.sql.types import StructType
+
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [[x.get(n) for n in names] for row in pdf.to_dict("records") for x in make(row)]
+            yield pd.DataFrame(out, columns=names)
+
+    return df.select(*columns).mapInPandas(run, schema)
+
+
+def packed_examples(df: DataFrame, pos: str, by: str, tokens: str, budget: int, most: int, seed: int = 17) -> DataFrame:
+    """(by, window_no, documents, encoder, segments, target, target_segments): the documents of every window as one example.
+
+    ``by`` is the mode; windows are those of ``pack_windows``, each with a generator of its own, so no partitioning changes them. Modes without
+    rates of corruption (prefixes) and null modes are left out.
+    """
+    rows = df.filter(F.col(by).isin(list(RATES)) & (F.size(tokens) >= 2)).select(pos, by, tokens)
+    laid = pack_windows(rows.withColumn("_n", F.size(tokens)), pos, by, "_n", budget, most)
+    kind = df.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, window_no long, documents array<long>, encoder array<int>, segments array<int>, target array<int>, target_segments array<int>"
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment")
+        x = packed_example([[int(t) for t in ids] for ids in pdf[tokens]], key[0], seeded(seed, int(pdf[pos].iloc[0])))
+        return pd.DataFrame({by: [key[0]], "window_no": [key[1]], "documents": [pdf[pos].tolist()], **{k: [v] for k, v in x.items()}})
+
+    # a window holds at most ``most`` documents
+    return laid.join(rows.select(pos, tokens), pos).groupBy(by, "window_no").applyInPandas(build, schema)
+
+
 def packed_example(documents: list[list[int]], mode: str, rng: random.Random) -> dict:
     """One window of several documents: sentinels run on, segment ids start at 1."""
     enc, seg, tgt, tseg, k = [MODES[mode]], [1], [], [], 0

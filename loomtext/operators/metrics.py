@@ -183,3 +183,9 @@ def chrf_udf(*columns: Column) -> Column:
 
 def preserved_udf(*columns: Column) -> Column:
     return F.pandas_udf(_preserved_series, "double")(*columns)
+
+
+def generation_means(pairs: DataFrame, by: str, source: str, output: str) -> DataFrame:
+    """(by, mean_ratio, mean_novel, pairs): means of the length ratio and of the share of new words, nulls left out."""
+    src, out = F.col(source), F.col(output)
+    return pairs.groupBy(by).agg(F.round(F.avg(T.length_ratio(src, out)), 6).alias("mean_ratio"), F.round(F.avg(T.novel_word_rate(src, out)), 6).alias("mean_novel"), F.count(F.lit(1)).alias("pairs"))

@@ -80,3 +80,80 @@ def gates(scans: DataFrame) -> DataFrame:
         ("bytes", F.col("total_byte_tokens") <= 0.02 * F.col("total_tokens"), share("total_byte_tokens", "total_tokens")),
     ]
     return s.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), p.alias("passed"), m.alias("metric")) for g, p, m in rows])).alias("r")).select("r.*")
+
+
+def best_checkpoint(df: DataFrame, by: str, step: str, value: str) -> DataFrame:
+    """(by, best_low, best_high): the step of the lowest and of the highest value, the earliest of equal ones."""
+    return df.groupBy(by).agg(F.min_by(step, F.struct(value, step)).alias("best_low"), F.max_by(step, F.struct(F.col(value), (-F.col(step)).alias("_n"))).alias("best_high"))
+
+
+def mean_loss(df: DataFrame, by: str, loss: str, weight: str) -> DataFrame:
+    """(by, mean_loss, perplexity) from sums of losses and of weights, per group and over all (null)."""
+    mean = F.try_divide(F.sum(loss), F.sum(weight))
+    return df.groupingSets([[by], []], by).agg(F.round(mean, 6).alias("mean_loss"), F.round(F.exp(F.least(mean, F.lit(50.0))), 6).alias("perplexity"))
+
+
+def loss_by_length(df: DataFrame, length: str, loss: str, edges: list[int]) -> DataFrame:
+    """(bucket, n, mean_loss): means by upper edges of lengths, the last bucket open; null losses are left out."""
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(length)))
+    return df.filter(F.col(length).isNotNull() & F.col(loss).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 6).alias("mean_loss"))
+
+
+def weight_moments(df: DataFrame, values: str) -> DataFrame:
+    """(n, total, squares) of all elements of an array column, as doubles."""
+    x = df.select(F.explode(values).alias("v")).select(F.col("v").cast("double").alias("v"))
+    return x.agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
+
+
+#: Files that one digest may stand for.
+MAX_FILES = 100_000
+
+
+def root_hashes(files: DataFrame, by: str, name: str, digest: Column) -> DataFrame:
+    """(by, root): one digest over the lines "digest  name" of every group, ordered by name.
+
+    A digest of a sequence is made in one task: a group of more than ``MAX_FILES`` names is refused, not gathered.
+    """
+    rows = files.select(by, name, F.concat(digest, F.lit("  "), F.col(name).cast("string"), F.lit("\n")).alias("_line"))
+    if large := rows.groupBy(by).count().filter(F.col("count") > MAX_FILES).limit(1).collect():
+        raise ValueError(f"{large[0][0]}: more than {MAX_FILES} files under one digest")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "_line"))), lambda s: s["_line"]), "")
+    return rows.groupBy(by).agg(F.sha2(joined, 256).alias("root"))
+
+
+def file_digests(df: DataFrame, name: str, content: str) -> DataFrame:
+    """(name, digest, bytes) of contents; null has no digest and no bytes."""
+    return df.select(name, F.sha2(content, 256).alias("digest"), F.coalesce(F.octet_length(content), F.lit(0)).alias("bytes"))
+
+
+def window_accumulators(df: DataFrame, by: str, step: str, width: int, value: str, label: str) -> DataFrame:
+    """(by, window_id, total, highest, last_type): what gathers between two log lines, ``width`` steps apart."""
+    return df.groupBy(by, F.floor(F.col(step) / width).alias("window_id")).agg(F.sum(value).alias("total"), F.max(value).alias("highest"), F.max_by(label, step).alias("last_type"))
+
+
+def count_by_mode(df: DataFrame, key: str, mode: str = "mode") -> DataFrame:
+    """(mode, n) of different examples."""
+    return df.select(key, mode).distinct().groupBy(mode).agg(F.count(F.lit(1)).alias("n"))
+
+
+def check_names(df: DataFrame, name: str, shape: str) -> DataFrame:
+    """One row: names, different ones, whether none repeats and whether all have the shape."""
+    n, different = F.count(F.lit(1)), F.countDistinct(name)
+    return df.agg(n.alias("names"), different.alias("distinct_names"), (n == different).alias("unique_names"), F.bool_and(F.col(name).rlike(f"^(?:{shape})$")).alias("well_formed"))
+
+
+def name_ids(df: DataFrame, name: str, first_id: int) -> DataFrame:
+    """(name, id): ids that follow one another from ``first_id`` in order of names. For the small table of reserved names."""
+    return df.select(name).distinct().select(name, (F.row_number().over(Window.partitionBy().orderBy(name)) - 1 + first_id).alias("id"))
+
+
+def saturated(sources: DataFrame, lines: DataFrame, key: str, limit: str) -> DataFrame:
+    """(key, lines, saturated): whether a source (source, lines) has as many lines as its limit, where it has one."""
+    j = sources.select(key, limit).join(lines.select(F.col("source").alias(key), "lines"), key)
+    return j.select(key, "lines", ((F.col("lines") >= F.col(limit)) & (F.col(limit) > 0)).alias("saturated"))
+
+
+def schedule(steps: DataFrame, step: str, first: int, every: int, cooldown: int) -> DataFrame:
+    """Adds due (every so many steps, counted from one, not before ``first``) and phase (main, then cooldown)."""
+    s = F.col(step)
+    return steps.withColumn("due", (s + 1 >= first) & ((s + 1) % every == 0)).withColumn("phase", F.when(s >= cooldown, "cooldown").otherwise("main"))

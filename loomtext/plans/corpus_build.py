@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 from hashlib import file_digest
 from pathlib import Path
@@ -15,6 +16,10 @@ from loomtext.plans.lineage import materialize, small_rows
 from loomtext.sources import records
 
 
+#: Share of bytes by which a source may miss its wanted share without a note.
+MOST_DEVIATION = 0.02
+
+
 class CorpusError(RuntimeError):
     """A corpus that must not be used: what was wrong stands in the message."""
 
@@ -64,7 +69,30 @@ def build_corpus(df: DataFrame, settings: BuildSettings, weights: dict[str, floa
     if any(got.get(k, 0) != n for k, n in quota.items()):
         raise CorpusError(f"chosen {got}, wanted {quota}")
     whole = report.agg(F.sum("bytes")).scalar()
-    return chosen, report.withColumn("byte_share", F.round(F.try_divide(F.col("bytes"), whole), 6))
+    wanted = F.lit(None).cast("double")
+    for k, w in (weights or {}).items():
+        wanted = F.when(F.col("source") == k, w / sum(weights.values())).otherwise(wanted)
+    report = report.withColumn("byte_share", F.round(F.try_divide(F.col("bytes"), whole), 6))
+    return chosen, report.withColumn("off_blend", F.coalesce(F.abs(F.col("byte_share") - wanted) > MOST_DEVIATION, F.lit(False)))
+
+
+def run_sources(jobs: dict[str, Callable[[], DataFrame]], write: Callable[[str, DataFrame], int], budgets: dict[str, int] | None = None) -> list[dict]:
+    """One job after another: (source, state, rows, error) for each. What fails is recorded and the others go on.
+
+    ``jobs`` make a frame per source, ``write`` stores it and returns its rows; a budget bounds the rows of a source by position in its own order.
+    States are done, empty, failed. Only when every source failed is that an error of the run.
+    """
+    report = []
+    for name, make in jobs.items():
+        try:
+            df = make()
+            rows = write(name, df if budgets is None or name not in budgets else df.limit(budgets[name]))
+            report.append({"source": name, "state": "done" if rows else "empty", "rows": rows, "error": None})
+        except Exception as e:  # whatever a source does, the others are independent of it
+            report.append({"source": name, "state": "failed", "rows": 0, "error": f"{type(e).__name__}: {str(e)[:500]}"})
+    if report and all(r["state"] == "failed" for r in report):
+        raise CorpusError("every source failed: " + "; ".join(f"{r['source']}: {r['error'][:100]}" for r in report))
+    return report
 
 
 def frozen_examples(df: DataFrame, pos: str, tokens: str, shares: dict[str, int], total: int, seed: int = 17) -> DataFrame:

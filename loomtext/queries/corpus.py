@@ -31,8 +31,7 @@ def size_suffix_labels(spark, sf):
 
 @query("SELECT split_part(replace(shard_path, 'shards/', ''), '/', 1) AS source, count(DISTINCT shard_path) AS files, min(shard_path) AS first_file FROM scan_stats WHERE shard_path IS NOT NULL GROUP BY 1")
 def files_by_source(spark, sf):
-    files = table(spark, sf, "scan_stats").filter("shard_path is not null").select("shard_path").distinct()
-    return files.groupBy(records.directory_label(F.col("shard_path"), "shards").alias("source")).agg(F.count(F.lit(1)).alias("files"), F.min("shard_path").alias("first_file"))
+    return records.files_by_source(table(spark, sf, "scan_stats"), "shard_path", "shards")
 
 
 _RAW = """CASE WHEN text IS NULL THEN '{"text": null}' WHEN line_no % 11 = 1 THEN '{"text": 5}' WHEN line_no % 11 = 2 THEN '[1, 2]' WHEN line_no % 11 = 3 THEN '{"text": "cut' WHEN line_no % 11 = 4 THEN '{"other": "x"}' ELSE '{"text": "' || {T} || '"}' END"""
@@ -90,7 +89,7 @@ def site_order(spark, sf):
 @query("SELECT source_id, shuffle_buffer FROM source_spec SEMI JOIN slice_budget USING (source_id) ORDER BY shuffle_buffer, source_id")
 def allowed_sites(spark, sf):
     """Sites of an allow-list, by size and name."""
-    return table(spark, sf, "source_spec").join(table(spark, sf, "slice_budget"), "source_id", "left_semi").orderBy("shuffle_buffer", "source_id").select("source_id", "shuffle_buffer")
+    return records.allowed(table(spark, sf, "source_spec"), table(spark, sf, "slice_budget"), "source_id", ["shuffle_buffer", "source_id"]).select("source_id", "shuffle_buffer")
 
 
 @query(f"SELECT a.doc_id, a.text || chr(10) || b.text AS pair FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE {strip_sql('a.text')} <> '' AND {strip_sql('b.text')} <> ''")
@@ -107,20 +106,19 @@ def first_seen(spark, sf):
 
 @query("SELECT suite, count(*) AS items, sum(length(text))::BIGINT AS chars FROM eval_items WHERE text IS NOT NULL GROUP BY suite")
 def eval_records(spark, sf):
-    return table(spark, sf, "eval_items").filter("text is not null").groupBy("suite").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars"))
+    return records.items_by_suite(table(spark, sf, "eval_items"), "suite", "text")
 
 
 @query(f"SELECT {SRC} AS source, shard_index, count(*) AS lines FROM (SELECT DISTINCT chunk_id, source_id AS source, shard_index FROM budget_writer) GROUP BY ALL")
 def shards_per_source(spark, sf):
-    chunks = table(spark, sf, "budget_writer").select("chunk_id", F.lower(F.trim("source_id")).alias("source"), "shard_index").distinct()
-    return chunks.groupBy("source", "shard_index").agg(F.count(F.lit(1)).alias("lines"))
+    return records.shards_per_source(table(spark, sf, "budget_writer"), "chunk_id", "source_id", "shard_index")
 
 
 @query()
 def pipeline_counters(spark, sf):
     """Records in, chunks made, and what each stage dropped, per source."""
     docs = heavy(spark, sf, "documents").withColumn("source", F.lower(F.trim("source")))
-    chunks = clean.clean_records(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumn("pos", F.col("doc_id") * 1000 + F.col("chunk_no"))
+    chunks = clean.clean_records(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumn("pos", F.struct("doc_id", "chunk_no"))
     verdict = dedup.two_stage(chunks.select("pos", "text"), "pos")
     marked = chunks.join(verdict, "pos").select("source", "doc_id", (quality.assess(F.col("text")) == "keep").alias("good"), "verdict")
     by_chunk = marked.groupBy("source").agg(

@@ -107,7 +107,16 @@ def length_batches(spark, sf):
     return X.length_batches(tokens(spark, sf), "example_id", "mode", size).select("example_id", "mode", "pool_no", "batch_no")
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {TOK}, r AS (SELECT example_id, mode, example_id // 256 AS pool_no, len(t) AS e, len(lab) AS l, row_number() OVER (PARTITION BY mode, example_id // 256 ORDER BY greatest(len(t), len(lab)), len(t), example_id) AS k FROM tok),
+    w AS (SELECT *, 1 AS n, e AS we, l AS wl, 0 AS batch_no FROM r WHERE k = 1
+          UNION ALL
+          SELECT r.*, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN r.e ELSE greatest(we, r.e) END, CASE WHEN cut THEN r.l ELSE greatest(wl, r.l) END, CASE WHEN cut THEN batch_no + 1 ELSE batch_no END
+          FROM (SELECT r.*, w.n, w.we, w.wl, w.batch_no, (w.n + 1) * greatest(w.we, r.e) > 4096 OR (w.n + 1) * greatest(w.wl, r.l) > 2048 OR w.n = 64 AS cut FROM w JOIN r ON r.mode IS NOT DISTINCT FROM w.mode AND r.pool_no = w.pool_no AND r.k = w.k + 1) x, LATERAL (SELECT x.example_id, x.mode, x.pool_no, x.e, x.l, x.k) r)
+    SELECT example_id, mode, pool_no::INT AS pool_no, batch_no::INT AS batch_no FROM w
+    """
+)
 def capacity_batches(spark, sf):
     """Batches cut where rows times width would exceed a capacity."""
     t = tokens(spark, sf).select("example_id", "mode", F.size("t").alias("e"), F.size("lab").alias("l"))
@@ -117,13 +126,7 @@ def capacity_batches(spark, sf):
 @query(f"WITH {TOK}, s AS (SELECT example_id, floor({draw_sql(chr(39) + '17:0:' + chr(39) + ' || example_id')} / 1152921504606846976.0::DOUBLE * ceil(count(*) OVER () / 64.0))::INT AS win, len(t) AS n FROM tok) SELECT example_id, win AS epoch_window, ((row_number() OVER (PARTITION BY win ORDER BY n, example_id) - 1) // 8)::INT AS step FROM s")
 def epoch_plan(spark, sf):
     """An epoch shuffled by draw into windows of about 64 rows, each ordered by length and cut into steps of eight."""
-    from pyspark.sql import Window
-
-    n = -(-table(spark, sf, "padded_batch").select("example_id").distinct().count() // 64)
-    win = F.floor(T.uniform(F.lit("17:0"), F.col("example_id")) * n).cast("int")
-    t = tokens(spark, sf).select("example_id", win.alias("epoch_window"), F.size("t").alias("n"))
-    order = Window.partitionBy("epoch_window").orderBy("n", "example_id")
-    return t.select("example_id", "epoch_window", F.floor((F.row_number().over(order) - 1) / 8).cast("int").alias("step"))
+    return X.epoch_plan(tokens(spark, sf).select("example_id", F.size("t").alias("n")), "example_id", "n", "17:0")
 
 
 @query()
@@ -149,6 +152,21 @@ def packed_windows(spark, sf):
 
 
 @query()
+def packed_examples(spark, sf):
+    """Windows of several sequences as one example each."""
+    return X.packed_examples(tokens(spark, sf), "example_id", "mode", "t", 512, 16)
+
+
+@query(
+    f"""
+    WITH RECURSIVE {TOK}, r AS (SELECT mode, batch_id, batch_id // 256 AS stretch, sum(len(lab))::BIGINT AS v, row_number() OVER (PARTITION BY mode, batch_id // 256 ORDER BY batch_id) AS k FROM tok GROUP BY mode, batch_id),
+    w AS (SELECT mode, batch_id, stretch, v, k, v AS total, 0 AS window_no FROM r WHERE k = 1
+          UNION ALL
+          SELECT r.mode, r.batch_id, r.stretch, r.v, r.k, CASE WHEN w.total >= 2000 THEN r.v ELSE w.total + r.v END, CASE WHEN w.total >= 2000 THEN w.window_no + 1 ELSE w.window_no END
+          FROM w JOIN r ON r.mode IS NOT DISTINCT FROM w.mode AND r.stretch = w.stretch AND r.k = w.k + 1)
+    SELECT mode, batch_id, v AS label_tokens, stretch::INT AS stretch, window_no::INT AS window_no FROM w
+    """
+)
 def step_windows(spark, sf):
     """Batches gathered until their label tokens reach a budget, inside bounded stretches of batches."""
     b = tokens(spark, sf).groupBy("mode", "batch_id").agg(F.sum(F.size("lab")).cast("long").alias("label_tokens"))

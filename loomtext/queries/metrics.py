@@ -89,8 +89,7 @@ def span_preservation(spark, sf):
 @query(f"WITH {PAIRS} SELECT style, round(avg(length(out) / greatest(length(src), 1)::DOUBLE), 6) AS mean_ratio, round(avg(len(list_filter({W.format('out')}, lambda w: NOT list_contains({W.format('src')}, w))) / nullif(len({W.format('out')}), 0)::DOUBLE), 6) AS mean_novel, count(*) AS pairs FROM p GROUP BY style")
 def generation_means(spark, sf):
     """Means per style that leave nulls out."""
-    p = pairs(spark, sf)
-    return p.groupBy("style").agg(F.round(F.avg(T.length_ratio(F.col("src"), F.col("out"))), 6).alias("mean_ratio"), F.round(F.avg(T.novel_word_rate(F.col("src"), F.col("out"))), 6).alias("mean_novel"), F.count(F.lit(1)).alias("pairs"))
+    return metrics.generation_means(pairs(spark, sf), "style", "src", "out")
 
 
 _REASON = f"CASE WHEN style <> 'web_lantern' THEN 'wrong_style' WHEN {strip_sql('src')} = '' OR {strip_sql('out')} = '' THEN 'empty' WHEN src = out THEN 'identity' WHEN length(src) > 2000 THEN 'source_too_long' WHEN length(out) > 2000 THEN 'target_too_long' WHEN length(out) / greatest(length(src), 1)::DOUBLE < 0.5 THEN 'length_ratio_low' WHEN length(out) / greatest(length(src), 1)::DOUBLE > 2 THEN 'length_ratio_high' END"

@@ -59,17 +59,12 @@ def train_budgets(spark, sf):
 @query(f"WITH w AS (SELECT source_id, target_weight / sum(target_weight) OVER () AS share FROM source_spec) SELECT source_id, floor(share * 1000000)::BIGINT AS wanted_bytes, coalesce(bytes, 0) < 0.9 * share * 1000000 AS underfilled FROM w LEFT JOIN {COUNTS} c ON c.source = source_id")
 def byte_budgets(spark, sf):
     """Bytes every source should give to a million, and whether it has less than nine tenths of that."""
-    spec = table(spark, sf, "source_spec").select("source_id", "target_weight")
-
-    share = F.col("target_weight") / F.sum("target_weight").over(Window.partitionBy())
-    j = spec.withColumn("share", share).join(_counts(spark, sf), F.col("source") == F.col("source_id"), "left")
-    return j.select("source_id", F.floor(F.col("share") * 1000000).alias("wanted_bytes"), (F.coalesce("bytes", F.lit(0)) < F.lit(0.9) * F.col("share") * 1000000).alias("underfilled"))
+    return blend.byte_budgets(table(spark, sf, "source_spec"), _counts(spark, sf), 1_000_000)
 
 
 @query(f"SELECT source, (bytes / 4)::BIGINT AS rounded, floor(bytes / 4.0)::BIGINT AS tokens, round(bytes / 1073741824.0, 6) AS gib FROM {COUNTS}")
 def token_estimates(spark, sf):
-    c = F.col("bytes")
-    return _counts(spark, sf).select("source", F.bround(c / 4).cast("long").alias("rounded"), F.floor(c / 4).alias("tokens"), F.round(c / float(1 << 30), 6).alias("gib"))
+    return blend.token_estimates(_counts(spark, sf))
 
 
 @query(f"SELECT doc_id, rn <= quota AS train FROM (SELECT doc_id, row_number() OVER (PARTITION BY {SRC} ORDER BY {draw_sql(chr(39) + '7:' + chr(39) + ' || doc_id')}) AS rn, floor(0.8 * count(*) OVER (PARTITION BY {SRC})) AS quota FROM documents)")
@@ -92,19 +87,22 @@ def eval_capped(spark, sf):
 
 @query("WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('salt' || chr(1) || text), doc_id) AS rn FROM (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text)) SELECT doc_id, CASE WHEN rn <= 50 THEN 'eval' WHEN rn <= 350 THEN 'train' ELSE 'rest' END AS split FROM k")
 def key_order_split(spark, sf):
-    """Distinct texts by salted key: the first 50 evaluate, the next 300 train. Two ordered limits, no global window."""
-    key = F.sha2(F.concat(F.lit("salt"), F.lit("\x01"), F.col("text")), 256)
-    keyed = table(spark, sf, "documents").filter("text is not null").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"))
-    head = keyed.orderBy("key", "doc_id").limit(350)
-    first = head.orderBy("key", "doc_id").limit(50).select("doc_id", F.lit("eval").alias("_e"))
-    marked = head.select("doc_id", F.lit("train").alias("_t")).join(first, "doc_id", "left").select("doc_id", F.coalesce("_e", "_t").alias("_split"))
-    return keyed.select("doc_id").join(marked, "doc_id", "left").select("doc_id", F.coalesce("_split", F.lit("rest")).alias("split"))
+    """Distinct texts by salted key: the first 50 evaluate, the next 300 train."""
+    return blend.key_order_split(table(spark, sf, "documents"), "doc_id", "text", "salt", 50, 300)
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {draw_sql(chr(39) + '3:' + chr(39) + ' || doc_id')} LIMIT 100")
 def reservoir_sample(spark, sf):
     """A uniform sample of 100 documents: the lowest draws."""
-    return table(spark, sf, "documents").orderBy(T.draw(F.lit("3"), F.col("doc_id"))).limit(100).select("doc_id")
+    return blend.bottom_draws(table(spark, sf, "documents").select("doc_id"), 100, "doc_id", "3").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {draw_sql(chr(39) + '19:' + chr(39) + ' || doc_id')} LIMIT 60")
+def merged_samples(spark, sf):
+    """Samples of four unequal parts merged: the sample of the whole."""
+    docs = table(spark, sf, "documents").select("doc_id", F.least(F.lit(3), F.pmod("doc_id", F.lit(11))).alias("part"))
+    parts = [blend.bottom_draws(docs.filter(F.col("part") == k), 60, "doc_id", "19") for k in range(4)]
+    return blend.merge_samples(parts, 60, "doc_id").select("doc_id")
 
 
 @query(f"SELECT {SRC} AS source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {SRC} ORDER BY {draw_sql(chr(39) + '5:' + chr(39) + ' || doc_id')}) <= greatest(1, count(*) OVER (PARTITION BY {SRC}) // 10)")
@@ -122,22 +120,19 @@ def example_seeds(spark, sf):
 
 @query("SELECT source_id, (list_sum(list_transform(string_split(source_id, ''), lambda x: ascii(x))) * 31)::BIGINT AS seed_offset FROM source_spec")
 def seed_offsets(spark, sf):
-    codes = F.transform(F.split("source_id", ""), lambda x: F.ascii(x))
-    return table(spark, sf, "source_spec").select("source_id", (F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x) * 31).alias("seed_offset"))
+    return table(spark, sf, "source_spec").select("source_id", blend.seed_offset(F.col("source_id")).alias("seed_offset"))
 
 
 @query("SELECT source_id, c AS counter, CASE WHEN ('0x' || substr(sha256(source_id || ':' || c), 1, 1))::BIGINT >= 8 THEN 1 ELSE -1 END AS sign FROM source_spec, range(0, 16) r(c)")
 def key_stream(spark, sf):
     """Sixteen signs per key from a digest in counter mode."""
-    k = table(spark, sf, "source_spec").select("source_id", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<long>")).alias("counter"))
-    first = F.conv(F.substring(F.sha2(F.concat_ws(":", "source_id", "counter"), 256), 1, 1), 16, 10).cast("int")
-    return k.select("source_id", "counter", F.when(first >= 8, 1).otherwise(-1).alias("sign"))
+    return blend.sign_stream(table(spark, sf, "source_spec"), "source_id", 16)
 
 
 @query("SELECT mode, size, 17 AS seed, encoder_capacity * size AS cells FROM pack_spec, (VALUES (1), (2), (4), (8)) v(size)")
 def job_grid(spark, sf):
     """One configuration per mode and size."""
-    return table(spark, sf, "pack_spec").withColumn("size", F.explode(F.array(*map(F.lit, [1, 2, 4, 8])))).select("mode", "size", F.lit(17).alias("seed"), (F.col("encoder_capacity") * F.col("size")).alias("cells"))
+    return blend.grid(table(spark, sf, "pack_spec"), {"size": [1, 2, 4, 8], "seed": [17]}).select("mode", "size", "seed", (F.col("encoder_capacity") * F.col("size")).alias("cells"))
 
 
 @query(
@@ -160,10 +155,7 @@ def blended_draw(spark, sf):
 )
 def realized_shares(spark, sf):
     """Draws per source, their share, and how often the source was gone through."""
-
-    d = blended_draw(spark, sf).groupBy(F.col("drawn").alias("source")).agg(F.count(F.lit(1)).alias("draws"))
-    j = d.join(_counts(spark, sf), "source")
-    return j.select("source", "draws", F.round(F.col("draws") / F.sum("draws").over(Window.partitionBy()), 6).alias("share"), F.floor(F.col("draws") / F.col("lines")).alias("epochs"))
+    return blend.realized_shares(blended_draw(spark, sf), _counts(spark, sf))
 
 
 @query("SELECT lang, p AS percent, v AS n_chars FROM (SELECT lower(substr(lang, 1, 2)) AS lang, n_chars AS v, row_number() OVER (PARTITION BY lower(substr(lang, 1, 2)) ORDER BY n_chars) - 1 AS rk, count(*) OVER (PARTITION BY lower(substr(lang, 1, 2))) AS n FROM documents WHERE n_chars IS NOT NULL), (VALUES (1.0::DOUBLE), (50.0::DOUBLE), (95.0::DOUBLE), (99.0::DOUBLE)) t(p) WHERE rk = least(n - 1, round_even(p / 100 * (n - 1), 0)::BIGINT)")
@@ -192,4 +184,5 @@ def budget_cut(spark, sf):
 @query("SELECT worker, count(*) AS records, sum(octet_length(encode(text)))::BIGINT AS bytes FROM (SELECT *, doc_id % 4 AS worker FROM documents) GROUP BY worker")
 def fan_out(spark, sf):
     """Work items go round the workers in turn."""
-    return table(spark, sf, "documents").groupBy(F.pmod("doc_id", F.lit(4)).alias("worker")).agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("text")).alias("bytes"))
+    dealt = blend.in_turn(table(spark, sf, "documents"), "doc_id", 4)
+    return dealt.groupBy("worker").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("text")).alias("bytes"))

@@ -86,9 +86,7 @@ def checkpoint_retention(spark, sf):
 @query("SELECT user_id, arg_min(event_id, (value, event_id)) AS best_low, arg_max(event_id, (value, -event_id)) AS best_high FROM events GROUP BY user_id")
 def best_checkpoint(spark, sf):
     """The step of the lowest and of the highest value, the earliest of equal ones."""
-    return table(spark, sf, "events").groupBy("user_id").agg(
-        F.min_by("event_id", F.struct("value", "event_id")).alias("best_low"), F.max_by("event_id", F.struct(F.col("value"), (-F.col("event_id")).alias("n"))).alias("best_high")
-    )
+    return telemetry.best_checkpoint(table(spark, sf, "events"), "user_id", "event_id", "value")
 
 
 @query("SELECT scan_id, tag, value FROM (UNPIVOT (SELECT DISTINCT scan_id, n_records::DOUBLE AS n_records, total_tokens::DOUBLE AS total_tokens, total_words::DOUBLE AS total_words, total_unk::DOUBLE AS total_unk FROM scan_stats) ON n_records, total_tokens, total_words, total_unk INTO NAME tag VALUE value)")
@@ -121,9 +119,19 @@ def target_length_histogram(spark, sf):
 @query("SELECT event_type, round(sum(value) / sum(user_id), 6) AS mean_loss, round(exp(least(sum(value) / sum(user_id), 50)), 6) AS perplexity FROM events GROUP BY GROUPING SETS ((event_type), ())")
 def mean_loss(spark, sf):
     """Weighted mean and perplexity by mode and over all."""
-    ev = table(spark, sf, "events")
-    mean = F.try_divide(F.sum("value"), F.sum("user_id"))
-    return ev.groupingSets([["event_type"], []], "event_type").agg(F.round(mean, 6).alias("mean_loss"), F.round(F.exp(F.least(mean, F.lit(50.0))), 6).alias("perplexity"))
+    return telemetry.mean_loss(table(spark, sf, "events"), "event_type", "value", "user_id")
+
+
+@query("SELECT CASE WHEN user_id <= 30 THEN 0 WHEN user_id <= 60 THEN 1 WHEN user_id <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n, round(avg(value), 6) AS mean_loss FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY 1")
+def loss_by_length(spark, sf):
+    """Means of a value by edges of another column."""
+    return telemetry.loss_by_length(table(spark, sf, "events"), "user_id", "value", [30, 60, 100])
+
+
+@query("SELECT n, round(total, 3) AS total, round(squares, 3) AS squares FROM (SELECT count(v) AS n, sum(v) AS total, sum(v * v) AS squares FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings))")
+def weight_moments(spark, sf):
+    """Number, sum and sum of squares of all weights."""
+    return telemetry.weight_moments(table(spark, sf, "embeddings"), "embedding").select("n", F.round("total", 3).alias("total"), F.round("squares", 3).alias("squares"))
 
 
 @query("WITH b AS (SELECT least(floor(value / 500 * 15), 14)::INT AS bin, value / 500 AS conf, CASE WHEN event_id % 3 <> 0 THEN 1.0 ELSE 0.0 END AS hit FROM events), g AS (SELECT bin, count(*) AS n, sum(conf) AS conf, sum(hit) AS hit FROM b GROUP BY bin) SELECT bin, n, round(abs(hit - conf) / n, 6) AS gap, round(sum(abs(hit - conf)) OVER () / sum(n) OVER (), 6) AS ece FROM g")
@@ -142,16 +150,13 @@ def weight_histogram(spark, sf):
 
 @query("SELECT suite, sha256(string_agg(sha256(text) || '  ' || item_id || chr(10), '' ORDER BY item_id)) AS root FROM eval_items GROUP BY suite")
 def root_hashes(spark, sf):
-    """One digest over the ordered digests of every suite (a fixed small table)."""
-    line = F.concat(F.sha2("text", 256), F.lit("  "), F.col("item_id").cast("string"), F.lit("\n"))
-    rows = table(spark, sf, "eval_items").select("suite", "item_id", line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "line"))), lambda s: s["line"]), "")
-    return rows.groupBy("suite").agg(F.sha2(joined, 256).alias("root"))
+    """One digest over the ordered digests of every suite."""
+    return telemetry.root_hashes(table(spark, sf, "eval_items"), "suite", "item_id", F.sha2("text", 256))
 
 
 @query("SELECT doc_id, sha256(text) AS digest, coalesce(octet_length(encode(text)), 0) AS bytes FROM documents")
 def file_digests(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    return telemetry.file_digests(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("SELECT n, m, round(list_sum(list_transform(range(m, n + 1), lambda i: factorial(n::INT) / (factorial(i::INT) * factorial((n - i)::INT)))) / pow(2, n), 6) AS p FROM (SELECT range AS n FROM range(1, 21)), (SELECT range AS m FROM range(0, 21)) WHERE m <= n")
@@ -164,20 +169,24 @@ def binomial_tail(spark, sf):
 @query("SELECT user_id, event_id // 500 AS window_id, sum(value) AS total, max(value) AS highest, arg_max(event_type, event_id) AS last_type FROM events GROUP BY ALL")
 def window_accumulators(spark, sf):
     """Sums, the maximum and the last label between two log lines."""
-    return table(spark, sf, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("window_id")).agg(F.sum("value").alias("total"), F.max("value").alias("highest"), F.max_by("event_type", "event_id").alias("last_type"))
+    return telemetry.window_accumulators(table(spark, sf, "events"), "user_id", "event_id", 500, "value", "event_type")
 
 
 @query("SELECT mode, count(*) AS n FROM (SELECT DISTINCT example_id, mode FROM padded_batch) GROUP BY mode")
 def frozen_by_mode(spark, sf):
-    return table(spark, sf, "padded_batch").select("example_id", "mode").distinct().groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    return telemetry.count_by_mode(table(spark, sf, "padded_batch"), "example_id")
 
 
 @query("SELECT count(*) AS names, count(DISTINCT source_id) AS distinct_names, count(*) = count(DISTINCT source_id) AS unique_names, bool_and(regexp_full_match(source_id, '[a-z]+_[a-z]+')) AS well_formed FROM source_spec")
 def reserved_names(spark, sf):
     """Every name once and well formed."""
-    return table(spark, sf, "source_spec").agg(
-        F.count(F.lit(1)).alias("names"), F.countDistinct("source_id").alias("distinct_names"), (F.count(F.lit(1)) == F.countDistinct("source_id")).alias("unique_names"), F.bool_and(F.col("source_id").rlike("^[a-z]+_[a-z]+$")).alias("well_formed")
-    )
+    return telemetry.check_names(table(spark, sf, "source_spec"), "source_id", "[a-z]+_[a-z]+")
+
+
+@query("SELECT source_id, (row_number() OVER (ORDER BY source_id) + 32999)::BIGINT AS id FROM source_spec")
+def name_ids(spark, sf):
+    """Ids of reserved names, in order of the names."""
+    return telemetry.name_ids(table(spark, sf, "source_spec"), "source_id", 33_000)
 
 
 @query("WITH r AS (SELECT source_id, (row_number() OVER (ORDER BY target_weight DESC, source_id) + row_number() OVER (ORDER BY max_repeats, source_id) + 2 * row_number() OVER (ORDER BY shuffle_buffer, source_id)) / 4.0 AS mean_rank FROM source_spec WHERE NOT needs_token) SELECT source_id, mean_rank::DOUBLE AS mean_rank FROM r UNION ALL SELECT source_id, NULL FROM source_spec WHERE needs_token")
@@ -189,14 +198,13 @@ def variant_ranking(spark, sf):
 @query("SELECT source_id, lines, lines >= max_repeats AND max_repeats > 0 AS saturated FROM source_spec JOIN (SELECT lower(trim(source)) AS source, count(*) AS lines FROM documents GROUP BY 1) ON source = source_id")
 def saturation_check(spark, sf):
     n = table(spark, sf, "documents").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count(F.lit(1)).alias("lines"))
-    return table(spark, sf, "source_spec").join(n, F.col("source") == F.col("source_id")).select("source_id", "lines", ((F.col("lines") >= F.col("max_repeats")) & (F.col("max_repeats") > 0)).alias("saturated"))
+    return telemetry.saturated(table(spark, sf, "source_spec"), n, "source_id", "max_repeats")
 
 
 @query("SELECT range AS step, range + 1 >= 100 AND (range + 1) % 25 = 0 AS due, CASE WHEN range >= 800 THEN 'cooldown' ELSE 'main' END AS phase FROM range(0, 1000)")
 def scheduled_steps(spark, sf):
     """Cadence of an injection and the phase of every step."""
-    s = F.col("id")
-    return spark.range(1000).select(s.alias("step"), ((s + 1 >= 100) & ((s + 1) % 25 == 0)).alias("due"), F.when(s >= 800, "cooldown").otherwise("main").alias("phase"))
+    return telemetry.schedule(spark.range(1000).withColumnRenamed("id", "step"), "step", 100, 25, 800)
 
 
 @query("SELECT gate, passed, metric FROM (SELECT 'records' AS gate, count(*) > 0 AS passed, count(*)::DOUBLE AS metric FROM scan_stats UNION ALL SELECT 'unknown', sum(total_unk) <= 0.01 * sum(total_words), round(sum(total_unk) / sum(total_words)::DOUBLE, 6) FROM scan_stats UNION ALL SELECT 'fertility', sum(total_tokens) / sum(total_words)::DOUBLE < 4, round(sum(total_tokens) / sum(total_words)::DOUBLE, 6) FROM scan_stats UNION ALL SELECT 'bytes', sum(total_byte_tokens) <= 0.02 * sum(total_tokens), round(sum(total_byte_tokens) / sum(total_tokens)::DOUBLE, 6) FROM scan_stats)")

@@ -134,3 +134,25 @@ def shuffled(df: DataFrame, key: str, seed: int, shards: int, shard: int) -> Dat
     """One shard of the rows, in an order that depends on the seed only."""
     h = F.xxhash64(F.lit(seed), F.col(key))
     return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(shards)) == shard).orderBy(h, key)
+
+
+def files_by_source(files: DataFrame, path: str, root: str) -> DataFrame:
+    """(source, files, first_file) of different files below ``root``, by directory label."""
+    named = files.filter(F.col(path).isNotNull()).select(path).distinct()
+    return named.groupBy(directory_label(F.col(path), root).alias("source")).agg(F.count(F.lit(1)).alias("files"), F.min(path).alias("first_file"))
+
+
+def allowed(sites: DataFrame, allow: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Sites of an allow-list, in order."""
+    return sites.join(allow.select(key), key, "left_semi").orderBy(*order)
+
+
+def items_by_suite(items: DataFrame, suite: str, text: str) -> DataFrame:
+    """(suite, items, chars) of the items that have a text."""
+    return items.filter(F.col(text).isNotNull()).groupBy(suite).agg(F.count(F.lit(1)).alias("items"), F.sum(F.length(text)).alias("chars"))
+
+
+def shards_per_source(lines: DataFrame, key: str, source: str, shard: str) -> DataFrame:
+    """(source, shard, lines): lines of every shard, deliveries of one line counted once; sources in any case."""
+    once = lines.select(key, F.lower(F.trim(source)).alias("source"), shard).distinct()
+    return once.groupBy("source", shard).agg(F.count(F.lit(1)).alias("lines"))

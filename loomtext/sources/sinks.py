@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators.blend import budget_cut
-from loomtext.plans.lineage import small_rows
+from loomtext.plans.lineage import read_text, small_rows, write_text
 
 
 def write_shards(df: DataFrame, pos: str, text: str, path: str, budget: int, shard: int) -> DataFrame:
@@ -24,12 +23,16 @@ def write_shards(df: DataFrame, pos: str, text: str, path: str, budget: int, sha
     return cut.groupBy("shard").agg(F.count(F.lit(1)).alias("lines"), F.sum("line_bytes").alias("bytes"))
 
 
-def write_manifest(path: str, content: dict) -> None:
-    """Written beside the target and moved over it: readers see the old or the new file, never a part."""
-    target = Path(path)
-    draft = target.with_suffix(".tmp")
-    draft.write_text(json.dumps(content, indent=2, sort_keys=True))
-    draft.replace(target)
+def shard_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, file, bytes, sha256) of every file that ``write_shards`` wrote."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    shard = F.regexp_extract("path", "/shard=([0-9]+)/", 1).cast("long")
+    return files.select(shard.alias("shard"), F.regexp_replace("path", "^.*/", "").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    """In any storage; readers see the old or the new file, never a part."""
+    write_text(spark, path, json.dumps(content, indent=2, sort_keys=True))
 
 
 #: A frozen set is a small, versioned file; more rows than this do not belong in one.
@@ -46,13 +49,13 @@ def save_frozen(df: DataFrame, order: str, path: str) -> str:
     rows = small_rows(df.orderBy(order).select(F.to_json(F.struct(*df.columns)).alias("j")), MAX_FROZEN, "frozen set")
     lines = [r.j for r in rows]
     digest = _digest(lines)
-    Path(path).write_text("\n".join([json.dumps({"version": VERSION, "count": len(lines), "sha256": digest}), *lines]) + "\n")
+    write_text(df.sparkSession, path, "\n".join([json.dumps({"version": VERSION, "count": len(lines), "sha256": digest}), *lines]) + "\n")
     return digest
 
 
 def load_frozen(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a frozen set; a wrong version, count or digest is an error."""
-    head, *lines = Path(path).read_text().rstrip("\n").split("\n")
+    head, *lines = read_text(spark, path).rstrip("\n").split("\n")
     m = json.loads(head)
     for what, have in (("version", VERSION), ("count", len(lines)), ("sha256", _digest(lines))):
         if m.get(what) != have:

@@ -6,6 +6,7 @@ checkpoint goes on where it stopped, and a changed capacity is refused.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtext.functions import text as T
+from loomtext.plans.lineage import file_system, read_text, small_rows, write_text
 from loomtext.sources.records import scan_json
 
+#: Files of a corpus whose state one manifest keeps.
+MAX_FILES = 1_000_000
+
 
 def read_corpus(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
     """(path, text) of the usable records of JSON-lines files, as they arrive."""
@@ -36,15 +41,37 @@ def first_seen_stream(events: DataFrame, key: Column, time: str, delay: str) ->
     return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def blend_streams(streams: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    """A union of streams with a source column; a missing, unknown or non-positive weight is an error."""
-    if set(streams) != set(weights):
+def refuse_changes(spark: SparkSession, path: str, manifest: str) -> int:
+    """Compares the files of a corpus with those of the manifest that the first start wrote: a file that changed or went is an error, new files are
+    added. Returns the number of files. Called before a stream is started again."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").cast("string").alias("at"))
+    now = {r.path: [r.length, r.at] for r in small_rows(files, MAX_FILES, "files of a corpus")}
+    fs, p = file_system(spark, manifest)
+    known = json.loads(read_text(spark, manifest)) if fs.exists(p) else {}
+    if changed := sorted(k for k, v in known.items() if now.get(k) != v):
+        raise ValueError(f"{len(changed)} files changed or went since the stream began, first {changed[0]}")
+    write_text(spark, manifest, json.dumps(known | now))
+    return len(now)
+
+
+def blend_streams(streams: dict[str, DataFrame], weights: dict[str, float], key: str | None = None, volumes: dict[str, float] | None = None, seed: int = 17) -> DataFrame:
+    """A union of streams with a source column and the share wanted; a missing, unknown or non-positive weight is an error.
+
+    With ``key`` rows are drawn by its digest so that the sources come in the shares wanted, given their ``volumes`` (rows in a stretch of time;
+    equal ones unless given): the source that is scarcest for its weight passes whole, others in proportion. A row passes or not
+    whatever the batch it comes in, so a restart draws the same.
+    """
+    if set(streams) != set(weights) or volumes is not None and set(volumes) != set(streams):
         raise ValueError(f"streams {sorted(streams)} and weights {sorted(weights)} differ")
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
+    if any(w <= 0 for w in [*weights.values(), *(volumes or {}).values()]):
+        raise ValueError("weights and volumes must be positive")
+    need = {k: w / (volumes or {}).get(k, 1.0) for k, w in weights.items()}
     out = None
     for name in sorted(streams):
-        part = streams[name].withColumn("source", F.lit(name)).withColumn("weight", F.lit(weights[name] / sum(weights.values())))
+        part = streams[name]
+        if key is not None:
+            part = part.filter(T.uniform(F.lit(seed), F.lit(name), F.col(key)) < need[name] / max(need.values()))
+        part = part.withColumn("source", F.lit(name)).withColumn("weight", F.lit(weights[name] / sum(weights.values())))
         out = part if out is None else out.unionByName(part)
     return out
 

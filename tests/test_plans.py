@@ -121,3 +121,54 @@ def test_gates(spark):
     none = {r.number: r for r in tokens.validation_gates(tokens.scan_counts(df.limit(0), "source", "line")).collect()}
     assert not none[1].passed and none[2].passed and len(none) == 11
     assert tokens.unescape(tokens.escape("\ue000\u2581\ue001 x")) == "\ue000\u2581\ue001 x"
+
+
+def test_a_failing_source_does_not_stop_the_others(spark):
+    stored = {}
+
+    def write(name, df):
+        stored[name] = [r.id for r in df.collect()]
+        return len(stored[name])
+
+    def broken():
+        raise OSError("unreachable")
+
+    report = {r["source"]: r for r in build.run_sources({"a": lambda: spark.range(5), "b": broken, "c": lambda: spark.range(0)}, write, {"a": 3})}
+    assert report["a"]["rows"] == 3 and report["b"]["state"] == "failed" and "unreachable" in report["b"]["error"] and report["c"]["state"] == "empty"
+    with pytest.raises(build.CorpusError):
+        build.run_sources({"b": broken}, write)
+
+
+def test_temporary_tables_are_removed(spark, tmp_path):
+    import os
+
+    from loomtext.plans import lineage
+
+    with lineage.temporary(spark):
+        kept = lineage.materialize(spark.range(5), "t")
+        path = lineage._written[-1]
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path) and path not in lineage._written
+
+
+def test_samples_of_repeated_keys(spark):
+    from loomtext.plans.lineage import hash_sample
+
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) AS k", "cast(id as string) AS t")
+    got = hash_sample(df, "k", 500)
+    assert got.count() < 1000 and got.filter("k = 7").count() <= 1 and got.columns == ["k", "t"]
+    assert got.exceptAll(hash_sample(df.repartition(9), "k", 500)).isEmpty()
+
+
+def test_producer_and_packed_examples(spark):
+    from loomtext.operators import examples
+
+    df = spark.createDataFrame([(k, "R" if k % 2 else "S", list(range(100 + k, 120 + k))) for k in range(20)], "id long, mode string, t array<int>")
+    made = examples.produced(df, ["id", "t"], lambda row: [{"id": row["id"], "n": len(row["t"]), "half": h} for h in (0, 1)], "id long, n int, half int")
+    assert made.count() == 40 and made.filter("n = 20").count() == 40
+    packed = examples.packed_examples(df, "id", "mode", "t", 70, 5).collect()
+    assert sorted(x for r in packed for x in r.documents) == [k for k in range(20) if k % 2]
+    tokens_of = {r.id: r.t for r in df.collect()}
+    for r in packed:
+        assert examples.reconstruct(r.encoder, r.target) == [t for d in r.documents for t in tokens_of[d]] and len(r.segments) == len(r.encoder)
+

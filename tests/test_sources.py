@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -49,11 +50,17 @@ def test_shards(spark, tmp_path):
     assert sum(r.lines for r in out) == 10 and [r.lines for r in out] == [3, 2, 3, 2]
     lines = spark.read.text(str(tmp_path / "s")).count()
     assert lines == 10
+    digests = sinks.shard_digests(spark, str(tmp_path / "s")).collect()
+    assert {r.shard for r in digests} == {0, 1, 2, 3} and sum(r.bytes for r in digests) == 210
+    for r in digests:
+        assert r.sha256 == hashlib.sha256(next((tmp_path / "s" / f"shard={r.shard}").glob(r.file)).read_bytes()).hexdigest()
 
 
 def test_manifest_and_frozen_set(spark, tmp_path):
-    sinks.write_manifest(str(tmp_path / "m.json"), {"a": 1})
-    assert json.loads((tmp_path / "m.json").read_text()) == {"a": 1}
+    for content in ({"a": 1}, {"b": "é"}):
+        sinks.write_manifest(spark, str(tmp_path / "m.json"), content)
+        assert json.loads((tmp_path / "m.json").read_text()) == content
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["m.json"]
     df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, t string")
     p = str(tmp_path / "f.jsonl")
     sinks.save_frozen(df, "k", p)
@@ -119,3 +126,23 @@ def test_blend_streams_refuses_bad_weights(spark):
     with pytest.raises(ValueError):
         stream.blend_streams({"a": df}, {"a": 0.0})
     assert stream.blend_streams({"a": df, "b": df}, {"a": 1.0, "b": 3.0}).agg(F.sum("weight")).first()[0] == 1.0
+
+
+def test_streams_are_blended_by_draws(spark, tmp_path):
+    a, b = (spark.range(6000).select(F.col("id").alias("k")) for _ in range(2))
+    got = {r.source: r["count"] for r in stream.blend_streams({"a": a, "b": b.limit(3000)}, {"a": 1.0, "b": 1.0}, "k", {"a": 6000, "b": 3000}).groupBy("source").count().collect()}
+    assert got["b"] == 3000 and abs(got["a"] - 3000) < 200
+    quarter = stream.blend_streams({"a": a, "b": b}, {"a": 1.0, "b": 3.0}, "k")
+    assert abs(quarter.filter("source = 'a'").count() - 2000) < 150 and quarter.exceptAll(stream.blend_streams({"a": a.repartition(5), "b": b}, {"a": 1.0, "b": 3.0}, "k")).isEmpty()
+
+
+def test_changed_files_are_refused(spark, tmp_path):
+    write(tmp_path / "in/a.jsonl", ['{"text": "x"}'])
+    m = str(tmp_path / "manifest.json")
+    assert stream.refuse_changes(spark, str(tmp_path / "in"), m) == 1
+    write(tmp_path / "in/b.jsonl", ['{"text": "y"}'])
+    assert stream.refuse_changes(spark, str(tmp_path / "in"), m) == 2
+    write(tmp_path / "in/a.jsonl", ['{"text": "other"}'])
+    with pytest.raises(ValueError, match="a.jsonl"):
+        stream.refuse_changes(spark, str(tmp_path / "in"), m)
+
