@@ -191,7 +191,20 @@ def p5_recall(spark, sf):
     return neardup.recall_bands(neardup.near_duplicates(heavy(spark, sf, "budget_writer"), **CHUNK_PAIRS)[0])
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE t AS (SELECT chunk_id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') AS w FROM budget_writer WHERE text IS NOT NULL GROUP BY chunk_id),
+    m AS (SELECT chunk_id, w, min(chunk_id) OVER (PARTITION BY w) AS rep FROM t WHERE len(w) >= 5),
+    g AS (SELECT DISTINCT rep, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM m WHERE chunk_id = rep),
+    n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+    c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+    e AS (SELECT a, b FROM c JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE c >= 0.8 * (x.n + y.n - c)),
+    r AS (SELECT rep AS a, rep AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+    low AS (SELECT a, min(b) AS group_id FROM r GROUP BY a),
+    links AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+    SELECT chunk_id, rep, group_id, coalesce(n_links, 0) AS n_links FROM m JOIN low ON low.a = rep LEFT JOIN links ON links.a = rep
+    """
+)
 def p5_groups(spark, sf):
     """One row per chunk: representative, group and number of links (five-word runs, similarity 0.8)."""
     return neardup.duplicate_groups(heavy(spark, sf, "budget_writer")).withColumnRenamed("id", "chunk_id")
@@ -211,7 +224,17 @@ def p6_found(spark, sf):
     return leakage.find_leaks(heavy(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, suite, split, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    dg AS (SELECT doc_id, unnest(range(1, len(w) - 13)) AS k0, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k+14], ' '))) AS g FROM d WHERE len(w) >= 15),
+    ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k+14], ' '))) AS g FROM i WHERE len(w) >= 15),
+    hit AS (SELECT DISTINCT doc_id, item_id, unnest(range(k0, k0 + 15)) AS k0 FROM dg JOIN ig USING (g)),
+    pair AS (SELECT doc_id, item_id, count(*) AS n FROM hit GROUP BY ALL)
+    SELECT item_id, suite, split, count(*) AS documents, max(n)::INT AS most_words, round(max(least(1.0, n / len(w)::DOUBLE)), 6) AS most_share FROM pair JOIN i USING (item_id) GROUP BY ALL
+    """
+)
 def p6_leaked_items(spark, sf):
     """Per leaked item: the documents that hold it and the most of it that one of them holds."""
     leaks = leakage.find_leaks(heavy(spark, sf, "documents"), table(spark, sf, "eval_items"))
