@@ -34,8 +34,8 @@ def strings(values: list[str]) -> Column:
 
 
 def count_match(c: Column, pattern: str) -> Column:
-    """Number of code points of ``c`` that match a one-character class."""
-    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    """Number of code points of ``c`` that match a one-character class; runs go as a whole."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{pattern}+", ""))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -45,22 +45,21 @@ def source_class(source: Column) -> Column:
 def assess(c: Column, t: Thresholds = Thresholds()) -> Column:
     """The first rule that a text breaks, or keep. Null counts as an empty text (too_short)."""
     c = F.coalesce(c, F.lit(""))
-    tok = T.tokens(c)
-    n = F.size(tok)
     chars = F.length(c)
-    mean = T.ratio(F.aggregate(tok, F.lit(0), lambda s, x: s + F.length(x)), n)
-    return (
-        F.when(n < t.min_tokens, "too_short")
-        .when(n > t.max_tokens, "too_long")
-        .when(mean < t.min_mean_word, "mean_word_length_low")
-        .when(mean > t.max_mean_word, "mean_word_length_high")
+    # tokens are cut once; their number and total length decide the first four rules
+    measured = T.let(T.tokens(c), lambda w: F.struct(F.size(w).alias("n"), T.ratio(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)), F.size(w)).alias("mean")))
+    return T.let(measured, lambda m: (
+        F.when(m["n"] < t.min_tokens, "too_short")
+        .when(m["n"] > t.max_tokens, "too_long")
+        .when(m["mean"] < t.min_mean_word, "mean_word_length_low")
+        .when(m["mean"] > t.max_mean_word, "mean_word_length_high")
         .when(T.ratio(T.count_match(c, r"[\p{L} \t\r\n]"), chars) < t.min_text_share, "symbol_soup")
         .when(T.ratio(T.count_match(c, r"[0-9]"), chars) > t.max_digit_share, "mostly_digits")
         .when(T.repeated_line_share(c) > t.max_repeated_lines, "repeated_lines")
         .when(T.latin_ratio(c) < t.min_latin, "not_latin_script")
         .when(T.stopword_ratio(c) < t.min_stopwords, "not_english_prose")
         .otherwise("keep")
-    )
+    ))
 
 
 def strict_assess(c: Column, source: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import blend, windows
+from loomtext.plans.lineage import broadcast_if_small
 from loomtext.queries.registry import query, table
 
 SRC = "lower(trim(source))"
@@ -72,7 +73,7 @@ def algorithm_s_split(spark, sf):
     """Four fifths of every source, exactly, chosen by draw."""
     docs = table(spark, sf, "documents").select("doc_id", _source().alias("source"))
     n = docs.groupBy("source").agg(F.floor(F.count(F.lit(1)) * 0.8).alias("q"))
-    quota = docs.join(F.broadcast(n), "source")
+    quota = docs.join(broadcast_if_small(n, 100_000), "source")
     return blend.select_quota(quota, ["source"], F.col("q"), F.lit("7"), F.col("doc_id")).select("doc_id", F.col("selected").alias("train"))
 
 
@@ -110,7 +111,7 @@ def merged_reservoirs(spark, sf):
     """A tenth of every source, at least one."""
     docs = table(spark, sf, "documents").select("doc_id", _source().alias("source"))
     n = docs.groupBy("source").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("q"))
-    return blend.select_quota(docs.join(F.broadcast(n), "source"), ["source"], F.col("q"), F.lit("5"), F.col("doc_id")).filter("selected").select("source", "doc_id")
+    return blend.select_quota(docs.join(broadcast_if_small(n, 100_000), "source"), ["source"], F.col("q"), F.lit("5"), F.col("doc_id")).filter("selected").select("source", "doc_id")
 
 
 @query(f"SELECT doc_id, {draw_sql(chr(39) + '11:' + chr(39) + ' || doc_id')} AS seed FROM documents")

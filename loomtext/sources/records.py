@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.plans.lineage import broadcast_if_small
 
+#: Kinds of sources that are broadcast.
+MAX_KINDS = 100_000
 SUFFIXES = (".jsonl", ".json", ".txt")
 
 
@@ -99,7 +102,7 @@ def registry(spec: DataFrame, has_token: bool = False) -> DataFrame:
     """Adds used_source: a gated source falls back to the first open one of its kind when there is no token."""
     open_ = spec.filter(~F.coalesce("needs_token", F.lit(False))).groupBy("kind").agg(F.min("source_id").alias("_open"))
     gated = F.coalesce("needs_token", F.lit(False)) & F.lit(not has_token)
-    return spec.join(F.broadcast(open_), "kind", "left").withColumn("used_source", F.when(gated, F.col("_open")).otherwise(F.col("source_id"))).drop("_open")
+    return spec.join(broadcast_if_small(open_, MAX_KINDS), "kind", "left").withColumn("used_source", F.when(gated, F.col("_open")).otherwise(F.col("source_id"))).drop("_open")
 
 
 # Order of the kinds of sources; others stand in the middle.
