@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from loomtext.llm import leakage, mixing, neardup, packing, pii, quality, spam, token_budget
-from loomtext.plans.lineage import spread
+from loomtext.plans.lineage import broadcast_if_small, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -239,7 +239,7 @@ def p6_leaked_items(spark, sf):
     """Per leaked item: the documents that hold it and the most of it that one of them holds."""
     leaks = leakage.find_leaks(heavy(spark, sf, "documents"), table(spark, sf, "eval_items"))
     by_item = leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("n_words").alias("most_words"), F.round(F.max("item_share"), 6).alias("most_share"))
-    return by_item.join(F.broadcast(table(spark, sf, "eval_items").select("item_id", "suite", "split")), "item_id", "left")
+    return by_item.join(broadcast_if_small(table(spark, sf, "eval_items").select("item_id", "suite", "split"), leakage.SHARD_ITEMS), "item_id", "left")
 
 
 @query()
