@@ -12,7 +12,9 @@ over all chunks.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomtext.llm.lexicon import ALL_FUNCTION_WORDS
 from loomtext.plans.lineage import broadcast_if_small, hash_sample, materialize, small_rows
@@ -403,28 +406,32 @@ def _name_votes(g: str, f: str, bits: int, lex: Lexicon) -> tuple[list[int], boo
     return votes, in_gaz, known, family_common, given_common, known_family
 
 
+def _name_static(text: str, start: int, end: int, g: str, f: str, bits: int, left_strip: str, right: str) -> list[str]:
+    """Features of what looks like a name that no lexicon changes."""
+    comma, initial, titled, strong, place, menu = (bool(bits & x) for x in (COMMA, INITIAL, TITLED, STRONG, PLACE, MENU))
+    shown = [f"g={g}", f"f={f}", f"g3={g[-3:]}", f"f3={f[-3:]}", f"f4={f[-4:]}", f"p4={f[:4]}", f"title={titled}", f"comma={comma}", f"ini={initial}", f"place={place}", f"cue={NAME_CUE.search(left_strip)}", f"strong={strong}", f"menu={menu}", f"field={bool(FIELD_AFTER.match(right))}"]
+    return shown + _context(text, start, end)[0]
+
+
+def _name_dynamic(in_gaz: bool, known: bool, family_common: bool, given_common: bool, known_family: bool) -> list[str]:
+    """Features that come from the lexicons."""
+    return [f"gaz={in_gaz}", f"known={known}", f"kf={known_family}", f"fc={family_common}", f"gc={given_common}", f"both={in_gaz or known}/{known_family}"]
+
+
 def _names(text: str, lex: Lexicon) -> Iterator[Candidate]:
     for start, end, g, f, before, bits, left_strip, right in _spots(text):
         if before and before in lex.all_given:
             # the family name ends a whole name: what follows the comma is something else
             continue
-        ctx, _, _ = _context(text, start, end)
-        votes, in_gaz, known, family_common, given_common, known_family = _name_votes(g, f, bits, lex)
-        comma, initial, titled, strong, place, menu = (bool(bits & x) for x in (COMMA, INITIAL, TITLED, STRONG, PLACE, MENU))
-        yield Candidate(
-            "name", start, end, votes,
-            [f"g={g}", f"f={f}", f"g3={g[-3:]}", f"f3={f[-3:]}", f"f4={f[-4:]}", f"p4={f[:4]}", f"gaz={in_gaz}", f"known={known}", f"kf={known_family}", f"fc={family_common}", f"gc={given_common}", f"title={titled}", f"comma={comma}", f"ini={initial}", f"place={place}", f"cue={bool(NAME_CUE.search(left_strip))}", f"strong={strong}", f"menu={menu}", f"both={in_gaz or known}/{known_family}", f"field={bool(FIELD_AFTER.match(right))}", *ctx],
-        )
-
+        votes, *known = _name_votes(g, f, bits, lex)
+        yield Candidate("name", start, end, votes, _name_static(text, start, end, g, f, bits, left_strip, right) + _name_dynamic(*known))
 
-def _settled(text: str, names_only: bool = False) -> tuple[list[Candidate], str, str]:
-    """Addresses, identity numbers and streets; the text without the addresses, and without all three.
 
-    With ``names_only`` a text in which nothing looks like a name is not searched further.
-    """
+def _settled(text: str) -> tuple[list[Candidate], str, str]:
+    """Addresses, identity numbers and streets; the text without the addresses, and without all three."""
     found = list(_emails(text))
     plain = hidden = _blank(text, [(c.start, c.end) for c in found])
-    if DIGIT.search(hidden) and not (names_only and not NAME.search(hidden)):
+    if DIGIT.search(hidden):
         ids = list(_identities(hidden))
         hidden = _blank(hidden, [(c.start if c.label is None else c.label, c.end) for c in ids if c.votes[0] > 0])
         streets = list(_addresses(hidden))
@@ -470,9 +477,33 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _hash(kind: str, features: list[str]) -> list[int]:
+    return [xxhash.xxh32_intdigest(f"{kind}|{x}") % DIM for x in features]
+
+
+def _voted(votes: list[int]) -> list[str]:
+    """Features of the votes: each that was cast, and all together."""
+    return [f"v{n}={v}" for n, v in enumerate(votes) if v] + ["votes=" + "".join("-0+"[v + 1] for v in votes)]
+
+
 def _hashed(kind: str, c: Candidate) -> list[int]:
-    names = [*c.features, *(f"v{n}={v}" for n, v in enumerate(c.votes) if v), "votes=" + "".join("-0+"[v + 1] for v in c.votes), ""]
-    return [xxhash.xxh32_intdigest(f"{kind}|{x}") % DIM for x in names]
+    return _hash(kind, [*c.features, *_voted(c.votes), ""])
+
+
+#: A candidate without what depends on the lexicons: number of its kind, start, end, hashed features, and of names given, family, the word before and bits.
+Prepared = tuple[int, int, int, bytes] | tuple[int, int, int, bytes, str, str, str, int]
+
+
+def prepare(text: str) -> tuple[list[Prepared], str]:
+    """All candidates of a text as far as no lexicon matters, and the text without its addresses."""
+    found, plain, hidden = _settled(text)
+    if DIGIT.search(hidden):
+        found += _phones(hidden)
+    out: list[Prepared] = [(KINDS.index(c.kind), c.start, c.end, array("H", _hashed(c.kind, c)).tobytes()) for c in found]
+    for start, end, g, f, before, bits, left_strip, right in _spots(hidden):
+        shown = _hash("name", [*_name_static(hidden, start, end, g, f, bits, left_strip, right), ""])
+        out.append((KINDS.index("name"), start, end, array("H", shown).tobytes(), g, f, before, bits))
+    return out, plain
 
 
 class SpanModel:
@@ -480,16 +511,29 @@ class SpanModel:
 
     def __init__(self, lex: Lexicon, weights: np.ndarray):
         self.lex, self.weights = lex, weights
-
-    def spans(self, text: str | None) -> list[tuple[str, int, int]]:
+        self._weight = weights.tolist()
+        self._known: dict[tuple, float] = {}
+
+    def _dynamic(self, g: str, f: str, bits: int) -> float:
+        """The weight of the votes and features that come from the lexicons; few combinations occur."""
+        votes, *known = _name_votes(g, f, bits, self.lex)
+        key = (*votes, *known)
+        if key not in self._known:
+            self._known[key] = float(sum(self._weight[k] for k in _hash("name", _voted(votes) + _name_dynamic(*known))))
+        return self._known[key]
+
+    def decide(self, prepared: list[Prepared]) -> list[tuple[str, int, int]]:
         """(kind, start, end) in order, not overlapping: the more probable candidate wins."""
-        if not text or not text.strip():
-            return []
         scored = []
-        for c in candidates(text, self.lex):
-            s = float(self.weights[_hashed(c.kind, c)].sum())
+        for kind, start, end, shown, *name in prepared:
+            s = sum(map(self._weight.__getitem__, memoryview(shown).cast("H")))
+            if name:
+                g, f, before, bits = name
+                if before and before in self.lex.all_given:
+                    continue
+                s += self._dynamic(g, f, bits)
             if s > 0:
-                scored.append((-s, c.start, c.end, c.kind))
+                scored.append((-s, start, end, KINDS[kind]))
         taken: list[tuple[int, int, str]] = []  # in order of position
         for _, a, b, kind in sorted(scored):
             k = bisect_left(taken, (a,))
@@ -497,6 +541,9 @@ class SpanModel:
                 taken.insert(k, (a, b, kind))
         return [(kind, a, b) for a, b, kind in taken]
 
+    def spans(self, text: str | None) -> list[tuple[str, int, int]]:
+        return self.decide(prepare(text)[0]) if text and text.strip() else []
+
 
 def _train_classifier(cands: list[Candidate], targets: np.ndarray, rounds: int = 250) -> np.ndarray:
     """Logistic regression on soft labels over hashed features, by full-batch Adam."""
@@ -517,11 +564,12 @@ def _train_classifier(cands: list[Candidate], targets: np.ndarray, rounds: int =
 Record = tuple[str, str, str, int]
 
 
-def count_text(text: str, words: Counter[str], names: Counter[Record]) -> None:
-    """Adds the lower-case words outside addresses and what looks like a name; neither depends on a lexicon."""
-    _, plain, hidden = _settled(text, names_only=True)
+def count_text(text: str, words: Counter[str], names: Counter[Record]) -> list[Prepared]:
+    """Adds the lower-case words outside addresses and what looks like a name; neither depends on a lexicon. Returns the candidates."""
+    found, plain = prepare(text)
     words.update(PLAIN.findall(plain))
-    names.update(x[2:6] for x in _spots(hidden))
+    names.update(x[4:] for x in found if len(x) > 4)
+    return found
 
 
 class Judge:
@@ -572,29 +620,40 @@ class Counts:
 
 
 class TableCounts:
-    """The same over all rows of a table, by grouped sums; only the lexicons leave the executors."""
+    """The same over all rows of a table, by grouped sums; only the lexicons leave the executors.
+
+    The one pass over the texts also writes the candidates of every text that has some (``prepared``: id, pickled list), so that
+    deciding on them later needs no second pass.
+    """
 
     def __init__(self, chunks: DataFrame, id_col: str):
+        columns = ["kind", "g", "f", "before", "bits", "n", id_col, "prepared"]
+        schema = StructType.fromDDL("kind string, g string, f string, before string, bits int, n long").add(chunks.schema[id_col]).add("prepared", "binary")
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words: Counter[str] = Counter()
             names: Counter[Record] = Counter()
 
             def frame() -> pd.DataFrame:
-                rows = [("w", w, "", "", 0, n) for w, n in words.items()] + [("n", *r, n) for r, n in names.items()]
+                rows = [("w", w, "", "", 0, n, None, None) for w, n in words.items()] + [("n", *r, n, None, None) for r, n in names.items()]
                 words.clear()
                 names.clear()
-                return pd.DataFrame(rows, columns=["kind", "g", "f", "before", "bits", "n"])
+                return pd.DataFrame(rows, columns=columns).astype({id_col: object})
 
             for pdf in batches:
-                for t in pdf.text:
-                    count_text(t, words, names)
-                    if len(words) + len(names) >= MAX_COUNTED:
-                        yield frame()
+                out = []
+                for i, t in zip(pdf[id_col], pdf.text):
+                    if found := count_text(t, words, names):
+                        out.append(("p", None, None, None, None, None, i, pickle.dumps(found, 5)))
+                yield pd.DataFrame(out, columns=columns).astype(object)
+                if len(words) + len(names) >= MAX_COUNTED:
+                    yield frame()
             yield frame()
 
         rows = once(chunks.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(id_col, "text"), id_col)
-        counted = rows.select("text").mapInPandas(run, "kind string, g string, f string, before string, bits int, n long")
-        self.n = materialize(counted.groupBy("kind", "g", "f", "before", "bits").agg(F.sum("n").alias("n")), "personal-counts")
+        counted = materialize(rows.mapInPandas(run, schema), "personal-candidates")
+        self.prepared = counted.filter("kind = 'p'").select(id_col, "prepared")
+        self.n = materialize(counted.filter("kind <> 'p'").groupBy("kind", "g", "f", "before", "bits").agg(F.sum("n").alias("n")), "personal-counts")
 
     def common(self, least: int = 3) -> frozenset[str]:
         # only words of what looks like a family name are ever looked up
@@ -648,9 +707,14 @@ def train_on(texts: list[str], given_names: list[str], counts: Counts | TableCou
 
 
 def train(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", train_chunks: int = TRAIN_CHUNKS) -> SpanModel:
+    return _train(chunks, given_names, id_col, train_chunks)[0]
+
+
+def _train(chunks: DataFrame, given_names: DataFrame, id_col: str, train_chunks: int = TRAIN_CHUNKS) -> tuple[SpanModel, DataFrame]:
+    """The model, and the candidates of all chunks."""
     rows = sorted(hash_sample(chunks.select(id_col, "text"), id_col, train_chunks).filter("text is not null").collect(), key=lambda r: str(r[0]))
     counts = TableCounts(chunks, id_col)
-    return train_on(list({r[0]: r.text for r in rows}.values()), gazetteer(given_names, counts), counts)
+    return train_on(list({r[0]: r.text for r in rows}.values()), gazetteer(given_names, counts), counts), counts.prepared
 
 
 def gazetteer(given_names: DataFrame, counts: TableCounts, most: int = MAX_NAMES) -> list[str]:
@@ -666,11 +730,20 @@ def gazetteer(given_names: DataFrame, counts: TableCounts, most: int = MAX_NAMES
 def find_personal(chunks: DataFrame, given_names: DataFrame, id_col: str = "chunk_id", model: SpanModel | None = None) -> DataFrame:
     """(id, kind, start_pos, end_pos) of every occurrence; positions count code points from 0.
 
-    Rows delivered twice give their occurrences twice; take distinct rows where that matters.
-    Null and blank texts give none. Scoring is map-only.
+    Rows delivered twice count once; of deliveries whose texts differ, the text that sorts last is searched. With a given ``model`` every
+    row is searched as it is. Null and blank texts give none. Without a model the texts are passed over once, for counts and candidates; deciding on
+    the candidates is map-only.
     """
-    model = train(chunks, given_names, id_col) if model is None else model
     schema = chunks.select(id_col).schema.add("kind", "string").add("start_pos", "integer").add("end_pos", "integer")
+    if model is None:
+        model, prepared = _train(chunks, given_names, id_col)
+
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(i, *s) for i, x in zip(pdf[id_col], pdf.prepared) for s in model.decide(pickle.loads(x))]
+                yield pd.DataFrame(rows, columns=[id_col, "kind", "start_pos", "end_pos"])
+
+        return prepared.mapInPandas(decide, schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
