@@ -12,11 +12,11 @@ from loomtext.operators import dedup, quality, tokens
 from loomtext.plans.lineage import materialize, read_text, shared_dir, write_text
 
 
-def pass1(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, bits, reasons): the reasons of the first pass, duplicates of the whole corpus included."""
+def pass1(docs: DataFrame, strict: tuple[str, ...] = quality.LANGUAGE_STRICT) -> DataFrame:
+    """(doc_id, source, bits, reasons): the reasons of the first pass, duplicates of the whole corpus included; ``strict`` names the sources whose language is judged more strictly."""
     dup = dedup.corpus_duplicates(docs).withColumnRenamed("pos", "doc_id")
     marked = docs.select("doc_id", "source", "text").join(dup, "doc_id", "left")
-    bits = quality.pass1_bits(F.col("text"), F.col("source"), F.coalesce("is_duplicate", F.lit(False)))
+    bits = quality.pass1_bits(F.col("text"), F.col("source"), F.coalesce("is_duplicate", F.lit(False)), strict)
     return marked.select("doc_id", F.lower(F.trim("source")).alias("source"), bits.alias("bits")).withColumn("reasons", quality.decode_bits(quality.PASS1, F.col("bits")))
 
 

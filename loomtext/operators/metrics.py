@@ -185,7 +185,18 @@ def preserved_udf(*columns: Column) -> Column:
     return F.pandas_udf(_preserved_series, "double")(*columns)
 
 
-def generation_means(pairs: DataFrame, by: str, source: str, output: str) -> DataFrame:
-    """(by, mean_ratio, mean_novel, pairs): means of the length ratio and of the share of new words, nulls left out."""
+def acceptable(rules: list[Column]) -> Column:
+    """Whether every rule holds; a rule that is null (its metric is undefined) does not count against a text."""
+    out = F.lit(True)
+    for r in rules:
+        out = out & F.coalesce(r, F.lit(True))
+    return out
+
+
+def generation_means(pairs: DataFrame, by: str, source: str, output: str, low: float = 0.5, high: float = 2.0, most_novel: float = 0.8) -> DataFrame:
+    """(by, mean_ratio, mean_novel, acceptable, pairs): means of the length ratio and of the share of new words, nulls left out, and the share
+    of pairs that meet all limits at once: ratio within its range, few enough new words, no loop."""
     src, out = F.col(source), F.col(output)
-    return pairs.groupBy(by).agg(F.round(F.avg(T.length_ratio(src, out)), 6).alias("mean_ratio"), F.round(F.avg(T.novel_word_rate(src, out)), 6).alias("mean_novel"), F.count(F.lit(1)).alias("pairs"))
+    scored = pairs.select(by, T.length_ratio(src, out).alias("_r"), T.novel_word_rate(src, out).alias("_n"), T.has_loop(out).alias("_l"))
+    good = acceptable([F.col("_r").between(low, high), F.col("_n") <= most_novel, ~F.col("_l")])
+    return scored.groupBy(by).agg(F.round(F.avg("_r"), 6).alias("mean_ratio"), F.round(F.avg("_n"), 6).alias("mean_novel"), F.round(F.avg(good.cast("double")), 6).alias("acceptable"), F.count(F.lit(1)).alias("pairs"))

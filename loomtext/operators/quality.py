@@ -26,8 +26,12 @@ class Thresholds:
     min_stopwords: float = 0.06
 
 
-STRICT = Thresholds(min_text_share=0.70, max_digit_share=0.20, min_latin=0.85, min_stopwords=0.10)
+#: Stricter shares, stricter language, and both.
+SHARES = Thresholds(min_text_share=0.70, max_digit_share=0.20)
 QA_STRICT = Thresholds(min_latin=0.85, min_stopwords=0.10)
+STRICT = Thresholds(min_text_share=0.70, max_digit_share=0.20, min_latin=0.85, min_stopwords=0.10)
+# Public collections of English prose whose language is judged more strictly; a user's own sources are given as an argument.
+LANGUAGE_STRICT = ("fineweb_edu", "c4", "cosmopedia", "slimpajama", "ebooks")
 
 #: Classes of sources by the head of their id.
 SOURCE_CLASS = {"code": "code", "cli": "code", "qa": "qa", "forum": "qa", "lit": "verse"}
@@ -62,9 +66,10 @@ def assess(c: Column, t: Thresholds = Thresholds()) -> Column:
     ))
 
 
-def strict_assess(c: Column, source: Column) -> Column:
-    """assess with the stricter limits; question threads keep the looser share limits."""
-    return F.when(source_class(source) == "qa", assess(c, QA_STRICT)).otherwise(assess(c, STRICT))
+def strict_assess(c: Column, source: Column, strict: tuple[str, ...] = LANGUAGE_STRICT) -> Column:
+    """assess with stricter limits: of shares for all but question threads, of language for the sources named in ``strict``."""
+    qa, named = source_class(source) == "qa", F.coalesce(F.lower(F.trim(source)).isin(*strict), F.lit(False))
+    return F.when(qa & named, assess(c, QA_STRICT)).when(qa, assess(c)).when(named, assess(c, STRICT)).otherwise(assess(c, SHARES))
 
 
 def tally(df: DataFrame, reason: Column, enabled: bool = True) -> DataFrame:
@@ -121,14 +126,14 @@ def decode_bits(names: list[str], bits: Column) -> Column:
     return F.filter(F.array(*[F.when(F.expr("1 = 1") & (bits.bitwiseAND(1 << k) != 0), n) for k, n in enumerate(names)]), lambda x: x.isNotNull())
 
 
-def pass1_bits(c: Column, source: Column, duplicate: Column | None = None) -> Column:
+def pass1_bits(c: Column, source: Column, duplicate: Column | None = None, strict: tuple[str, ...] = LANGUAGE_STRICT) -> Column:
     """Reasons of the first pass: code skips the prose rules, questions have only n-gram spam and duplicates."""
     kind = source_class(source)
     empty = F.coalesce(T.strip(c) == "", F.lit(True))
     prose = ~kind.isin("code", "qa")
     # the reason is computed once and turned into its bit
     bit = lambda r: reduce(lambda x, n: F.when(r == PASS1[n], F.lit(1 << n)).otherwise(x), range(1, 10), F.lit(0))
-    first = F.when(prose & ~empty, T.let(strict_assess(c, source), bit)).otherwise(0)
+    first = F.when(prose & ~empty, T.let(strict_assess(c, source, strict), bit)).otherwise(0)
     flags = {"corrupt_or_empty": empty, "boilerplate": prose & ~empty & T.boilerplate_phrase_hit(c), "ngram_spam": (kind != "code") & ~empty & T.ngram_spam(c)}
     if duplicate is not None:
         flags["duplicate"] = duplicate

@@ -83,6 +83,20 @@ def verify_chain(df: DataFrame, by: list[str], seq: str, payload: Column | None
     return _done(blocks(df, by, seq, 1).withColumn("state", state.otherwise("ok")))
 
 
+def append_chain(log: DataFrame, present: DataFrame, step: str, payload: str) -> DataFrame:
+    """The rows (entry, step, hash, prev_hash) that a log of one chain (the same columns) gets for what is ``present`` (step, payload) and not yet in it.
+
+    The log is append-only: steps it has stay as they are, whatever is present now; new ones follow its last entry in order of
+    steps, also those that lie before steps already written. Null steps and payloads are left out; of a step given twice the greatest payload counts.
+    """
+    fresh = present.filter(F.col(step).isNotNull() & F.col(payload).isNotNull()).groupBy(step).agg(F.max(payload).alias("_payload")).join(log.select(step).distinct(), step, "left_anti")
+    last = log.agg(F.coalesce(F.max("entry"), F.lit(-1)).alias("e"), F.max_by("hash", "entry").alias("h")).first()
+    linked = hash_chain(fresh.withColumn("_all", F.lit(0)), ["_all"], step, F.col("_payload"))
+    numbered = ranked(linked, ["_all"], step, BLOCK)
+    prev = F.when(F.col("__rank") == 0, F.lit(last.h or "0" * 64)).otherwise(F.col("prev_hash"))
+    return numbered.select((F.col("__rank") + last.e + 1).alias("entry"), step, "hash", prev.alias("prev_hash"))
+
+
 def missing_links(log: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """What is present and not yet in the log (nulls never are)."""
     return present.filter(F.col(key).isNotNull()).join(log.select(key), key, "left_anti")

@@ -56,7 +56,11 @@ def assess_sql(q: quality.Thresholds) -> str:
         WHEN {STOP_RATIO_SQL} < {q.min_stopwords} THEN 'not_english_prose' ELSE 'keep' END)"""
 
 
-STRICT_SQL = f"(CASE WHEN {CLASS_SQL} = 'qa' THEN {assess_sql(quality.QA_STRICT)} ELSE {assess_sql(quality.STRICT)} END)"
+#: Sources of the tables whose language is judged more strictly, a question source among them.
+STRICT_SOURCES = (*quality.LANGUAGE_STRICT, "web_lantern", "web_juniper", "synth_primer", "qa_orchard")
+_NAMED = "lower(trim(coalesce(source, ''))) IN (" + ", ".join(f"'{x}'" for x in STRICT_SOURCES) + ")"
+STRICT_SQL = f"""(CASE WHEN {CLASS_SQL} = 'qa' AND {_NAMED} THEN {assess_sql(quality.QA_STRICT)} WHEN {CLASS_SQL} = 'qa' THEN {assess_sql(quality.Thresholds())}
+    WHEN {_NAMED} THEN {assess_sql(quality.STRICT)} ELSE {assess_sql(quality.SHARES)} END)"""
 DOCS = "(SELECT *, text AS t FROM documents)"
 FILLED = "(SELECT * EXCLUDE (text), coalesce(text, '') AS t, text FROM documents)"
 # most frequent run of four tokens, per document
@@ -138,7 +142,7 @@ def quality_tally(spark, sf):
 
 @query(f"SELECT doc_id, {CLASS_SQL} AS kind, {STRICT_SQL} AS reason FROM {FILLED}")
 def strict_assess(spark, sf):
-    return heavy(spark, sf, "documents").select("doc_id", quality.source_class(F.col("source")).alias("kind"), quality.strict_assess(F.col("text"), F.col("source")).alias("reason"))
+    return heavy(spark, sf, "documents").select("doc_id", quality.source_class(F.col("source")).alias("kind"), quality.strict_assess(F.col("text"), F.col("source"), STRICT_SOURCES).alias("reason"))
 
 
 @query(f"SELECT doc_id, {HITS_SQL}::INT AS hits, {HIT_SQL} AS hit FROM {FILLED}")
@@ -195,24 +199,24 @@ REASONS_CTE = f"{AUDIT_CTE}, reasons AS (SELECT doc_id, source, bits, unnest(lis
 
 @query(f"{AUDIT_CTE} SELECT doc_id, bits FROM bits")
 def reason_bits(spark, sf):
-    return audit.pass1(heavy(spark, sf, "documents")).select("doc_id", "bits")
+    return audit.pass1(heavy(spark, sf, "documents"), STRICT_SOURCES).select("doc_id", "bits")
 
 
 @query(f"{AUDIT_CTE} SELECT source, count(*) AS lines, count(*) FILTER (bits = 0) AS kept, count(*) FILTER (bits <> 0) AS moved FROM bits GROUP BY source")
 def audit_route(spark, sf):
     """Kept and moved documents per source: the flagship."""
-    return audit.route_counts(audit.pass1(heavy(spark, sf, "documents")))
+    return audit.route_counts(audit.pass1(heavy(spark, sf, "documents"), STRICT_SOURCES))
 
 
 @query(f"{REASONS_CTE} SELECT source, reason, count(*) AS n, grouping(source)::INT * 2 + grouping(reason)::INT AS level FROM reasons GROUP BY GROUPING SETS ((source, reason), (source), (reason), ())")
 def audit_report_sets(spark, sf):
-    return audit.report(audit.pass1(heavy(spark, sf, "documents")))
+    return audit.report(audit.pass1(heavy(spark, sf, "documents"), STRICT_SOURCES))
 
 
 @query(f"{REASONS_CTE} SELECT reason, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS rn FROM reasons) WHERE rn <= 5")
 def audit_samples(spark, sf):
     """The first five documents of every reason."""
-    return audit.samples(audit.pass1(heavy(spark, sf, "documents")), 5).select("reason", "doc_id")
+    return audit.samples(audit.pass1(heavy(spark, sf, "documents"), STRICT_SOURCES), 5).select("reason", "doc_id")
 
 
 @query("SELECT doc_id AS pos, CASE WHEN rn > 1 THEN 'exact' WHEN rn2 > 1 THEN 'near' ELSE 'keep' END AS verdict FROM (SELECT *, CASE WHEN rn = 1 THEN row_number() OVER (PARTITION BY fold, rn = 1 ORDER BY doc_id) END AS rn2 FROM (SELECT doc_id, text, " + FOLD_SQL + f" AS fold, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {DOCS} WHERE text IS NOT NULL))")

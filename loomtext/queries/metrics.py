@@ -86,7 +86,11 @@ def span_preservation(spark, sf):
     return pairs(spark, sf).select("doc_id", F.round(metrics.preserved_udf("src", "out"), 6).alias("preserved"))
 
 
-@query(f"WITH {PAIRS} SELECT style, round(avg(length(out) / greatest(length(src), 1)::DOUBLE), 6) AS mean_ratio, round(avg(len(list_filter({W.format('out')}, lambda w: NOT list_contains({W.format('src')}, w))) / nullif(len({W.format('out')}), 0)::DOUBLE), 6) AS mean_novel, count(*) AS pairs FROM p GROUP BY style")
+@query(
+    f"""WITH {PAIRS}, m AS (SELECT doc_id, style, length(out) / greatest(length(src), 1)::DOUBLE AS r, len(list_filter({W.format('out')}, lambda w: NOT list_contains({W.format('src')}, w))) / nullif(len({W.format('out')}), 0)::DOUBLE AS n, {W.format('out')} AS w FROM p),
+    g AS (SELECT doc_id, max(k) AS k FROM (SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM m WHERE len(w) >= 3) GROUP BY ALL) GROUP BY doc_id)
+    SELECT style, round(avg(r), 6) AS mean_ratio, round(avg(n), 6) AS mean_novel, round(avg((r BETWEEN 0.5 AND 2 AND coalesce(n <= 0.8, true) AND coalesce(k, 0) < 3)::INT), 6) AS acceptable, count(*) AS pairs FROM m LEFT JOIN g USING (doc_id) GROUP BY style"""
+)
 def generation_means(spark, sf):
     """Means per style that leave nulls out."""
     return metrics.generation_means(pairs(spark, sf), "style", "src", "out")

@@ -373,3 +373,46 @@ def test_every_reason_of_a_training_pair(spark):
     df = spark.createDataFrame(rows, "doc_id long, src string, out string, style string, cleanup string")
     got = {r.doc_id: r.reason for r in metrics.sft_reasons(df, spark.createDataFrame([("In the exam.",), (None,)], "text string"), "s").collect()}
     assert got == dict(enumerate(["wrong_style", "cleanup_excluded", "empty", "identity", "in_eval_set", "target_drops_protected_span", "duplicate_input", "source_too_long", "target_too_long", "length_ratio_low", "length_ratio_high", "kept", "empty"]))
+
+
+def test_strict_limits_by_source(spark):
+    """Shares are stricter for all but questions, language only for the sources that are named."""
+    from loomtext.operators import quality
+
+    digits = "the number of the house is " + "12345 " * 6 + "and that of the other one is not known to us at all now"
+    french = "les arbres verts grandissent avec le temps et on les a plantés pour le village près du lac où it was made by us at the end"
+    rows = [(k, s, t) for k, (s, t) in enumerate((s, t) for s in ("qa_x", "web_x", "c4", "C4 ") for t in (digits, french))]
+    df = spark.createDataFrame(rows, "k int, source string, t string")
+    got = [r.r for r in df.select("k", quality.strict_assess(F.col("t"), F.col("source")).alias("r")).orderBy("k").collect()]
+    loose = [r.r for r in df.select("k", quality.assess(F.col("t")).alias("r")).orderBy("k").collect()]
+    assert got[:2] == loose[:2] and got[2] == "mostly_digits" and got[4:6] == got[6:8]
+    named = [r.r for r in df.select("k", quality.strict_assess(F.col("t"), F.col("source"), ("web_x",)).alias("r")).orderBy("k").collect()]
+    assert named[3] == got[5] and named[5] == got[3]
+
+
+def test_chain_grows_without_change(spark):
+    empty = spark.createDataFrame([], "entry long, s long, hash string, prev_hash string")
+    here = spark.createDataFrame([(10, "a"), (30, "c"), (None, "x"), (40, None), (10, "A")], "s long, p string")
+    log = windows.append_chain(empty, here, "s", "p")
+    assert [(r.entry, r.s) for r in log.orderBy("entry").collect()] == [(0, 10), (1, 30)]
+    later = spark.createDataFrame([(10, "changed"), (20, "b"), (40, "d")], "s long, p string")
+    both = log.unionByName(windows.append_chain(log, later, "s", "p")).orderBy("entry").collect()
+    assert [(r.entry, r.s) for r in both] == [(0, 10), (1, 30), (2, 20), (3, 40)] and both[0].prev_hash == "0" * 64
+    assert all(b.prev_hash == a.hash for a, b in zip(both, both[1:])) and windows.append_chain(log, here, "s", "p").count() == 0
+
+
+def test_merged_samples_are_those_of_the_whole(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    parts = [blend.bottom_draws(df.filter(c), 20, "k", "s") for c in ("k < 30", "k between 30 and 400", "k > 400", "k > 900")]
+    assert {r.k for r in blend.merge_samples(parts, 20, "k").collect()} == {r.k for r in blend.bottom_draws(df, 20, "k", "s").collect()}
+
+
+def test_counters_of_telemetry(spark):
+    df = spark.createDataFrame([(5, 1.0), (16, 3.0), (17, 5.0), (None, 9.0), (900, None)], "n int, v double")
+    assert {(r.bucket, r.n, r.mean_loss) for r in telemetry.loss_by_length(df, "n", "v", [16, 32]).collect()} == {(0, 2, 2.0), (1, 1, 5.0)}
+    w = spark.createDataFrame([([1.0, -2.0],), ([],), (None,)], "w array<double>")
+    assert tuple(telemetry.weight_moments(w, "w").first()) == (2, -1.0, 5.0)
+    names = spark.createDataFrame([("b",), ("a",), ("b",)], "n string")
+    assert {(r.n, r.id) for r in telemetry.name_ids(names, "n", 7).collect()} == {("a", 7), ("b", 8)}
+    assert tuple(telemetry.check_names(names, "n", "[a-z]").first()) == (3, 2, False, True)
+
