@@ -217,10 +217,11 @@ def pack_windows(df: DataFrame, pos: str, by: str, length: str, budget: int, mos
 
     One sequence per value of ``by``, however long: documents are ranked in two levels and cut into blocks. Wherever a window may
     enter a block (at one of its first ``most`` documents) the block says where it leaves it and after how many windows; these
-    few rows are composed in order, and then every block lays out the windows that begin in it.
+    few rows are composed in order, and then every block lays out the windows that begin in it. Rows without a position or a
+    length are in no window.
     """
     size = max(WINDOW_BLOCK if block is None else block, most)
-    ranked = windows.ranked(df.select(pos, by, length), [by], pos, size)
+    ranked = windows.ranked(df.filter(F.col(pos).isNotNull() & F.col(length).isNotNull()).select(pos, by, length), [by], pos, size)
     own = F.floor(F.col("__rank") / size)
     # the first documents of a block also end windows of the block before
     both = F.when((F.col("__rank") >= size) & (F.pmod(F.col("__rank"), F.lit(size)) < most), F.array(own - 1, own)).otherwise(F.array(own))

@@ -135,8 +135,7 @@ def first_seen(df: DataFrame, keys: dict[str, Column], pos: str) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int, shards: int, shard: int) -> DataFrame:
     """One shard of the rows, in an order that depends on the seed only."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(shards)) == shard).orderBy(h, key)
+    return df.filter(F.pmod(T.draw(F.lit("shard"), F.col(key)), F.lit(shards)) == shard).orderBy(T.draw(F.lit(seed), F.col(key)), key)
 
 
 def files_by_source(files: DataFrame, path: str, root: str) -> DataFrame:
