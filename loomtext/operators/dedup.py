@@ -86,7 +86,8 @@ def _bands(text: str | None, shingle: int, least: int) -> list[str] | None:
     grams = {" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
     if len(grams) < least:
         return None
-    hashes = np.array([int(hashlib.sha256(g.encode()).hexdigest()[:7], 16) for g in grams], np.int64)
+    # the first 28 bits of each digest, read in one go
+    hashes = np.frombuffer(b"".join([hashlib.sha256(g.encode()).digest()[:4] for g in grams]), ">u4").astype(np.int64) >> 4
     low = ((hashes[None, :] * _MULTIPLIERS + _OFFSETS) % PRIME).min(axis=1).reshape(BANDS, ROWS)
     return [hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()[:16] for row in low.tolist()]
 

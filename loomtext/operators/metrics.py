@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,23 @@ SPAN_PATTERNS = [
 LINK_END = ".,;:!?)]}'\""
 
 
-def grams(tokens: list, n: int) -> Counter:
-    return Counter(tuple(tokens[k : k + n]) for k in range(len(tokens) - n + 1))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def run_counts(sequences: list[np.ndarray], n: int, keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How often every run of ``n`` symbols occurs in each of several sequences: a matrix with a row per sequence and a column per different run.
+
+    ``keys`` are the 64-bit keys of the runs of n - 1 symbols (the last call's second result; empty at first), so that each order costs one
+    multiplication and one sort.
+    """
+    if n == 1:
+        keys = [x * _FACTOR for x in sequences]
+    else:
+        keys = [(k[: max(0, len(x) - n + 1)] ^ x[n - 1 :]) * _FACTOR + np.uint64(n) for k, x in zip(keys, sequences)]
+    whole = np.concatenate(keys)
+    different, at = np.unique(whole, return_inverse=True)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    return np.bincount(row * len(different) + at, minlength=len(keys) * len(different)).reshape(len(keys), -1), keys
 
 
 def _harmonic(p: float, r: float) -> float:
@@ -34,7 +49,13 @@ def _harmonic(p: float, r: float) -> float:
 
 
 def _share(part: float, whole: float) -> float:
-    return part / whole if whole else 1.0
+    return float(part / whole) if whole else 1.0
+
+
+def _mean_ratio(part: np.ndarray, whole: np.ndarray) -> float:
+    """Mean of part / whole over the runs that the whole has; 1 without any."""
+    there = whole > 0
+    return float((part[there] / whole[there]).mean()) if there.any() else 1.0
 
 
 def sari(source: str, output: str, references: list[str]) -> float:
@@ -42,37 +63,32 @@ def sari(source: str, output: str, references: list[str]) -> float:
 
     Source and output counts are multiplied by the number of references, whose counts are added up.
     """
-    src, out, refs = source.split(), output.split(), [r.split() for r in references]
-    total = 0.0
+    number: dict[str, int] = {}
+    sequences = [np.array([number.setdefault(t, len(number) + 1) for t in x.split()], np.uint64) for x in (source, output, *references)]
+    total, keys = 0.0, []
     for n in range(1, 5):
-        m = len(refs)
-        s = Counter({g: c * m for g, c in grams(src, n).items()})
-        o = Counter({g: c * m for g, c in grams(out, n).items()})
-        r = sum((grams(x, n) for x in refs), Counter())
-        kept, wanted = s & o, s & r
-        good = kept & r
-        keep = _harmonic(_share(sum(good[g] / kept[g] for g in kept), len(kept)), _share(sum(good.values()), sum(wanted.values())))
-        gone = s - o
-        rightly = gone - r
-        delete = _share(sum(rightly[g] / gone[g] for g in gone), len(gone))
-        added, due = set(o) - set(s), set(r) - set(s)
-        hit = len(added & set(r))
-        total += keep + delete + _harmonic(_share(hit, len(added)), _share(hit, len(due)))
+        counts, keys = run_counts(sequences, n, keys)
+        src, out, ref = counts[0] * len(references), counts[1] * len(references), counts[2:].sum(axis=0)
+        kept, gone = np.minimum(src, out), np.maximum(src - out, 0)
+        good, rightly = np.minimum(kept, ref), np.maximum(gone - ref, 0)
+        keep = _harmonic(_mean_ratio(good, kept), _share(good.sum(), np.minimum(src, ref).sum()))
+        fresh = src == 0
+        added, due = fresh & (out > 0), fresh & (ref > 0)
+        hits = (added & due).sum()
+        total += keep + _mean_ratio(rightly, gone) + _harmonic(_share(hits, added.sum()), _share(hits, due.sum()))
     return 100 * total / 12
 
 
 def chrf(output: str, reference: str, order: int = 6, beta: float = 2.0) -> float:
     """Mean F-beta of character runs of 1 to ``order`` without blanks (0 to 100); two empty texts are equal."""
-    a, b = output.replace(" ", ""), reference.replace(" ", "")
-    if not a and not b:
+    codes = [np.frombuffer(x.replace(" ", "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for x in (output, reference)]
+    if not len(codes[0]) and not len(codes[1]):
         return 100.0
-    scores = []
-    for n in range(1, order + 1):
-        if len(a) < n or len(b) < n:
-            continue
-        x, y = Counter(a[k : k + n] for k in range(len(a) - n + 1)), Counter(b[k : k + n] for k in range(len(b) - n + 1))
-        common = sum((x & y).values())
-        p, r = common / (len(a) - n + 1), common / (len(b) - n + 1)
+    scores, keys = [], []
+    for n in range(1, min(order, *map(len, codes)) + 1):
+        counts, keys = run_counts(codes, n, keys)
+        common = float(np.minimum(counts[0], counts[1]).sum())
+        p, r = (common / len(k) for k in keys)
         scores.append((1 + beta**2) * p * r / (beta**2 * p + r) if common else 0.0)
     return 100 * sum(scores) / len(scores) if scores else 0.0
 

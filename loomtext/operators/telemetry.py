@@ -23,6 +23,24 @@ def mode_counters(batch: DataFrame) -> DataFrame:
     return by.withColumn("token_share", F.round(F.try_divide(F.col("encoder_tokens"), F.sum("encoder_tokens").over(Window.partitionBy())), 6))
 
 
+def example_counters(examples: DataFrame, mode: str, spans: Column, truncated: Column, skipped: Column) -> DataFrame:
+    """(mode, examples, spans, truncated, skipped, mean_spans): kept examples with their spans and how many of them were cut, and how many were skipped.
+
+    ``skipped`` is the reason why there is no example, null where there is one.
+    """
+    rows = examples.select(F.col(mode).alias("mode"), spans.alias("_s"), truncated.alias("_t"), skipped.isNotNull().alias("_k"))
+    kept = ~F.col("_k")
+    by = rows.groupBy("mode").agg(
+        F.count(F.when(kept, 1)).alias("examples"), F.coalesce(F.sum(F.when(kept, F.col("_s"))), F.lit(0)).cast("long").alias("spans"), F.count(F.when(kept & F.col("_t"), 1)).alias("truncated"), F.count(F.when(F.col("_k"), 1)).alias("skipped")
+    )
+    return by.withColumn("mean_spans", F.round(F.coalesce(F.try_divide(F.col("spans"), F.col("examples")), F.lit(0.0)), 6))
+
+
+def skip_counts(examples: DataFrame, mode: str, skipped: Column) -> DataFrame:
+    """(mode, reason, n) of the examples that were skipped."""
+    return examples.select(F.col(mode).alias("mode"), skipped.alias("reason")).filter("reason is not null").groupBy("mode", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def bucket(value: Column, edges: list[int]) -> Column:
     """The first edge that is not exceeded; the number of edges beyond all."""
     out = F.lit(len(edges))

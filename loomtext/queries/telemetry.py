@@ -126,6 +126,27 @@ def mode_counters(spark, sf):
     return telemetry.mode_counters(table(spark, sf, "padded_batch"))
 
 
+_COUNTED = f"(SELECT mode, e // 20 AS spans, e > 200 AS cut, CASE WHEN e < 8 THEN 'too_short' WHEN l < 2 THEN 'no_target' END AS skipped FROM {ONCE})"
+
+
+def _counted(spark, sf):
+    x = telemetry.lengths(table(spark, sf, "padded_batch"))
+    reason = F.when(F.col("e") < 8, "too_short").when(F.col("l") < 2, "no_target")
+    return x.select("mode", F.floor(F.col("e") / 20).alias("spans"), (F.col("e") > 200).alias("cut"), reason.alias("skipped"))
+
+
+@query(f"SELECT mode, count(*) FILTER (skipped IS NULL) AS examples, coalesce(sum(spans) FILTER (skipped IS NULL), 0)::BIGINT AS spans, count(*) FILTER (skipped IS NULL AND cut) AS truncated, count(*) FILTER (skipped IS NOT NULL) AS skipped, round(coalesce(sum(spans) FILTER (skipped IS NULL) / nullif(count(*) FILTER (skipped IS NULL), 0)::DOUBLE, 0), 6) AS mean_spans FROM {_COUNTED} GROUP BY mode")
+def example_counters(spark, sf):
+    """Examples, spans (one for twenty tokens), cut and skipped ones by mode."""
+    return telemetry.example_counters(_counted(spark, sf), "mode", F.col("spans"), F.col("cut"), F.col("skipped"))
+
+
+@query(f"SELECT mode, skipped AS reason, count(*) AS n FROM {_COUNTED} WHERE skipped IS NOT NULL GROUP BY ALL")
+def skip_counts(spark, sf):
+    """Why examples were skipped."""
+    return telemetry.skip_counts(_counted(spark, sf), "mode", F.col("skipped"))
+
+
 @query(f"SELECT mode, CASE WHEN l <= 16 THEN 0 WHEN l <= 32 THEN 1 WHEN l <= 64 THEN 2 WHEN l <= 96 THEN 3 WHEN l <= 128 THEN 4 WHEN l <= 192 THEN 5 WHEN l <= 256 THEN 6 ELSE 7 END AS bucket, count(*) AS n FROM {ONCE} GROUP BY ALL")
 def target_length_histogram(spark, sf):
     """Label lengths by seven edges and an overflow."""
