@@ -1,7 +1,7 @@
 """Keyword-stuffed pages and lists of links or product tags (problem 8).
 
 A page becomes sentences (pieces), and each piece a sequence of function words and word classes.
-An interpolated trigram model of such sequences is trained on prose of the same collection and
+An interpolated trigram model of such sequences is trained on all prose of the same collection and
 gives every piece its surprise, the logarithm of its perplexity. Classes that prose hardly knows
 (links, prices, hyphenated tags, words repeated over and over, and the second word of a pair of words
 that returns over and over) make link lists, tag lists and stuffed pages surprising in
@@ -9,8 +9,9 @@ proportion to their share. A page is flagged when more than half of its words li
 whose surprise is outside the calibrated range. One check stands beside the model: code and command lines,
 which are as unusual as spam, are left out by their type.
 
-The range is calibrated on the weakly labelled pages of the training sample: it ends between pages with hardly a
-marked class and pages that consist of marked classes.
+The range is calibrated on all weakly labelled pages: it ends between pages with hardly a
+marked class and pages that consist of marked classes. Texts are read once, into arrays of numbered classes, which
+are counted by a grouped sum and scored with arrays; only the counts of trigrams and of surprises come to the driver.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomtext.llm.lexicon import ALL_FUNCTION_WORDS
-from loomtext.plans.lineage import hash_sample
+from loomtext.plans.lineage import materialize
 
-#: Documents brought to the driver, chosen by hash, to train the sequence model on those that are prose and to calibrate it.
-TRAIN_DOCS = 4000
 #: A content word is heavy from this share of the content words on, a pair of neighbouring words from this share of all; four times at least.
 HEAVY_WORD, HEAVY_PAIR, LEAST = 0.06, 0.05, 4
-#: Tokens and trigrams that a worker remembers before it starts anew.
+#: Tokens that a worker remembers before it starts anew.
 MEMORY = 300_000
 
 LINK = re.compile(r"(?i)https?:|://|\bwww\.|\bhref=|mailto:")
@@ -162,124 +163,262 @@ def symbols(piece: Piece, again: tuple[set[str], set[tuple[str, str]]]) -> list[
     return out
 
 
-def is_prose(parts: list[Piece]) -> bool:
+def is_prose(parts: list[Piece], again: tuple[set[str], set[tuple[str, str]]]) -> bool:
     """Weak choice of training prose: many function words, no links, tags or code, nothing heavily repeated."""
+    words, pairs = again
+    if pairs or any(p.is_code for p in parts):
+        return False
     tokens = [k for p in parts for _, k in p.tokens if k.core]
-    if len(tokens) < 12 or any(p.is_code for p in parts) or any(k.symbol in ("<link>", "<price>") for k in tokens):
+    if len(tokens) < 12 or any(k.symbol in ("<link>", "<price>") for k in tokens):
         return False
-    words, pairs = heavy(parts)
-    return not pairs and sum(k.function for k in tokens) >= 0.3 * len(tokens) and sum(k.core in words for k in tokens) <= 0.1 * len(tokens)
+    return sum(k.function for k in tokens) >= 0.3 * len(tokens) and sum(k.core in words for k in tokens) <= 0.1 * len(tokens)
 
 
 #: Classes that link lists, tag lists and stuffed pages are made of.
 MARKED = frozenset(["<link>", "<price>", "<tag>", "<rep>", "<again>"])
+#: All that ``symbols`` returns, by number; the first two are the ends of a piece.
+ALPHABET = ["^", "$", *".!?,;:|", *sorted(MARKED), "<num>", "<mix>", "<run>", "<Cap>", "<low>", *sorted(ALL_FUNCTION_WORDS)]
+NUMBER = {x: n for n, x in enumerate(ALPHABET)}
+SIZE = len(ALPHABET)
+_IS_CLASS = np.array([x[0] not in ".!?,;:|" for x in ALPHABET]) & (np.arange(SIZE) > 1)
+_IS_MARKED = np.array([x in MARKED for x in ALPHABET])
+
+
+class Page(NamedTuple):
+    """A text as numbered classes, piece after piece; tokens of every piece and whether it is code."""
+
+    symbols: np.ndarray
+    words: np.ndarray
+    code: np.ndarray
+    prose: bool
+    label: int
 
 
-def weak_label(parts: list[Piece]) -> bool | None:
-    """True for pages that are spam at first sight (most words are marked), False for pages with hardly a marked word, None between."""
+def weak_label(symbols: np.ndarray, code: np.ndarray) -> int:
+    """1 for pages that are spam at first sight (most words are marked), 0 for pages with hardly a marked word, -1 between."""
+    plain = symbols[~np.repeat(code, np.diff(np.append(np.flatnonzero(symbols == 0), len(symbols))))]
+    classes, marked = int(_IS_CLASS[plain].sum()), int(_IS_MARKED[plain].sum())
+    return -1 if classes < 8 else 1 if marked > 0.6 * classes else 0 if marked <= 0.1 * classes else -1
+
+
+def read_page(text: str | None) -> Page:
+    parts = pieces(text) if isinstance(text, str) else []
     again = heavy(parts)
-    classes = [s for p in parts if not p.is_code for s in symbols(p, again)[1:-1] if s[0] not in ".!?,;:|"]
-    marked = sum(s in MARKED for s in classes)
-    return None if len(classes) < 8 else True if marked > 0.6 * len(classes) else False if marked <= 0.1 * len(classes) else None
+    numbers = np.array([NUMBER[x] for p in parts for x in symbols(p, again)], np.int16)
+    code = np.array([p.is_code for p in parts], bool)
+    return Page(numbers, np.array([len(p.tokens) for p in parts], np.int32), code, is_prose(parts, again), weak_label(numbers, code))
+
 
+def prose_words(text: str | None) -> set[str]:
+    """The plain words of a text that is prose."""
+    parts = pieces(text) if isinstance(text, str) else []
+    return {k.core for p in parts for _, k in p.tokens if not k.symbol} if is_prose(parts, heavy(parts)) else set()
 
-def built_pages(prose: list[list[Piece]]) -> list[str]:
-    """Stuffed pages and link lists made of the words of prose, for samples in which no page is spam at first sight."""
-    words = sorted({k.core for page in prose for p in page for _, k in p.tokens if not k.symbol})[:2000]
+
+def built_pages(words: list[str]) -> list[str]:
+    """Stuffed pages and link lists made of words of prose, for collections in which no page is spam at first sight; all words are of one class."""
     stuffed = [", ".join([f"{a} {b}"] * 4 + [f"{b} {a}"] * 4) for a, b in zip(words[::2], words[1::2])]
     return stuffed + [" - ".join([f"[{a} {b}](http://{a}.example/{b})"] * 4) for a, b in zip(words[::2], words[1::2])]
 
 
+#: Words of prose, the first by alphabet, that built pages are made of.
+BUILT_WORDS = 2000
+
+
+def trigrams(symbols: np.ndarray) -> np.ndarray:
+    """The number of the trigram that ends after each symbol but the last of a piece; a piece begins with two marks."""
+    before = np.append(np.zeros(1, symbols.dtype), symbols)[: len(symbols)]
+    before[symbols == 0] = 0
+    inside = np.flatnonzero(symbols != 1)
+    return (before[inside].astype(np.int64) * SIZE + symbols[inside]) * SIZE + symbols[inside + 1]
+
+
 class SequenceModel:
     """Interpolated trigrams over the symbols of prose, and the range of surprise that ordinary pages keep to."""
 
-    def __init__(self, texts: list[str]):
-        pages = [p for t in texts if (p := pieces(t))]
-        prose = [p for p in pages if is_prose(p)]
-        self.n1, self.n2, self.n3 = Counter(), Counter(), Counter()
-        self.c1, self.c2 = Counter(), Counter()
-        for page in prose:
-            again = heavy(page)
-            for p in page:
-                s = symbols(p, again)
-                for a, b, c in zip(["^", *s], s, s[1:]):
-                    self.n1[c] += 1
-                    self.n2[b, c] += 1
-                    self.n3[a, b, c] += 1
-                    self.c1[b] += 1
-                    self.c2[a, b] += 1
-        self.total = self.n1.total()
-        self._known: dict[tuple[str, str, str], float] = {}
-        labelled = [(p, y) for p in pages if (y := weak_label(p)) is not None]
-        fine = sorted(self.page_surprise(p) for p, y in labelled if not y)
-        odd = sorted(self.page_surprise(p) for p in [p for p, y in labelled if y] or map(pieces, built_pages(prose)))
-        at = lambda v, q: v[min(len(v) - 1, int(q * len(v)))]
-        top, lowest = at(fine, 0.999) if fine else math.inf, at(odd, 0.01) if odd else 0.0
+    def __init__(self, texts: list[str] | None = None):
+        self.low, self.high = 0.0, math.inf
+        if texts is None:
+            return
+        pages = [read_page(t) for t in texts]
+        self.count(*np.unique(np.concatenate([np.zeros(0, np.int64), *(trigrams(p.symbols) for p in pages if p.prose)]), return_counts=True))
+        at = lambda label: sorted(self.page_surprise(p) for p in pages if p.label == label)
+        fine, odd = at(0), at(1)
+        pick = lambda v, q: v[rank(len(v), q)] if v else None
+        words = [] if odd else sorted(set().union(*map(prose_words, texts)))[:BUILT_WORDS]
+        self.calibrate(pick(fine, 0.001), pick(fine, 0.999), pick(odd, 0.01), words)
+
+    def count(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Takes the numbers of trigrams (sorted) and how often prose has them."""
+        a, b, c = keys // SIZE**2, keys // SIZE % SIZE, keys % SIZE
+        single = (np.bincount(c, n, SIZE) + 0.5) / (n.sum() + 500)
+        two, one, pair = np.bincount(b * SIZE + c, n, SIZE**2).reshape(SIZE, SIZE), np.bincount(b, n, SIZE), np.bincount(a * SIZE + b, n, SIZE**2)
+        after = np.where(one[:, None] > 0, two / np.maximum(one, 1)[:, None], single)
+        self.base = 0.1 * single + 0.3 * after
+        self.keys, self.more = keys, 0.6 * n / np.maximum(pair[a * SIZE + b], 1)
+
+    def calibrate(self, least: float | None, top: float | None, lowest: float | None, words: list[str]) -> None:
+        """Sets the range from the surprises of ordinary pages and the least of spam; without spam, from pages built of ``words``."""
+        if lowest is None and (built := sorted(self.page_surprise(read_page(t)) for t in built_pages(words))):
+            lowest = built[rank(len(built), 0.01)]
+        top, lowest = math.inf if top is None else top, 0.0 if lowest is None else lowest
         #: A third of the way from the most unusual ordinary page to the least unusual spam, which was chosen for being extreme.
         self.high = top + (lowest - top) / 3 if top < lowest else 1.5 * top
         #: Half of the least surprise of an ordinary page: sequences so predictable that no writer makes them.
-        self.low = at(fine, 0.001) / 2 if fine else 0.0
-
-    def surprise(self, s: list[str]) -> float:
-        """Mean negative log probability of a symbol: the logarithm of the perplexity."""
-        known, total = self._known, 0.0
-        for key in zip(["^", *s], s, s[1:]):
-            x = known.get(key)
-            if x is None:
-                a, b, c = key
-                single = (self.n1[c] + 0.5) / (self.total + 500)
-                p = 0.1 * single + 0.3 * (self.n2[b, c] / self.c1[b] if self.c1[b] else single) + (0.6 * self.n3[key] / self.c2[a, b] if self.c2[a, b] else 0.0)
-                if len(known) >= MEMORY:
-                    known.clear()
-                x = known[key] = -math.log(p)
-            total += x
-        return total / max(1, len(s) - 1)
-
-    def page_surprise(self, parts: list[Piece]) -> float:
-        """The surprise that half of the words of a page reach, code left out."""
-        again = heavy(parts)
-        scored = sorted((self.surprise(symbols(p, again)), len(p.tokens)) for p in parts if not p.is_code)
-        half, seen = sum(n for _, n in scored) / 2, 0
-        for x, n in scored:
-            seen += n
-            if seen >= half:
-                return x
-        return 0.0
+        self.low = 0.0 if least is None else least / 2
+
+    def surprises(self, symbols: np.ndarray) -> np.ndarray:
+        """Per piece the mean negative log probability of a symbol: the logarithm of the perplexity."""
+        if not len(symbols):
+            return np.zeros(0)
+        t = trigrams(symbols)
+        p = self.base[t // SIZE % SIZE, t % SIZE]
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, t), len(self.keys) - 1)
+            p = p + np.where(self.keys[place] == t, self.more[place], 0.0)
+        n = np.diff(np.append(np.flatnonzero(symbols == 0), len(symbols))) - 1
+        return np.add.reduceat(-np.log(p), np.cumsum(n) - n) / n
+
+    def page_surprises(self, symbols: np.ndarray, words: np.ndarray, code: np.ndarray, owner: np.ndarray, pages: int) -> np.ndarray:
+        """Per page the surprise that half of its words reach, code left out; ``owner`` is the page of every piece."""
+        x = self.surprises(symbols)[~code]
+        n, owner = words[~code], owner[~code]
+        order = np.lexsort((n, x, owner))
+        x, n, owner = x[order], n[order], owner[order]
+        whole = np.bincount(owner, n, pages)
+        seen = np.cumsum(n) - (np.cumsum(whole) - whole)[owner]
+        reached = np.flatnonzero(seen >= whole[owner] / 2)
+        out = np.zeros(pages)
+        page, first = np.unique(owner[reached], return_index=True)
+        out[page] = x[reached[first]]
+        return out
+
+    def page_surprise(self, page: Page) -> float:
+        return float(self.page_surprises(page.symbols, page.words, page.code, np.zeros(len(page.words), int), 1)[0])
+
+    def page_shares(self, symbols: np.ndarray, words: np.ndarray, code: np.ndarray, owner: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per page the shares of the words in abnormal pieces that are not code, and in all abnormal pieces."""
+        x = self.surprises(symbols)
+        odd = words * ((x > self.high) | (x < self.low))
+        total = np.maximum(np.bincount(owner, words, pages), 1)
+        return np.bincount(owner, odd * ~code, pages) / total, np.bincount(owner, odd, pages) / total
 
     def shares(self, text: str) -> tuple[float, float]:
-        """Shares of the words in abnormal pieces that are not code, and in all abnormal pieces."""
-        parts = pieces(text)
-        again = heavy(parts)
-        total = bad = odd = 0
-        for p in parts:
-            n = len(p.tokens)
-            total += n
-            x = self.surprise(symbols(p, again))
-            if x > self.high or x < self.low:
-                odd += n
-                bad += 0 if p.is_code else n
-        return (bad / total, odd / total) if total else (0.0, 0.0)
-
-
-def train_model(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> SequenceModel:
-    """The model of about ``train_docs`` documents, chosen by hash."""
-    rows = sorted(hash_sample(docs.select("doc_id", "text"), "doc_id", train_docs).filter("text is not null").collect(), key=lambda r: (str(r.doc_id), r.text))
-    return SequenceModel([r.text for r in rows])
-
-
-def spam_pages(docs: DataFrame, model: SequenceModel | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
+        page = read_page(text)
+        bad, odd = self.page_shares(page.symbols, page.words, page.code, np.zeros(len(page.words), int), 1)
+        return float(bad[0]), float(odd[0])
+
+
+def rank(n: int, q: float) -> int:
+    """The place of quantile ``q`` among ``n`` sorted values."""
+    return min(n - 1, int(q * n))
+
+
+PAGE = "doc_id long, symbols binary, words binary, code binary, prose boolean, label int"
+
+
+def read_pages(docs: DataFrame) -> DataFrame:
+    """Every document as arrays (``Page``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [read_page(t) for t in pdf.text]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "symbols": [r.symbols.tobytes() for r in rows], "words": [r.words.tobytes() for r in rows], "code": [r.code.tobytes() for r in rows], "prose": [r.prose for r in rows], "label": [r.label for r in rows]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, PAGE)
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The pages of a batch one after the other, as ``page_surprises`` takes them."""
+    symbols, words, code = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("symbols", np.int16), ("words", np.int32), ("code", bool)))
+    return symbols, words, code, np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["code"]]), len(pdf)
+
+
+def _once(pages: DataFrame) -> DataFrame:
+    """Pages whose id was delivered several times count once (the greatest of them)."""
+    several = pages.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    if several.isEmpty():
+        return pages
+    marked = pages.join(several, "doc_id", "left")
+    rest = [c for c in pages.columns if c != "doc_id"]
+    one = marked.filter("_times is not null").groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("_page")).select("doc_id", "_page.*")
+    return marked.filter("_times is null").drop("_times").unionByName(one.select(*pages.columns))
+
+
+def order_statistics(values: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """The values x at ranks of each label, exactly: from a histogram, then from the counted values of the bins that hold them."""
+    counted = materialize(values.groupBy("label", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("x") * 1000)), "surprises")
+    bins = counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).orderBy("label", "bin").collect()
+    wanted: dict[tuple[int, int], tuple[int, int]] = {}
+    for label, places in ranks.items():
+        seen = 0
+        for r in (r for r in bins if r.label == label):
+            wanted |= {(label, k): (r.bin, k - seen) for k in places if seen <= k < seen + r.n}
+            seen += r.n
+    out = {}
+    for (label, k), (b, skip) in wanted.items():
+        for r in counted.filter((F.col("label") == label) & (F.col("bin") == b)).orderBy("x").select("x", "n").toLocalIterator():
+            skip -= r.n
+            if skip < 0:
+                out[label, k] = r.x
+                break
+    return out
+
+
+def train_pages(pages: DataFrame, docs: DataFrame) -> SequenceModel:
+    """The model of all prose among ``pages`` (of ``docs``), its range from all that are weakly labelled."""
+    pages = _once(pages)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            key, n = np.unique(trigrams(_arrays(pdf)[0]), return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n})
+
+    model = SequenceModel()
+    got = pages.filter("prose").select("doc_id", "symbols", "words", "code").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(keys)
+    model.count(keys[order], n[order])
+
+    def surprise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf.label, "x": model.page_surprises(*_arrays(pdf))})
+
+    labelled = pages.filter("label >= 0")
+    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranks = {label: [rank(sizes[label], q) for q in quantiles] for label, quantiles in ((0, (0.001, 0.999)), (1, (0.01,))) if label in sizes}
+    at = order_statistics(labelled.mapInPandas(surprise, "label int, x double"), ranks)
+    least, top = [at[0, k] for k in ranks[0]] if 0 in ranks else (None, None)
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"word": sorted(set().union(*map(prose_words, pdf.text)))}, dtype=object)
+
+    built = [] if 1 in ranks else sorted(r.word for r in docs.select("text").mapInPandas(words, "word string").distinct().orderBy("word").limit(BUILT_WORDS).collect())
+    model.calibrate(least, top, at[1, ranks[1][0]] if 1 in ranks else None, built)
+    return model
+
+
+def train_model(docs: DataFrame) -> SequenceModel:
+    """The model of all documents."""
+    return train_pages(materialize(read_pages(docs), "pages"), docs)
+
+
+def spam_pages(docs: DataFrame, model: SequenceModel | None = None) -> DataFrame:
     """(doc_id, spam_share, abnormal_share, is_spam) of every document.
 
     ``spam_share`` counts the words in pieces of abnormal perplexity that are not code; a page is spam
     when it is over a half. Null and blank texts have shares of 0 and are never spam. Other columns are ignored.
-    Only the training documents come to the driver; scoring is map-only. A sample without any prose
-    flags nothing.
+    Texts are read once; scoring is map-only. A collection without any prose flags nothing.
     """
-    model = train_model(docs, train_docs) if model is None else model
+    pages = read_pages(docs)
+    if model is None:
+        pages = materialize(pages, "pages")
+        model = train_pages(pages, docs)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [model.shares(t) if isinstance(t, str) else (0.0, 0.0) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "spam_share": [r[0] for r in rows], "abnormal_share": [r[1] for r in rows], "is_spam": [r[0] > 0.5 for r in rows]})
+            bad, odd = model.page_shares(*_arrays(pdf))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "spam_share": bad, "abnormal_share": odd, "is_spam": bad > 0.5})
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, spam_share double, abnormal_share double, is_spam boolean")
+    return pages.mapInPandas(score, "doc_id long, spam_share double, abnormal_share double, is_spam boolean")

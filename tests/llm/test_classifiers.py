@@ -227,6 +227,21 @@ def test_spam(spark, clashing):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_spam_model_of_all_documents(spark):
+    """Counts and range rest on every document, repeated rows once; by grouped sums or in one list, the model is the same."""
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.sample(PROSE, rng.randint(1, 4))) for _ in range(5000)] + SHAPES * 3 + SPAM * 3 + HAM
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([*rows, *rows[:50], (9000, None)], "doc_id long, text string").repartition(3)
+    whole, got = spam.SequenceModel(texts), spam.train_model(df)
+    assert np.array_equal(got.keys, whole.keys) and np.allclose(got.more, whole.more, rtol=1e-12)
+    assert (got.low, got.high) == pytest.approx((whole.low, whole.high), rel=1e-12)
+    plain = spark.createDataFrame([(k, t) for k, t in rows[:300]], "doc_id long, text string")  # no page is spam at first sight
+    assert spam.train_model(plain).high == pytest.approx(spam.SequenceModel(texts[:300]).high, rel=1e-12)
+
+
 def test_queries_run_without_caps(spark):
     from loomtext.llm import queries
 
