@@ -2,24 +2,27 @@
 
 Two parts: exact totals from tokenizer scans, and estimates for documents. The estimate is
 one ridge regression per language from bytes, words, digits, punctuation and script counts
-to tokens, fitted on a bounded sample of counted documents; predictions of documents that
-were held out (a fifth at a time) give the ratio of true to predicted totals that corrects its bias, and its error.
+to tokens, fitted on all counted documents; predictions of documents that were held out (a fifth at a time)
+give the ratio of true to predicted totals that corrects its bias, and its error. Fits need sums of products only, so
+these are summed by language and fifth, and nothing else comes to the driver.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.plans.lineage import broadcast_if_small, hash_sample
+from loomtext.plans.lineage import broadcast_if_small, materialize
 
 FEATURES = ["n_bytes", "n_words", "n_digits", "n_punct", "n_latin_ext", "n_other", "n_space"]
-#: At most this many counted documents are brought to the driver for the fit (seven numbers each).
-FIT_ROWS = 20_000
+#: Up to this many counts are broadcast to pick out their documents; beyond, a shuffle join does.
+BROADCAST_COUNTS = 40_000
 #: Languages with fewer counted documents than this use the fit over all languages.
 LEAST_ROWS = 20
-#: Parts that are held out in turn.
+#: Parts that are held out in turn, by hash.
 FOLDS = 5
 #: Sources that a registry may have to be broadcast.
 MAX_SOURCES = 100_000
@@ -82,71 +85,117 @@ def document_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ridge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+class Sums(NamedTuple):
+    """What a fit needs to know of documents: their number, tokens, features, and weighted products of features and of features and tokens."""
+
+    n: int
+    y: float
+    x: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(*(a + b for a, b in zip(self, other)))
+
+    def __sub__(self, other: Sums) -> Sums:
+        return Sums(*(a - b for a, b in zip(self, other)))
+
+
+def _ridge(s: Sums) -> np.ndarray:
     """Least squares weighted for relative error, with a slight ridge, no intercept: no text, no tokens."""
-    w = 1 / np.sqrt(np.maximum(y, 1.0))
-    xs, scale = x * w[:, None], np.maximum(np.abs(x).mean(axis=0), 1e-9)
-    a = xs / scale
-    return np.linalg.solve(a.T @ a + 1e-3 * np.eye(x.shape[1]), a.T @ (y * w)) / scale
+    scale = np.maximum(s.x / max(s.n, 1), 1e-9)
+    return np.linalg.solve(s.xx / np.outer(scale, scale) + 1e-3 * np.eye(len(scale)), s.xy / scale) / scale
 
 
-def _held_out(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The prediction of every row by a fit on the other four fifths."""
-    fold, out = np.arange(len(y)) % FOLDS, np.zeros(len(y))
-    for k in range(FOLDS):
-        train = fold != k
-        if (fold == k).any():
-            out[fold == k] = x[fold == k] @ _ridge(x[train] if train.any() else x, y[train] if train.any() else y)
-    return out
+def _held_out(folds: list[Sums]) -> list[np.ndarray]:
+    """For every fifth the fit on the other four."""
+    whole = sum(folds[1:], folds[0])
+    return [_ridge(whole - f if whole.n > f.n else whole) for f in folds]
 
 
-def _ratio(y: np.ndarray, guess: np.ndarray) -> float:
-    return float(y.sum() / guess.sum()) if len(y) and guess.sum() > 0 else 1.0
+def _ratio(y: float, guess: float) -> float:
+    return float(y / guess) if guess > 0 else 1.0
 
 
-def counted_rows(features: DataFrame, counts: DataFrame, tokenizer: str | None = None) -> list:
-    """(doc_id, lang, n_tokens, features) of the counted documents, ``FIT_ROWS`` of them at most, by doc_id.
+def _guesses(folds: list[Sums]) -> list[float]:
+    """Predicted tokens of every fifth, by the fit on the others."""
+    return [float(f.x @ b) for f, b in zip(folds, _held_out(folds))]
 
-    ``tokenizer`` None takes the one with the most counted documents. Repeated and null
-    counts are dropped; the sample is taken by hash.
+
+def counted_rows(features: DataFrame, counts: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, lang, n_tokens, features) of all counted documents.
+
+    ``tokenizer`` None takes the one with the most counted documents. Repeated and null counts are dropped, the
+    latest stays; of documents with one id, the greatest.
     """
     valid = counts.filter("n_tokens is not null and doc_id is not null")
     if tokenizer is None:
-        top = valid.groupBy("tokenizer").count().orderBy(F.desc("count"), "tokenizer").limit(1).collect()
+        top = valid.groupBy("tokenizer").agg(F.countDistinct("doc_id").alias("count")).orderBy(F.desc("count"), "tokenizer").limit(1).collect()
         tokenizer = top[0][0] if top else None
-    one = valid.filter(F.col("tokenizer").eqNullSafe(F.lit(tokenizer))).groupBy("doc_id").agg(F.max_by("n_tokens", "counted_at").alias("n_tokens"))
-    one = hash_sample(one, "doc_id", FIT_ROWS)
-    return features.join(broadcast_if_small(one, 2 * FIT_ROWS), "doc_id").select("doc_id", "lang", "n_tokens", *FEATURES).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    one = valid.filter(F.col("tokenizer").eqNullSafe(F.lit(tokenizer))).groupBy("doc_id").agg(F.max_by("n_tokens", F.struct("counted_at", "n_tokens")).alias("n_tokens"))
+    rows = features.select("doc_id", "lang", *FEATURES).join(broadcast_if_small(one, BROADCAST_COUNTS), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("lang", "n_tokens", *FEATURES)).alias("r")).select("doc_id", "r.*")
+
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")
 
-def _by_language(rows: list) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """The rows of each fit ('*' all, languages with enough of them), and their features and tokens."""
-    lang = np.array([r.lang for r in rows])
-    names = {"*": np.ones(len(rows), bool)} | {n: lang == n for n in sorted(set(lang)) if (lang == n).sum() >= LEAST_ROWS}
-    return names, np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.n_tokens for r in rows], float)
+
+def _sums(rows: DataFrame) -> dict[str, list[Sums]]:
+    """The sums of each fit by fifth ('*' all, languages with enough documents); a language is two letters, so there are few.
+
+    Summed as decimals: the same at any partitioning.
+    """
+    exact = lambda c, kind: F.sum(c.cast(kind))
+    w, k = F.greatest(F.col("n_tokens").cast("double"), F.lit(1.0)), len(FEATURES)
+    wanted = [F.count(F.lit(1)), exact(F.col("n_tokens"), "decimal(28,0)")]
+    wanted += [exact(F.col(f), "decimal(28,0)") for f in FEATURES]
+    wanted += [exact(F.col(f) * F.col(g) / w, "decimal(28,6)") for i, f in enumerate(FEATURES) for g in FEATURES[i:]]
+    wanted += [exact(F.col(f) * F.col("n_tokens") / w, "decimal(28,6)") for f in FEATURES]
+    upper = np.triu_indices(k)
+    none = Sums(0, 0.0, np.zeros(k), np.zeros((k, k)), np.zeros(k))
+    by: dict[str, list[Sums]] = {}
+    for r in rows.groupBy("lang", _fold().alias("fold")).agg(*wanted).orderBy("lang", "fold").collect():
+        v = np.array([float(x) for x in r[4:]])
+        xx = np.zeros((k, k))
+        xx[upper] = v[k : k + len(upper[0])]
+        one = Sums(r[2], float(r[3]), v[:k], xx + np.triu(xx, 1).T, v[k + len(upper[0]) :])
+        for name in ("*", r.lang):
+            parts = by.setdefault(name, [none] * FOLDS)
+            parts[r.fold] = parts[r.fold] + one
+    return {n: parts for n, parts in by.items() if n == "*" or sum(p.n for p in parts) >= LEAST_ROWS}
 
 
 def fit_token_model(features: DataFrame, counts: DataFrame, tokenizer: str | None = None) -> dict[str, tuple[list[float], float]]:
     """Coefficients and bias correction by language; '*' is the fit over all languages."""
-    rows = counted_rows(features, counts, tokenizer)
-    if not rows:
+    fits = _sums(counted_rows(features, counts, tokenizer))
+    if not fits:
         return {"*": ([0.25] + [0.0] * (len(FEATURES) - 1), 1.0)}  # a token per four bytes, without any count
-    names, x, y = _by_language(rows)
-    return {n: (_ridge(x[mine], y[mine]).tolist(), _ratio(y[mine], _held_out(x[mine], y[mine]))) for n, mine in names.items()}
+    return {n: (_ridge(sum(parts[1:], parts[0])).tolist(), _ratio(sum(p.y for p in parts), sum(_guesses(parts)))) for n, parts in fits.items()}
 
 
 def held_out_error(docs: DataFrame, counts: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per fit (a language, or '*'): counted documents, their true tokens, those predicted without the document's own fifth, in
     the fit and in the bias correction, the error of the total and the mean error of a document."""
-    rows = counted_rows(document_features(docs), counts, tokenizer)
-    names, x, y = _by_language(rows)
+    spark = docs.sparkSession
+    rows = materialize(counted_rows(document_features(docs), counts, tokenizer), "counted")
+    fits = _sums(rows)
+    models, fixed = [], {}
+    for name, parts in fits.items():
+        guess, true = _guesses(parts), [p.y for p in parts]
+        fix = [_ratio(sum(true) - t, sum(guess) - g) for t, g in zip(true, guess)]
+        fixed[name] = sum(g * f for g, f in zip(guess, fix))
+        models += [(name, k, (b * f).tolist()) for k, (b, f) in enumerate(zip(_held_out(parts), fix))]
+    table = F.broadcast(spark.createDataFrame(models, "name string, fold int, model array<double>"))  # five rows a language
+    each = rows.withColumn("fold", _fold()).withColumn("name", F.explode(F.array(F.lit("*"), "lang"))).join(table, ["name", "fold"])
+    guess = sum((F.col(f) * F.col("model")[i] for i, f in enumerate(FEATURES)), F.lit(0.0))
+    error = F.when(F.col("n_tokens") > 0, F.abs(guess / F.col("n_tokens") - 1))
+    mean = {r.name: r.mean or 0.0 for r in each.groupBy("name").agg(F.avg(error).alias("mean")).collect()}
     out = []
-    for name, mine in names.items() if rows else ():
-        guess, true, fold = _held_out(x[mine], y[mine]), y[mine], np.arange(mine.sum()) % FOLDS
-        fixed = np.array([g * _ratio(true[fold != k], guess[fold != k]) for g, k in zip(guess, fold)])
-        there = true > 0
-        out.append((name, int(mine.sum()), int(true.sum()), float(fixed.sum()), float(abs(fixed.sum() / max(true.sum(), 1) - 1)), float(np.mean(np.abs(fixed[there] / true[there] - 1))) if there.any() else 0.0))
-    return docs.sparkSession.createDataFrame(out, "lang string, documents long, true_tokens long, held_out_tokens double, total_error double, mean_error double")
+    for name, parts in fits.items():
+        n, true = sum(p.n for p in parts), sum(p.y for p in parts)
+        out.append((name, n, int(true), fixed[name], abs(fixed[name] / max(true, 1) - 1), mean.get(name, 0.0)))
+    return spark.createDataFrame(out, "lang string, documents long, true_tokens long, held_out_tokens double, total_error double, mean_error double")
 
 
 def predict_tokens(features: DataFrame, models: dict[str, tuple[list[float], float]]) -> DataFrame:

@@ -60,6 +60,19 @@ def test_held_out_error(spark):
     assert token_budget.held_out_error(spark.createDataFrame(docs, DOC), counts.limit(0)).count() == 0
 
 
+def test_fit_rests_on_all_counts(spark):
+    """Far more counted documents than any sample held: each of them counts, the same at any partitioning."""
+    n = 24_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', int(id % 97) + 1)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("domain"))
+    counts = docs.select("doc_id", F.lit("t").alias("tokenizer"), (F.col("doc_id") % 97 + 1).alias("n_tokens"), F.lit(1).alias("counted_at"))
+    again = counts.filter("doc_id < 9000").withColumn("tokenizer", F.lit("u"))  # counted thrice, but fewer documents
+    counts = counts.unionByName(again).unionByName(again).unionByName(again)
+    error = {r.lang: r for r in token_budget.held_out_error(docs, counts).collect()}
+    assert error["en"].documents == error["*"].documents == n and error["en"].true_tokens == sum(k % 97 + 1 for k in range(n)) and error["en"].mean_error < 0.01
+    features = token_budget.document_features(docs)
+    assert token_budget.fit_token_model(features, counts) == token_budget.fit_token_model(features.repartition(7), counts.repartition(5))
+
+
 def test_estimate_edges(spark, clashing):
     rows = [(1, None, None, None, None), (2, " \n", "xx1", "s", None), (3, "word " * 200_000, "en", "s", "d")]
     counts = spark.createDataFrame([], "doc_id long, tokenizer string, n_tokens long, counted_at int")
