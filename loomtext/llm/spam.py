@@ -9,9 +9,9 @@ proportion to their share. A page is flagged when more than half of its words li
 whose surprise is outside the calibrated range. One check stands beside the model: code and command lines,
 which are as unusual as spam, are left out by their type.
 
-The range is calibrated on all weakly labelled pages: it ends between pages with hardly a
-marked class and pages that consist of marked classes. Texts are read once, into arrays of numbered classes, which
-are counted by a grouped sum and scored with arrays; only the counts of trigrams and of surprises come to the driver.
+The range is calibrated on the value that decides about a page, counted over all pages: it ends in the gap between the
+bulk of pages with hardly a marked class and the pages beyond. Texts are read once, into arrays of numbered classes, which
+are counted by a grouped sum and scored with arrays; only the counts of trigrams and of rounded values come to the driver.
 """
 
 from __future__ import annotations
@@ -223,6 +223,8 @@ def built_pages(words: list[str]) -> list[str]:
 
 #: Words of prose, the first by alphabet, that built pages are made of.
 BUILT_WORDS = 2000
+#: Steps by which pages are counted, of a unit of surprise; a gap begins where at most this share of the ordinary pages' number follows in so many steps.
+STEPS, RARE, GAP = 1000, 0.001, 1000
 
 
 def trigrams(symbols: np.ndarray) -> np.ndarray:
@@ -242,11 +244,9 @@ class SequenceModel:
             return
         pages = [read_page(t) for t in texts]
         self.count(*np.unique(np.concatenate([np.zeros(0, np.int64), *(trigrams(p.symbols) for p in pages if p.prose)]), return_counts=True))
-        at = lambda label: sorted(self.page_surprise(p) for p in pages if p.label == label)
-        fine, odd = at(0), at(1)
-        pick = lambda v, q: v[rank(len(v), q)] if v else None
-        words = [] if odd else sorted(set().union(*map(prose_words, texts)))[:BUILT_WORDS]
-        self.calibrate(pick(fine, 0.001), pick(fine, 0.999), pick(odd, 0.01), words)
+        seen = Counter((p.label, int(np.floor(self.page_surprise(p) * STEPS))) for p in pages)
+        words = [] if any(label == 1 and at > 0 for label, at in seen) else sorted(set().union(*map(prose_words, texts)))[:BUILT_WORDS]
+        self.calibrate(np.array([(label, at, n) for (label, at), n in seen.items()], np.int64).reshape(-1, 3), words)
 
     def count(self, keys: np.ndarray, n: np.ndarray) -> None:
         """Takes the numbers of trigrams (sorted) and how often prose has them."""
@@ -257,15 +257,42 @@ class SequenceModel:
         self.base = 0.1 * single + 0.3 * after
         self.keys, self.more = keys, 0.6 * n / np.maximum(pair[a * SIZE + b], 1)
 
-    def calibrate(self, least: float | None, top: float | None, lowest: float | None, words: list[str]) -> None:
-        """Sets the range from the surprises of ordinary pages and the least of spam; without spam, from pages built of ``words``."""
-        if lowest is None and (built := sorted(self.page_surprise(read_page(t)) for t in built_pages(words))):
-            lowest = built[rank(len(built), 0.01)]
-        top, lowest = math.inf if top is None else top, 0.0 if lowest is None else lowest
-        #: A third of the way from the most unusual ordinary page to the least unusual spam, which was chosen for being extreme.
-        self.high = top + (lowest - top) / 3 if top < lowest else 1.5 * top
-        #: Half of the least surprise of an ordinary page: sequences so predictable that no writer makes them.
-        self.low = 0.0 if least is None else least / 2
+    def calibrate(self, seen: np.ndarray, words: list[str]) -> None:
+        """Sets the range from rows of label, value in steps and number of pages; without spam at first sight, from pages built of ``words``.
+
+        Pages whose value is 0 can't be flagged and say nothing. The range ends in the gap above the ordinary pages. The gap
+        begins where hardly a page of any label follows, so that single odd pages don't move it, and reaches to all pages
+        beyond that aren't ordinary, since the spam at first sight was chosen for being extreme.
+        """
+        label, at, n = seen[seen[:, 1] > 0].T
+        self.low, self.high = 0.0, math.inf
+        if not (label == 0).any():
+            return
+        least, most, top = quantiles(at[label == 0], n[label == 0], 0.001, 0.99, 0.999)
+        #: Half of the least value of an ordinary page: sequences so predictable that no writer makes them.
+        self.low = least / STEPS / 2
+        order = np.argsort(at)
+        places, upto = at[order], np.append(0, np.cumsum(n[order]))
+        before = lambda x: upto[np.searchsorted(places, x)]
+        few = RARE * n[label == 0].sum()
+        starts = np.append(most, np.unique(at[at >= most])) + 1
+        begin = starts[np.argmax(before(starts + GAP) - before(starts) <= few)]
+        spam, odd = (label == 1) & (at >= begin), (label != 0) & (at >= begin)
+        ends = []
+        if spam.any():
+            ends += quantiles(at[spam], n[spam], 0.01)
+            # as many pages as may lie in the gap by chance are no end of it
+            share = max(0.02, few / n[odd].sum())
+            ends += quantiles(at[odd], n[odd], share) if share < 1 else []
+        elif not (label == 1).any() and words:
+            made = np.array([int(self.page_surprise(read_page(t)) * STEPS) for t in built_pages(words)], np.int64)
+            ends += quantiles(made, np.ones_like(made), 0.01) if len(made) else []
+        end = min(ends, default=0)
+        if end <= begin:
+            self.high = 1.5 * top / STEPS
+            return
+        #: A third of the way: spam thins out slowly towards ordinary pages, which end at once.
+        self.high = float(begin + (end - begin) / 3) / STEPS
 
     def surprises(self, symbols: np.ndarray) -> np.ndarray:
         """Per piece the mean negative log probability of a symbol: the logarithm of the perplexity."""
@@ -280,14 +307,18 @@ class SequenceModel:
         return np.add.reduceat(-np.log(p), np.cumsum(n) - n) / n
 
     def page_surprises(self, symbols: np.ndarray, words: np.ndarray, code: np.ndarray, owner: np.ndarray, pages: int) -> np.ndarray:
-        """Per page the surprise that half of its words reach, code left out; ``owner`` is the page of every piece."""
+        """Per page the least surprise among the pieces that make up more than half of its words, the most surprising first; ``owner`` is the page of every piece.
+
+        A page is flagged if this lies beyond the range. Code is never surprising: 0 where the rest is not more than half.
+        """
+        whole = np.bincount(owner, words, pages)
         x = self.surprises(symbols)[~code]
         n, owner = words[~code], owner[~code]
-        order = np.lexsort((n, x, owner))
+        order = np.lexsort((-n, -x, owner))
         x, n, owner = x[order], n[order], owner[order]
-        whole = np.bincount(owner, n, pages)
-        seen = np.cumsum(n) - (np.cumsum(whole) - whole)[owner]
-        reached = np.flatnonzero(seen >= whole[owner] / 2)
+        own = np.bincount(owner, n, pages)
+        seen = np.cumsum(n) - (np.cumsum(own) - own)[owner]
+        reached = np.flatnonzero(seen > whole[owner] / 2)
         out = np.zeros(pages)
         page, first = np.unique(owner[reached], return_index=True)
         out[page] = x[reached[first]]
@@ -314,6 +345,13 @@ def rank(n: int, q: float) -> int:
     return min(n - 1, int(q * n))
 
 
+def quantiles(values: np.ndarray, n: np.ndarray, *wanted: float) -> list[int]:
+    """Quantiles of values that occur ``n`` times each."""
+    order = np.argsort(values)
+    upto = np.cumsum(n[order])
+    return [int(values[order][np.searchsorted(upto, rank(int(upto[-1]), q), side="right")]) for q in wanted]
+
+
 PAGE = "doc_id long, symbols binary, words binary, code binary, prose boolean, label int"
 
 
@@ -345,28 +383,8 @@ def _once(pages: DataFrame) -> DataFrame:
     return marked.filter("_times is null").drop("_times").unionByName(one.select(*pages.columns))
 
 
-def order_statistics(values: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
-    """The values x at ranks of each label, exactly: from a histogram, then from the counted values of the bins that hold them."""
-    counted = materialize(values.groupBy("label", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("x") * 1000)), "surprises")
-    bins = counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).orderBy("label", "bin").collect()
-    wanted: dict[tuple[int, int], tuple[int, int]] = {}
-    for label, places in ranks.items():
-        seen = 0
-        for r in (r for r in bins if r.label == label):
-            wanted |= {(label, k): (r.bin, k - seen) for k in places if seen <= k < seen + r.n}
-            seen += r.n
-    out = {}
-    for (label, k), (b, skip) in wanted.items():
-        for r in counted.filter((F.col("label") == label) & (F.col("bin") == b)).orderBy("x").select("x", "n").toLocalIterator():
-            skip -= r.n
-            if skip < 0:
-                out[label, k] = r.x
-                break
-    return out
-
-
 def train_pages(pages: DataFrame, docs: DataFrame) -> SequenceModel:
-    """The model of all prose among ``pages`` (of ``docs``), its range from all that are weakly labelled."""
+    """The model of all prose among ``pages`` (of ``docs``), its range from all of them."""
     pages = _once(pages)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,22 +398,20 @@ def train_pages(pages: DataFrame, docs: DataFrame) -> SequenceModel:
     order = np.argsort(keys)
     model.count(keys[order], n[order])
 
-    def surprise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf.label, "x": model.page_surprises(*_arrays(pdf))})
+            at = np.floor(model.page_surprises(*_arrays(pdf)) * STEPS).astype(np.int64)
+            yield pdf[["label"]].assign(at=at).value_counts().rename("n").reset_index()
 
-    labelled = pages.filter("label >= 0")
-    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranks = {label: [rank(sizes[label], q) for q in quantiles] for label, quantiles in ((0, (0.001, 0.999)), (1, (0.01,))) if label in sizes}
-    at = order_statistics(labelled.mapInPandas(surprise, "label int, x double"), ranks)
-    least, top = [at[0, k] for k in ranks[0]] if 0 in ranks else (None, None)
+    found = pages.mapInPandas(value, "label int, at long, n long").groupBy("label", "at").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.stack([found[c].to_numpy() for c in ("label", "at", "n")], 1).astype(np.int64)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"word": sorted(set().union(*map(prose_words, pdf.text)))}, dtype=object)
 
-    built = [] if 1 in ranks else sorted(r.word for r in docs.select("text").mapInPandas(words, "word string").distinct().orderBy("word").limit(BUILT_WORDS).collect())
-    model.calibrate(least, top, at[1, ranks[1][0]] if 1 in ranks else None, built)
+    built = [] if ((seen[:, 0] == 1) & (seen[:, 1] > 0)).any() else sorted(r.word for r in docs.select("text").mapInPandas(words, "word string").distinct().orderBy("word").limit(BUILT_WORDS).collect())
+    model.calibrate(seen, built)
     return model
 
 

@@ -242,6 +242,26 @@ def test_spam_model_of_all_documents(spark):
     assert spam.train_model(plain).high == pytest.approx(spam.SequenceModel(texts[:300]).high, rel=1e-12)
 
 
+def test_spam_range_holds_when_a_few_pages_are_odd():
+    """A few odd ordinary pages and the choice of the spam at first sight don't move the range over other spam."""
+    import random
+
+    rng = random.Random(7)
+    prose = [" ".join(rng.sample(PROSE, rng.randint(1, 4))) for _ in range(1500)] + SHAPES * 20
+    places = [a + b for a in ("Ker", "Mars", "Hol", "Dun", "Pel", "Or") for b in ("by", "ton", "wold", "mere", "ford")]
+    keywords = ["\n".join(f"{a} {t} {b}; {c} {t} {d}" for a, b, c, d in zip(rng.choices(["best", "cheap", "top", "online"], k=8), rng.choices(places, k=8), rng.choices(["buy", "free", "local"], k=8), rng.choices(places, k=8))) for t in ("saw", "lathe", "clamp", "rasp") * 10]
+    tags = [" ".join(f"#{rng.choice(['best', 'cheap', 'top'])}{rng.choice(places)}" for _ in range(20)) for _ in range(40)]
+    # pages of code with a few other lines, and some that no class marks and that are more unusual than spam
+    code = ["\n".join(f"@cached\ndef plane_{k}(self):\n    return self.saw_{k}" for k in range(n, n + 6)) for n in range(8)]
+    odd = ["\n".join(f"{k}x{n} {n}y{k} z{k}{n} | {k}-{n} | {n}%" for k in range(12)) for n in range(6)]
+    for extra in ([], code, odd, code + odd):
+        model = spam.SequenceModel(prose + keywords + tags + extra)
+        assert all(model.shares(t)[0] > 0.5 for t in keywords + tags)
+        assert not any(model.shares(t)[0] > 0.5 for t in prose + code)
+    labels = [{spam.read_page(t).label for t in x} for x in (odd, keywords, tags)]
+    assert labels == [{0}, {-1}, {1}]
+
+
 def test_queries_run_without_caps(spark):
     from loomtext.llm import queries
 
